@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, planes, shards
+from . import bpe, decontaminate, language, neardup, planes, quality, shards
 from .common import scratch_path
 
 
@@ -39,10 +39,35 @@ def op4_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def op7_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict_languages(docs.select("doc_id", "text"), language.fit_languages(docs))
+    return found.select("doc_id", quality.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+def op9_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_byte_shards": op2_byte_shards,
     "op4_id_planes": op4_id_planes,
+    "op6_subword_quality": op6_subword_quality,
+    "op7_hamming_neardup": op7_hamming_neardup,
+    "op8_output_codes": op8_output_codes,
+    "op9_qgram_leaks": op9_qgram_leaks,
 }
 
 #: Sizes and sums that DuckDB can express; the others are held against brute force in tests/llm.

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, neardup, planes, quality, shards
-from .common import scratch_path
+from . import bpe, decontaminate, language, neardup, pii, planes, quality, shards, spotsigs, urlrules
+from .common import scratch_path, stash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,29 @@ def op4_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("spots")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page holds the document that its path numbers; that document's labels are the page's."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    number = F.expr("try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') as bigint)")
+    labelled = pages.withColumn("doc_id", number).join(labels, "doc_id").select(
+        urlrules.url_tokens(F.col("url")).alias("tokens"),
+        F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").otherwise("allow").alias("label"),
+    )
+    return urlrules.judge_urls(pages, stash(urlrules.mine_rules(labelled), "rules"))
+
+
 def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
@@ -60,14 +83,32 @@ def op9_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit_spans(docs)).select("doc_id", "pii", F.filter("pii", lambda s: s["base"]).alias("base"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(number, pii.KINDS),
+        F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.span_list(F.col("pii")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_byte_shards": op2_byte_shards,
+    "op3_spot_signatures": op3_spot_signatures,
     "op4_id_planes": op4_id_planes,
+    "op5_url_rules": op5_url_rules,
     "op6_subword_quality": op6_subword_quality,
     "op7_hamming_neardup": op7_hamming_neardup,
     "op8_output_codes": op8_output_codes,
     "op9_qgram_leaks": op9_qgram_leaks,
+    "op10_weak_pii": op10_weak_pii,
 }
 
 #: Sizes and sums that DuckDB can express; the others are held against brute force in tests/llm.

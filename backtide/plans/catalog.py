@@ -91,7 +91,7 @@ def origin_of_run(logs: Logs) -> DataFrame:
 
 @_on_logs
 def delete_adjusted_origin(logs: Logs) -> DataFrame:
-    return versions(logs.writes, logs.deletes, "xid").select(*CELL, "xid", F.col("origin.rid").alias("origin_rid"), F.col("origin.pos").alias("origin_pos"), "next_delete")
+    return versions(logs.writes, logs.deletes, "xid").select(*CELL, "xid", F.col("origin.rid").alias("origin_rid"), F.col("origin.pos").alias("origin_pos"), F.coalesce("next_delete", F.lit(-1)).alias("next_delete"))
 
 
 @_on_logs
@@ -115,7 +115,7 @@ def asof_time_row(logs: Logs) -> DataFrame:
 @_on_logs
 def asof_xid_low_high(logs: Logs) -> DataFrame:
     found = resolve.snapshot_bounds(_pairs(logs), versions(logs.writes, logs.deletes, "xid"))
-    return found.select("rid", *CELL, F.col("seq").alias("read_seq"), F.col("low.xid").alias("low_xid"), F.col("high.xid").alias("high_xid"))
+    return found.select("rid", *CELL, F.col("seq").alias("read_seq"), F.coalesce("low.xid", F.lit(-1)).alias("low_xid"), F.coalesce("high.xid", F.lit(-1)).alias("high_xid"))
 
 
 @_on_logs
@@ -151,7 +151,7 @@ def unresolved_cells(logs: Logs) -> DataFrame:
 @_on_logs
 def next_alternate(logs: Logs) -> DataFrame:
     found = _candidates(logs).filter("not certain").withColumn("xid", F.col("version.xid"))
-    return selection.next_in_ring(found, ["rid", *CELL, "read_seq"], ["xid"], "xid").select("rid", *CELL, "read_seq", "xid", "alternate")
+    return selection.next_in_ring(found, ["rid", *CELL, "read_seq"], ["xid"], "xid").select("rid", *CELL, "read_seq", "xid", F.coalesce("alternate", F.lit(-1)).alias("alternate"))
 
 
 # Selections

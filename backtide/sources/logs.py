@@ -78,11 +78,12 @@ def _cells(case_sensitive: bool) -> Column:
     """Entries (col, (vtype, vtext)) of `cells`, an array of {col, new|value} or an object; the last of equal columns."""
     listed = F.call_function("try_variant_get", F.col("j.cells"), F.lit("$"), F.lit("array<struct<col:string,new:variant,value:variant>>"))
     mapped = F.map_entries(F.call_function("try_variant_get", F.col("j.cells"), F.lit("$"), F.lit("map<string,variant>")))
-    typed = lambda v: F.struct(value_type(v).alias("vtype"), value_text(v).alias("vtext"))
-    entries = F.coalesce(
-        F.transform(listed, lambda e: F.struct(column_name(e["col"], case_sensitive).alias("key"), typed(F.coalesce(e["new"], e["value"])).alias("value"))),
-        F.transform(mapped, lambda e: F.struct(column_name(e["key"], case_sensitive).alias("key"), typed(e["value"]).alias("value"))),
-    )
+
+    def entry(name: Column, value: Column) -> Column:
+        typed = F.named_struct(F.lit("vtype"), value_type(value), F.lit("vtext"), value_text(value))
+        return F.named_struct(F.lit("key"), column_name(name, case_sensitive), F.lit("value"), typed)
+
+    entries = F.coalesce(F.transform(listed, lambda e: entry(e["col"], F.coalesce(e["new"], e["value"]))), F.transform(mapped, lambda e: entry(e["key"], e["value"])))
     names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     return F.transform(names, lambda name: F.element_at(F.filter(entries, lambda e: e["key"] == name), -1))
 

@@ -41,7 +41,7 @@ def cell_changes(transactions: DataFrame, tables: dict[str, str], now: Column |
 
     tables: `schema.table` -> primary key column; others, messages and truncations are skipped. Transactions without a
     request id are dropped; an xid that is no number is null; a missing time is `now`. Inserts have all columns, updates
-    those whose value differs from the old one or whose old value is not given; an update that changes the key is a
+    those whose value differs from the old one, a missing old one being null; an update that changes the key is a
     delete and an insert under one seq; a delete has no cells. Changes without a key value are dropped before seq counts.
     """
     keys = F.create_map(*[F.lit(x) for pair in tables.items() for x in pair]) if tables else F.lit(None).cast("map<string,string>")
@@ -50,9 +50,10 @@ def cell_changes(transactions: DataFrame, tables: dict[str, str], now: Column |
         pk = F.lower(F.element_at(keys, F.concat_ws(".", c["schema"], c["table"])))
         new = F.when(c["columnnames"].isNotNull(), _values(c["columnnames"], c["columnvalues"]))
         old = F.when(c["oldkeys"].isNotNull(), _values(c["oldkeys"]["keynames"], c["oldkeys"]["keyvalues"]))
-        new_pk, old_pk = _plain(F.element_at(new, pk)), _plain(F.element_at(old, pk))
+        old_pk = _plain(F.element_at(old, pk))
+        new_pk = F.when(F.map_contains_key(new, pk), _plain(F.element_at(new, pk))).when(c["kind"] == "update", old_pk)
         moved = (c["kind"] == "update") & old_pk.isNotNull() & (old_pk != new_pk)
-        changed = F.map_filter(new, lambda k, v: old.isNull() | ~F.coalesce(F.element_at(old, k), F.when(F.map_contains_key(old, k), F.lit("null")).otherwise(F.lit("\x00"))).eqNullSafe(v))
+        changed = F.map_filter(new, lambda k, v: F.coalesce(F.element_at(old, k), F.lit("null")) != v)
         return F.struct(
             F.when(moved, "move").otherwise(c["kind"]).alias("event"), c["table"].alias("tbn"), F.when(c["kind"] == "delete", old_pk).otherwise(new_pk).alias("pk"), old_pk.alias("old_pk"),
             F.when(c["kind"] == "delete", F.create_map().cast("map<string,string>")).when((c["kind"] == "insert") | moved, new).otherwise(changed).alias("cells"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,10 @@ from .common import Memo
 
 #: What white space is to the pattern's \s (Unicode White_Space).
 _SPACE = regex.compile(r"\p{White_Space}")
+_LATIN = regex.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks that begin no match of the pattern with the letters before them; the apostrophe may.
+_MARKS = ".,;:!?|%&*#$"
+UNSURE = b"?"
 #: Above every rank.
 NO_RANK = 1 << 40
 
@@ -43,9 +48,9 @@ class TreeBpe:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self._whole: dict[bytes, bool] = {}
-        self._merged = Memo(self.merge)
-        self._short = Memo(self._tree)
-        self._units = Memo(self._unit)
+        self._merged = Memo(self.merge, half=90_000)
+        self._short = Memo(self._tree, half=60_000)
+        self._units = Memo(self._unit, half=160_000)
 
     def merge(self, text: bytes) -> tuple[int, ...]:
         """Plain merging, for leaves and windows: the neighbours of lowest rank first, the leftmost of equal ones."""
@@ -96,16 +101,18 @@ class TreeBpe:
 
     def _stable(self, left: int, right: int) -> bool:
         """Whether the border between two tokens is one that merging never crosses."""
-        return len(self._merged[self.bytes_of[left] + self.bytes_of[right]]) == 2 and self._merged[self.bytes_of[left] + self.bytes_of[right]][0] == left
+        return self._merged[self.bytes_of[left] + self.bytes_of[right]] == (left, right)
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
-        if not left or not right:
-            return left or right
+        """The encoding of two neighbours that are not empty. Borders inside either of them are stable already, so only
+        those beside tokens that the window changes are looked at."""
         bytes_of, a, b = self.bytes_of, 1, 1
         window = self._merged[bytes_of[left[-1]] + bytes_of[right[0]]]
+        if window == (left[-1], right[0]):
+            return left + right
         while True:
-            ok_left = a == len(left) or self._stable(left[-a - 1], window[0])
-            ok_right = b == len(right) or self._stable(window[-1], right[b])
+            ok_left = a == len(left) or window[0] == left[-a] or self._stable(left[-a - 1], window[0])
+            ok_right = b == len(right) or window[-1] == right[b - 1] or self._stable(window[-1], right[b])
             if ok_left and ok_right:
                 return left[: len(left) - a] + window + right[b:]
             a, b = a if ok_left else min(len(left), 2 * a), b if ok_right else min(len(right), 2 * b)
@@ -130,12 +137,17 @@ class TreeBpe:
         out: list[int] = []
         for piece in self.pattern.findall(text):
             out += self.encode_piece(piece.encode())
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        """A space and what follows up to the next one. b"?" if white space at its ends may match beyond it."""
+        """The ids of a space and what follows up to the next one; UNSURE if white space at its ends may match beyond it.
+        Latin letters after it are one match, and marks behind them another, if both are all there is."""
+        core = unit.rstrip(_MARKS)
+        if _LATIN.fullmatch(core):
+            ids = array("i", self.encode_piece(core.encode())).tobytes()
+            return ids if len(core) == len(unit) else ids + self._units[unit[len(core) :]]
         word = unit.removeprefix(" ")
-        return b"?" if not word or _SPACE.match(word[0]) or _SPACE.match(word[-1]) else self._matches(unit)
+        return UNSURE if not word or _SPACE.match(word[0]) or _SPACE.match(word[-1]) else self._matches(unit)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as packed little-endian 32-bit integers. Single spaces between other characters are always
@@ -143,7 +155,7 @@ class TreeBpe:
         first, *rest = text.split(" ")
         units = [first, *[" " + word for word in rest]]
         found = list(map(self._units.__getitem__, units))
-        return self._matches(text) if b"?" in found else b"".join(found)
+        return self._matches(text) if UNSURE in found else b"".join(found)
 
     def decode(self, ids: list[int]) -> bytes:
         level = [b"".join(map(self.bytes_of.__getitem__, ids[i : i + 1024])) for i in range(0, len(ids), 1024)] or [b""]
@@ -165,9 +177,11 @@ def encode_text(text: Column, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(path, pattern)
         for batch in batches:
-            ids = [bpe.encode(text) for text in batch.to_pylist()]
-            offsets = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype="i4")
-            yield pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            packed, offsets = bytearray(), [0]
+            for text in batch:
+                packed += bpe.encode(text.as_py())
+                offsets.append(len(packed) // 4)
+            yield pa.ListArray.from_arrays(np.array(offsets, "i4"), pa.array(np.frombuffer(packed, "<i4")))
 
     return encode(F.coalesce(text, F.lit("")))
 
@@ -178,8 +192,8 @@ def decode_ids(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(path, pattern)
-        for batch in batches:
-            yield pa.array([bpe.decode(row or []) for row in batch.to_pylist()], pa.binary())
+        for batch in batches:  # row by row: a batch's ids as Python integers would take ten times its bytes
+            yield pa.array([bpe.decode(row.as_py() or []) for row in batch], pa.binary())
 
     return decode(ids)
 

@@ -1,14 +1,17 @@
 """Near-duplicate documents by a multi-index Hamming join over MinHash signatures.
 
-A document's set holds the 64-bit hashes of its distinct word shingles; its signature has SYMBOLS MinHash values of 15
-bits (14 for every fourth). Two sets of similarity s differ in about (1 - s) * SYMBOLS places. All pairs that differ in MAX_DISTANCE places at
-most are found: split into CHUNKS chunks, by the pigeonhole principle some chunk has MAX_DISTANCE // CHUNKS errors at
-most, which is one; so every chunk gives one key for each place that may be wrong, and near signatures share a key.
-(A pair at the link threshold of 0.85 differs in more than 21 of 64 places about once in 10,000 times; at 0.9 never.)
-
-Documents with equal sets are one vertex. Bucket sizes do not matter: first every member of a bucket is held against the
-bucket's smallest one, a star of as many rows as members; those links make components, and only where members of a
-bucket lie in different components, these pairs are looked at. Signatures screen each pair before full sets decide.
+A document's set holds the 64-bit hashes of its distinct word shingles; its signature has CHUNKS chunks of six MinHash
+values of 9 bits, each chunk packed into a long with a spare bit to each value. Two sets of similarity s differ in about
+(1 - s) * 66 places. All pairs that differ in MAX_DISTANCE places at most are found: by the pigeonhole principle some
+chunk has MAX_DISTANCE // CHUNKS errors at most, which is one; so every chunk gives one key for each place that may be
+wrong, and near signatures share a key. (At the link threshold of 0.85 a pair has two errors or more in every chunk about
+once in ten million times.) Of the keys that a pair shares one is its own, so a pair comes out of one bucket only.
+
+Documents with equal sets are one vertex. Those that share a key with another one get their full sets and a wide sketch
+of SKETCH one-bit MinHash values, whose distance screens pairs more sharply than the signature could (at most
+SKETCH_DISTANCE; missed as seldom). Bucket sizes do not matter: first every member of a bucket is held against its
+smallest and its largest one, two stars of as many rows as members; those links make components, and only where members
+of a bucket lie in different components, their pairs are looked at. Full sets decide on every link.
 """
 
 from __future__ import annotations
@@ -24,14 +27,18 @@ from pyspark.sql import functions as F
 
 from .common import Memo, drop_stash, stash
 
-SYMBOLS, CHUNKS, MAX_DISTANCE = 64, 11, 21
+CHUNKS, WIDTH, MAX_DISTANCE = 11, 6, 21
+SYMBOLS = CHUNKS * WIDTH
+SKETCH, SKETCH_DISTANCE = 1024, 109
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SYMBOLS, "u8") * np.uint64(2) + np.uint64(1)
+#: Ten-bit lanes with nine-bit values: adding CARRY to the exclusive or of two chunks sets the MARK of lanes that differ.
+_LANES = np.arange(WIDTH, dtype="u8") * np.uint64(10)
+_CARRY, _MARK = sum(0x1FF << 10 * i for i in range(WIDTH)), sum(0x200 << 10 * i for i in range(WIDTH))
 _SHIFTS = _RANDOM.integers(0, 1 << 63, SYMBOLS, "u8")
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, "u8") * np.uint64(2) + np.uint64(1)
-#: Four symbols to a long. Adding CARRY to the exclusive or of two longs carries a lane that is not zero into its MARK bit.
-_LANES = np.tile(np.array([0x7FFF, 0x7FFF, 0x7FFF, 0x3FFF], "u8"), SYMBOLS // 4)
-_CARRY, _MARK = 0x3FFF7FFF7FFF7FFF, 0x4000800080008000
+_WIDE = _RANDOM.integers(1, 1 << 31, SKETCH, "u4") * np.uint32(2) + np.uint32(1)
+_WIDE_SHIFTS = _RANDOM.integers(0, 1 << 32, SKETCH, "u4")
 _WORDS = Memo(lambda word: xxhash.xxh64_intdigest(word), half=200_000)
 
 
@@ -56,27 +63,36 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """SYMBOLS MinHash values of a set that is not empty."""
+    """CHUNKS longs with the MinHash values of a set that is not empty."""
     low = np.full(SYMBOLS, np.iinfo("u8").max, "u8")
     for at in range(0, len(hashes), 2048):
         part = hashes[at : at + 2048, None] * _FACTORS + _SHIFTS
         part ^= part >> np.uint64(32)
         np.minimum(low, part.min(axis=0), out=low)
-    return (_mix(low) & _LANES).astype("<u2")
+    return ((_mix(low) & np.uint64(0x1FF)).reshape(CHUNKS, WIDTH) << _LANES).sum(axis=1, dtype="u8").view("i8")
 
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
-    """All keys of signatures (rows): for each chunk and each place in it a hash of the chunk's other symbols."""
-    out, edges = [], np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
-    wide = symbols.astype("u8")
-    for a, b in zip(edges, edges[1:]):
-        terms = _mix(wide[:, a:b] * _PLACES[1 : 1 + b - a] + np.arange(a, b, dtype="u8"))
-        out += [_mix(terms.sum(axis=1, dtype="u8") - terms[:, i] + np.uint64(a + i)) for i in range(b - a)]
-    return np.stack(out, axis=1)
+def chunk_keys(signatures: np.ndarray) -> np.ndarray:
+    """All keys of signatures (rows of longs): for each chunk and each place in it a hash of the chunk without it."""
+    without = signatures.view("u8")[:, :, None] & ~(np.uint64(0x1FF) << _LANES)
+    place = np.arange(CHUNKS, dtype="u8")[:, None] * np.uint64(8) + np.arange(WIDTH, dtype="u8")
+    return _mix(_mix(without) + place * _PLACES[63]).reshape(len(signatures), SYMBOLS).view("i8")
+
+
+def wide_sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH one-bit MinHash values of a set that is not empty, packed into longs."""
+    short, low = (hashes >> np.uint64(32)).astype("u4"), np.full(SKETCH, 0xFFFFFFFF, "u4")
+    for at in range(0, len(short), 512):
+        for k in range(0, SKETCH, 64):
+            part = short[at : at + 512, None] * _WIDE[k : k + 64] + _WIDE_SHIFTS[k : k + 64]
+            part = (part ^ (part >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            np.minimum(low[k : k + 64], part.min(axis=0), out=low[k : k + 64])
+    bits = _mix(low.astype("u8") * np.uint64(SKETCH) + np.arange(SKETCH, dtype="u8")) & np.uint64(1)
+    return np.packbits(bits.astype("u1")).view("<i8")
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, n, digest, sig) of every row: set size, a 128-bit digest of the set, the signature as 16 longs; no shuffle."""
+    """(id, n, digest, sig) of every row: set size, a 128-bit digest of the set, the signature packed into longs; no shuffle."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +101,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 found = shingle_set(value.as_py(), width)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sigs.append(signature(found).view("<i8").tolist() if len(found) else None)
+                sigs.append(signature(found).tolist() if len(found) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "digest", "sig"])
 
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -93,30 +109,42 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _keyed(vertices: DataFrame) -> DataFrame:
+    """(id, place, bucket): every key of every vertex; place counts the keys of a signature."""
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                symbols = np.array(batch.column(1).to_pylist(), "<i8").view("<u2")
-                keys = pa.ListArray.from_arrays(np.arange(0, symbols.size + 1, SYMBOLS, dtype="i4"), pa.array(chunk_keys(symbols).ravel().view("i8")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), keys], names=["id", "bucket"])
+                keys = chunk_keys(np.array(batch.column(1).to_pylist(), "i8"))
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, SYMBOLS, dtype="i4"), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "bucket"])
 
-    return vertices.select("id", "sig").mapInArrow(keyed, "id long, bucket array<long>").select("id", F.explode("bucket").alias("bucket"))
+    return vertices.select("id", "sig").mapInArrow(keyed, "id long, bucket array<long>").select("id", F.posexplode("bucket").alias("place", "bucket"))
 
 
-def _distance(a: str, b: str) -> Column:
-    """In how many symbols two signatures (arrays of longs) differ."""
-    lanes = [F.bit_count((F.col(a)[i].bitwiseXOR(F.col(b)[i]) + F.lit(_CARRY)).bitwiseAND(F.lit(_MARK))) for i in range(SYMBOLS // 4)]
-    return reduce(lambda x, y: x + y, lanes)
+def _own_bucket() -> Column:
+    """Whether of the keys that a pair (sig_a, sig_b) shares this row's place is the first: in the first chunk with one
+    error at most, the place of the error, or the first place if there is none."""
+    out = F.lit(False)
+    for c in reversed(range(CHUNKS)):
+        errors = F.bit_count((F.col("sig_a")[c].bitwiseXOR(F.col("sig_b")[c]) + F.lit(_CARRY)).bitwiseAND(F.lit(_MARK)))
+        here = F.when(errors == 0, F.col("place") == c * WIDTH).otherwise(F.col("place").between(c * WIDTH, c * WIDTH + WIDTH - 1))
+        out = F.when(errors <= 1, here).otherwise(out)
+    return out
 
 
 def _near(percent: int) -> Column:
-    """Signatures within the distance and set sizes that allow the similarity."""
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_distance("sig_a", "sig_b") <= MAX_DISTANCE)
+    """Sketches within the distance and set sizes that allow the similarity."""
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH // 64)])
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing <= SKETCH_DISTANCE)
+
+
+def _side(vertices: DataFrame, end: str, *columns: str) -> DataFrame:
+    return vertices.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    both = pairs.join(_side(vertices, "b", "hashes"), "b").join(_side(vertices, "a", "hashes"), "a")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return both.filter(100 * shared >= percent * (F.size("hashes_a") + F.size("hashes_b") - shared)).select("a", "b")
 
@@ -154,42 +182,42 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     heads = usable.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("members"))
     heads = stash(heads.select("id", "n", "sig", "digest"), "heads")
     keys = stash(_keyed(heads), "keys")
-    hubs = keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("bucket", "hub")
-    shared = keys.join(hubs, "bucket")
-    shared = stash(shared, "buckets")
+    ends = keys.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top")
+    shared = stash(keys.join(ends, "bucket"), "buckets")
     drop_stash(keys)
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of heads within the signature distance."""
-        side = lambda end: heads.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
-        return pairs.join(side("b"), "b").join(side("a"), "a").filter(_near(percent)).select("a", "b")
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        """Full sets of the heads in pairs, made anew from their texts."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [shingle_set(value.as_py(), width) for value in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view("i8") for x in found], pa.list_(pa.int64()))], names=["id", "hashes"])
-
-        return texts.mapInArrow(hashed, "id long, hashes array<long>")
-
-    pairs = stash(screened(shared.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()), "pairs")
-    star = stash(_linked(pairs, sets(pairs), percent), "links")
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                found = [shingle_set(value.as_py(), width) for value in some.column(1)]
+                yield pa.RecordBatch.from_arrays([
+                    some.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.view("i8") for x in found], pa.list_(pa.int64())),
+                    pa.array([wide_sketch(x).tolist() for x in found], pa.list_(pa.int64())), pa.array([signature(x).tolist() for x in found], pa.list_(pa.int64())),
+                ], names=["id", "n", "hashes", "bits", "sig"])
+
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    open_ids = shared.select("id").distinct()
+    vertices = stash(texts.join(open_ids, "id", "left_semi").mapInArrow(full, "id long, n long, hashes array<long>, bits array<long>, sig array<long>"), "vertices")
+
+    stars = shared.select(F.col("id").alias("a"), F.col("hub").alias("b")).union(shared.select("top", "hub")).union(shared.select("id", "top")).filter("a <> b")
+    stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = stars.join(_side(vertices, "b", "n", "bits"), "b").join(_side(vertices, "a", "n", "bits"), "a").filter(_near(percent)).select("a", "b")
+    pairs = stash(pairs, "pairs")
+    star = stash(_linked(pairs, vertices, percent), "links")
     same = usable.join(heads.select("digest", "n", F.col("id").alias("head")), ["digest", "n"]).select(F.col("id").alias("a"), F.col("head").alias("b")).filter("a <> b")
     part = stash(connected(star), "components")
 
     # Pairs in one bucket but in different components: the rest of the links, if there are any.
-    placed = shared.join(part, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    placed = shared.join(part, "id", "left").select("bucket", "place", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_rows = stash(placed.join(mixed, "bucket").join(heads.select("id", "n", "sig"), "id"), "open")
-    side = lambda end: open_rows.select("bucket", F.col("id").alias(end), F.col("component").alias(f"c_{end}"), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
-    rest = side("a").join(side("b"), "bucket").filter((F.col("c_a") < F.col("c_b")) & _near(percent)).select("a", "b").distinct()
-    rest = rest.join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti")
-    rest = stash(rest, "rest")
-    links = _linked(rest, sets(rest), percent)
+    open_rows = stash(placed.join(mixed, "bucket").join(vertices.select("id", "n", "sig", "bits"), "id"), "open")
+    columns = ("id", "component", "n", "sig", "bits")
+    left = open_rows.select("bucket", "place", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = open_rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
+    rest = left.join(right, "bucket").filter((F.col("component_a") < F.col("component_b")) & _own_bucket() & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    rest = stash(rest.distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"), "rest")
+    links = _linked(rest, vertices, percent)
     components = stash(connected(stash(star.union(links).union(same), "links")), "components")
     return (
         whole.join(components, "id", "left")

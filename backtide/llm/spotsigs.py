@@ -93,7 +93,10 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
     order = stash(_followers(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "id", "text"), "followers")
     gifts = base.join(order.select(F.col("next_id").alias("id"), F.col("id").alias("to"), "take"), "id").select("to", F.expr("substring(text, 1, take)").alias("gift"), F.col("spots").alias("next_spots"))
     gifts = gifts.groupBy("to").agg(F.min(F.struct("gift", "next_spots")).alias("next"))
-    own = base.join(gifts, F.col("id") == F.col("to"), "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    # Both joins take the same rows by the same key, so that their texts are shuffled once.
+    joined = base.filter("id is not null").join(gifts, F.col("id") == F.col("to"), "left").drop("to")
+    nulls = base.filter("id is null").withColumn("next", F.lit(None).cast(joined.schema["next"].dataType))
+    own = joined.union(nulls.select(*joined.columns)).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), coalesce(substring(next.gift, 1, cast(n_chars div 3 as int)), ''))")
     out = own.withColumn("edited", edited).withColumn("edited_spots", spot_set(F.col("edited")))
     return out.select(

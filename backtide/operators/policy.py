@@ -128,9 +128,11 @@ def amplification(links: DataFrame, roots: DataFrame, tables: DataFrame, depth:
 
 
 def learn(reads: DataFrame, writes: DataFrame, requests: DataFrame, sample_size: int = 128, depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classified tables, classified rows, thresholds). writes: one row per written row, deletes included."""
+    """(classified tables, classified rows, thresholds). writes: one row per written row, deletes included. Amplification
+    is over sample_size reading requests at even distances in order of time."""
     benign = reads.join(requests.select("rid"), "rid", "left_semi")
-    roots = sample_evenly(benign.select("rid").distinct(), "rid", sample_size)
+    reading = requests.join(benign.select("rid").distinct(), "rid", "left_semi").groupBy("rid").agg(F.min("time").alias("time"))
+    roots = sample_evenly(reading.select("rid", F.struct("time", "rid").alias("at")), "at", sample_size).select("rid")
     tables, rows = table_metrics(benign, writes, requests), row_metrics(benign, writes, requests)
     limits = thresholds(tables, rows)
     grown = tables.join(amplification(row_links(benign, writes), roots, tables.select("tbn"), depth), "tbn", "left").fillna(0.0, ["amplification"])

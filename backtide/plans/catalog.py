@@ -268,9 +268,7 @@ def thresholds(logs: Logs) -> DataFrame:
 
 
 def _classified(logs: Logs) -> tuple[DataFrame, DataFrame]:
-    """With the writers' share as a stand-in for amplification, which has its own query."""
-    tables, rows, limits = _learned(logs)
-    return policy.classify_tables(tables.withColumn("amplification", 10 * F.col("write_request_coverage")), limits), policy.classify_rows(rows, limits)
+    return policy.learn(logs.reads, _row_writes(logs), logs.requests)[:2]
 
 
 @_on_logs
@@ -280,7 +278,8 @@ def classify_tables(logs: Logs) -> DataFrame:
 
 @_on_logs
 def classify_rows(logs: Logs) -> DataFrame:
-    return _classified(logs)[1].select(*ROW, "verdict", _r6("noise_score"))
+    _, rows, limits = _learned(logs)
+    return policy.classify_rows(rows, limits).select(*ROW, "verdict", _r6("noise_score"))
 
 
 @_on_logs

@@ -104,7 +104,7 @@ def trace_sizes(links: DataFrame, roots: DataFrame, depth: int = 4, tables: Data
     ('' for none). All (blocked, root) pairs are searched in one loop."""
     blocked = roots.select(F.lit("").alias("blocked"), "rid")
     if tables is not None:
-        blocked = blocked.union(tables.select(F.col("tbn").alias("blocked")).join(F.broadcast(roots.select("rid"))))
+        blocked = blocked.union(roots.select("rid").join(F.broadcast(tables.select(F.col("tbn").alias("blocked")))).select("blocked", "rid"))
     start = materialise(blocked.withColumn("root", F.col("rid")), "size-roots")
     edges = materialise(links.select("child", "parent", *ROW).distinct(), "size-edges")
     visited = start.select("blocked", "root", "rid")

@@ -100,3 +100,10 @@ def test_tables_are_classified_by_their_amplification(spark, events, folder):
     assert all(got[t].noise_score == pytest.approx(x[1], abs=1e-6) for t, x in expected.items())
     decided = QUERIES["policy_decide"](spark, folder).collect()
     assert {r.decision for r in decided if r.tbn == "t0"} == {"gray"}
+
+
+def test_every_reading_request_is_traced(spark, events, folder):
+    expected = sizes(events)
+    assert {r.rid: r.size for r in QUERIES["trace_size_d4"](spark, folder).collect()} == {f"r{i}": n for i, n in expected.items()}
+    got = {r.tbn: r.amplification for r in QUERIES["amplification"](spark, folder).collect()}
+    assert got == pytest.approx(amplifications(events, list(expected)), abs=1e-6)

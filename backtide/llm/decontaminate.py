@@ -10,6 +10,7 @@ that bound are kept, and a banded alignment decides. A document is contaminated
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ _OTHER = re.compile(r"[\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Benchmark text beyond this many characters is searched for in further passes over the documents.
 BLOCK_CHARS = 4_000_000
+#: Distance in bytes of the window starts inside a long word, as in scripts without spaces.
+STEP = 8
 
 
 def normal(text: str | None) -> bytes:
@@ -67,23 +70,59 @@ def banded_distance(window: bytes, text: bytes, most: int) -> tuple[int, int, in
     return (costs[end], starts[end], end) if costs[end] <= most else None
 
 
+def _spans(text: bytes, window: int, least: int, words: int) -> list[list[tuple[int, int]]]:
+    """(start, end) of the windows of an item, in order: those of `window` bytes, and shorter ones of `words` words."""
+    found = [m.span() for m in re.finditer(rb"[^ ]+", text)]
+    size, stops = min(window, len(text)), [end for _, end in found]
+    starts = sorted({p for start, end in found for p in range(start, end, STEP)} | {*range(0, len(text), max(1, window // 2)), len(text) - size})
+    by_words = []
+    for at in starts:
+        last = bisect_right(stops, at) + words - 1
+        if last < len(stops) and (end := max(at + least, stops[last])) < at + size and end <= len(text):
+            by_words.append((at, end))
+    return [[(at, at + size) for at in starts if at + size <= len(text)], by_words]
+
+
+def _whole_words(item: bytes, text: bytes, start: int, end: int) -> tuple[int, int, int] | None:
+    """As banded_distance, of the first place in text[start:end] where item stands between spaces or ends of texts."""
+    at = text.find(item, start, end)
+    while at >= 0:
+        if text[at - 1 : at] in (b"", b" ", b"\0") and text[at + len(item) : at + len(item) + 1] in (b"", b" ", b"\0"):
+            return 0, at - start, at - start + len(item)
+        at = text.find(item, at + 1, end)
+    return None
+
+
 class WindowIndex:
-    """The q-grams of all windows of a block of benchmark items."""
+    """The q-grams of a block of benchmark items, and the windows that hold each.
+
+    Windows start at every word, at every STEP bytes of a longer one and at every half window. One ends after `window`
+    bytes, another one after `words` words where that is less, but not before `least` bytes. So a passage of `words` words (and `least` bytes) or of
+    `window` bytes from the start of a word holds a whole window, wherever it lies in its item. An item too short for
+    that is one window; one shorter than `least` has to stand in the document as it is, as whole words."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int, share: float, q: int):
-        self.q, self.items, self.windows = q, items, []
+    def __init__(self, items: list[tuple[int, bytes]], window: int, share: float, q: int, least: int, words: int):
+        self.q, self.items, self.text = q, items, b"\0".join(text for _, text in items)
+        none, base, count = np.zeros(0, "i8"), 0, 0
+        windows, grams = [(none, none, none, none)], [(np.zeros(0, "u8"), none, none, none)]
         for number, (_, text) in enumerate(items):
-            size = min(window, len(text))
-            starts = sorted({*range(0, len(text) - size + 1, max(1, window // 2)), len(text) - size})
-            self.windows += [(number, at, text[at : at + size], int(size * share)) for at in starts]
-        self.bounds = np.array([len(w) + 1 - q - e * q for _, _, w, e in self.windows], "i8")
-        self.width = 2 * max([e for *_, e in self.windows], default=0) + 2
-        grams = [qgrams(w, q) for _, _, w, _ in self.windows]
-        hashes = np.concatenate(grams) if grams else np.zeros(0, "u8")
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else owner
+            hashes = qgrams(text, q)
+            place = np.arange(len(hashes))
+            for own in filter(None, _spans(text, window, least, words)):
+                starts, ends = np.array(own, "i8").T
+                edits = ((ends - starts) * (share if len(text) >= least else 0)).astype("i8")
+                windows.append((np.full(len(starts), number), base + starts, base + ends, edits))
+                # Starts and ends rise together, so the windows that hold a q-gram follow one another.
+                grams.append((hashes, base + place, count + np.searchsorted(ends, place + q), count + np.searchsorted(starts, place, "right")))
+                count += len(starts)
+            base += len(text) + 1
+        self.item, self.starts, self.ends, self.edits = map(np.concatenate, zip(*windows))
+        self.exact = np.array([len(text) < least for _, text in items], bool)[self.item]
+        self.bounds = self.ends - self.starts + 1 - q - self.edits * q
+        self.width = 2 * int(self.edits.max(initial=0)) + 2
+        hashes, *rest = map(np.concatenate, zip(*grams))
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner, self.place = hashes[order], owner[order], place[order]
+        self.hashes, (self.place, self.low, self.high) = hashes[order], (x[order] for x in rest)
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(hashes))))) + 6)
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[self._slot(self.hashes)] = True
@@ -102,7 +141,10 @@ class WindowIndex:
         some = high > low
         at, low, n = at[some], low[some], (high - low)[some]
         entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        owner, diagonal = self.owner[entry], np.repeat(at, n) - self.place[entry]
+        at, first = np.repeat(at, n), self.low[entry]
+        n = np.maximum(self.high[entry] - first, 0)
+        owner = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        diagonal = np.repeat(at - self.place[entry], n) + self.starts[owner]
         # Two layers of bands, half a width apart: any `edits + 1` neighbouring diagonals lie in one band.
         found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
         span = (len(joined) // self.width) + 4
@@ -112,29 +154,30 @@ class WindowIndex:
             keys, counts = np.unique(owner * span + band, return_counts=True)
             for key in keys[counts >= np.maximum(1, self.bounds[keys // span])].tolist():
                 number, from_ = key // span, (key % span) * self.width - layer - 2 * self.width
-                item, offset, window, edits = self.windows[number]
+                item, window, edits = int(self.item[number]), self.text[self.starts[number] : self.ends[number]], int(self.edits[number])
                 for text in range(max(0, np.searchsorted(starts, from_, "right") - 1), np.searchsorted(starts, from_ + self.width + len(window), "left")):
                     if text >= len(texts) or (text, number) in done:
                         continue
                     region = max(starts[text], from_ - edits)
                     end = min(starts[text + 1] - 1, from_ + self.width + len(window) + edits)
-                    if end > region and (match := banded_distance(window, joined[region:end], edits)):
+                    if end > region and (match := _whole_words(window, joined, region, end) if self.exact[number] else banded_distance(window, joined[region:end], edits)):
                         done.add((text, number))
                         first = int(region - starts[text])
                         found.setdefault((text, item), {})[number] = (match[0], first + match[1], first + match[2])
-        totals = np.bincount([w[0] for w in self.windows], minlength=len(self.items))
+        totals = np.bincount(self.item, minlength=len(self.items))
         return [
             (text, self.items[item][0], len(own), int(totals[item]), min(m[1] for m in own.values()), max(m[2] for m in own.values()), min(m[0] for m in own.values()))
             for (text, item), own in found.items()
         ]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 80, share: float = 0.06, q: int = 10, least: int = 30) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 80, share: float = 0.06, q: int = 10, least: int = 30, words: int = 13) -> DataFrame:
     """One row for each document and benchmark item of which it holds a window with edits of `share` of it at most:
-    (key, item, windows, of_windows, start, end, edits); start and end are bytes of the normalised document.
+    (key, item, windows, of_windows, start, end, edits); start and end are bytes of the normalised document. See
+    WindowIndex for the windows.
 
-    Items of fewer than `least` normalised bytes hold no evidence and are passed over, like null ones; null, empty and
-    short documents have no row. Repeated documents give repeated rows. The benchmark goes to the tasks in blocks of
+    Items of fewer than `least` normalised bytes are found where they stand whole and unedited; those of fewer than `q`
+    (a short word or two) hold no evidence and are passed over, like null ones; null and empty documents have no row. Repeated documents give repeated rows. The benchmark goes to the tasks in blocks of
     bounded size, one pass over the documents for each block; documents are not shuffled.
     """
     schema = "doc_id long, item_id long, windows int, of_windows int, start long, end long, edits int"
@@ -146,7 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not built:
-                built.append(WindowIndex(index.value, window, share, q))
+                built.append(WindowIndex(index.value, window, share, q, least, words))
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     some = batch.slice(at, 512)
@@ -160,7 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: s
 
     found, block, size = None, [], 0
     for row in benchmark.select(F.col(item).cast("long"), item_text).toLocalIterator():
-        if len(text_ := normal(row[1])) >= least:
+        if len(text_ := normal(row[1])) >= q:
             block, size = [*block, (row[0], text_)], size + len(text_)
         if size >= BLOCK_CHARS:
             found = one_pass(block) if found is None else found.union(one_pass(block))

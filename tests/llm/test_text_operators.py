@@ -127,6 +127,19 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, *texts), bench.limit(0)).count() == 0
 
 
+def test_short_passages_are_found_wherever_they_lie(spark):
+    dice = random.Random(10)
+    prose = lambda n: " ".join("".join(dice.choice("abcdefghijklmnoprstu") for _ in range(dice.randrange(2, 9))) for _ in range(n))
+    item, cjk, short = prose(60), "".join(chr(0x4E00 + dice.randrange(5000)) for _ in range(90)), "name two rivers"
+    words = item.split()
+    texts = [prose(20) + " " + " ".join(words[i : i + 13]) + " " + prose(20) for i in range(len(words) - 12)]
+    texts += [prose(20) + " " + cjk[i : i + 30] for i in range(61)] + [prose(9) + " Name two rivers! " + prose(9), short, "re" + short, short + "ide", prose(300)]
+    bench = spark.createDataFrame([(0, item), (1, cjk), (2, short)], "item_id long, text string")
+    n, m = len(words) - 12, len(words) + 49
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, *texts), bench).collect()}
+    assert got == {(i, 0) for i in range(n)} | {(i, 1) for i in range(n, m)} | {(m, 2), (m + 1, 2)}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"benchmark item number {i} about things of kind {i * 7919}") for i in range(6)], "item_id long, text string")
     table = docs(spark, *[r.text for r in bench.orderBy("item_id").collect()])

@@ -9,7 +9,7 @@ once in ten million times.) Of the keys that a pair shares one is its own, so a
 
 Documents with equal sets are one vertex. Those that share a key with another one get their full sets and a wide sketch
 of SKETCH one-bit MinHash values, whose distance screens pairs more sharply than the signature could (at most
-SKETCH_DISTANCE; missed as seldom). Bucket sizes do not matter: first every member of a bucket is held against its
+SKETCH_DISTANCE; a pair at the link threshold of 0.85 differs in more places once in twenty million times). Bucket sizes do not matter: first every member of a bucket is held against its
 smallest and its largest one, two stars of as many rows as members; those links make components, and only where members
 of a bucket lie in different components, their pairs are looked at. Full sets decide on every link.
 """
@@ -29,7 +29,7 @@ from .common import Memo, drop_stash, stash
 
 CHUNKS, WIDTH, MAX_DISTANCE = 11, 6, 21
 SYMBOLS = CHUNKS * WIDTH
-SKETCH, SKETCH_DISTANCE = 1024, 109
+SKETCH, SKETCH_DISTANCE = 1024, 125
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SYMBOLS, "u8") * np.uint64(2) + np.uint64(1)
 #: Ten-bit lanes with nine-bit values: adding CARRY to the exclusive or of two chunks sets the MARK of lanes that differ.

@@ -1,6 +1,7 @@
 """Fingerprints, classifiers, near copies, personal data and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -124,6 +125,15 @@ def test_chunk_keys_find_all_near_signatures():
         assert set(neardup.chunk_keys(packed[0])[0]) & set(neardup.chunk_keys(packed[1])[0])
 
 
+def tail(n, p, most):
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
+
+
+def test_sketches_lose_no_more_than_chunk_keys():
+    missed_chunks = tail(neardup.WIDTH, 0.15, 1) ** neardup.CHUNKS
+    assert tail(neardup.SKETCH, 0.075, neardup.SKETCH_DISTANCE) <= missed_chunks < 1e-7
+
+
 # Classifiers
 
 

@@ -79,6 +79,15 @@ def checkpoints(total: int, percents: tuple[int, ...] = (1, 5, 10, 25, 50, 75, 1
     return [max(1, round(total * p / 100)) for p in percents]
 
 
+def whole_budgets(ranked: DataFrame, gold: DataFrame, absolute: tuple[int, ...] = (1, 2, 5, 10, 25, 50, 100, 200, 500, 1000)) -> list[int]:
+    """Budgets from 0 to the last rank of (rid, rank): fixed ones up to it, shares of it, and the one that finds all gold
+    requests that have a rank."""
+    marked = ranked.join(gold.select("rid").distinct().withColumn("hit", F.lit(1)), "rid", "left")
+    total, complete = marked.agg(F.max("rank"), F.max(F.when(F.col("hit") == 1, F.col("rank")))).first()
+    total = total or 0
+    return sorted({0, complete or 0, total, *[b for b in absolute if b <= total], *[min(total, b) for b in checkpoints(total)]})
+
+
 def collapsed_dag(links: DataFrame) -> DataFrame:
     """(child, parent, cells, label, uncertain): one edge for each pair of requests."""
     cell = F.concat_ws(".", "tbn", "pk", "col")

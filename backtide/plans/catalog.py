@@ -412,12 +412,9 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.scores(evaluate.compare_sets(good, clean, "doc_id")).select("tp", "fp", "fn", *map(_r6, ("precision", "recall", "f1")))
 
 
-BUDGETS = [0, 1, 2, 5, 10, 25, 50, 100, 500, 1000]
-
-
 def _curve(logs: Logs) -> DataFrame:
     ranked = logs.requests.select("rid", (F.substring("rid", 2, 20).cast("long") + 1).alias("rank"))
-    return evaluate.budget_curve(ranked, logs.gold, BUDGETS)
+    return evaluate.budget_curve(ranked, logs.gold, evaluate.whole_budgets(ranked, logs.gold))
 
 
 @_on_logs

@@ -107,3 +107,16 @@ def test_every_reading_request_is_traced(spark, events, folder):
     assert {r.rid: r.size for r in QUERIES["trace_size_d4"](spark, folder).collect()} == {f"r{i}": n for i, n in expected.items()}
     got = {r.tbn: r.amplification for r in QUERIES["amplification"](spark, folder).collect()}
     assert got == pytest.approx(amplifications(events, list(expected)), abs=1e-6)
+
+
+def test_budgets_reach_the_last_request(spark, folder, tmp_path):
+    rows = [(i, datetime(2026, 1, 1), 1, "view", 1.0, '{"k": 1}') for i in range(0, 10_000, 5)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
+    for path, n in ((folder, N_REQUESTS), (str(tmp_path), 2000)):
+        gold = {i + 1 for i in range(n) if i % 7 < 3}
+        budgets = {0, max(gold), *[b for b in (1, 2, 5, 10, 25, 50, 100, 200, 500, 1000) if b <= n], *[max(1, round(n * p / 100)) for p in (1, 5, 10, 25, 50, 75, 100)]}
+        recall = {b: len([g for g in gold if g <= b]) / len(gold) for b in budgets}
+        assert {r.budget: r.recall for r in QUERIES["budget_curve"](spark, path).collect()} == pytest.approx(recall, abs=1e-6)
+        x = sorted(budgets)
+        area = sum((b - a) * (recall[a] + recall[b]) / 2 for a, b in zip(x, x[1:])) / n
+        assert QUERIES["budget_auc"](spark, path).first().area == pytest.approx(area, abs=1e-6)

@@ -5,7 +5,7 @@ values of 9 bits, each chunk packed into a long with a spare bit to each value.
 (1 - s) * 66 places. All pairs that differ in MAX_DISTANCE places at most are found: by the pigeonhole principle some
 chunk has MAX_DISTANCE // CHUNKS errors at most, which is one; so every chunk gives one key for each place that may be
 wrong, and near signatures share a key. (At the link threshold of 0.85 a pair has two errors or more in every chunk about
-once in ten million times.) Of the keys that a pair shares one is its own, so a pair comes out of one bucket only.
+once in ten million times; for a lower threshold `bounds` gives more chunks and a wider sketch distance.) Of the keys that a pair shares one is its own, so a pair comes out of one bucket only.
 
 Documents with equal sets are one vertex. Those that share a key with another one get their full sets and a wide sketch
 of SKETCH one-bit MinHash values, whose distance screens pairs more sharply than the signature could (at most
@@ -17,7 +17,8 @@ of a bucket lie in different components, their pairs are looked at. Full sets de
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ SYMBOLS = CHUNKS * WIDTH
 SKETCH, SKETCH_DISTANCE = 1024, 125
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SYMBOLS, "u8") * np.uint64(2) + np.uint64(1)
+#: A pair at the link threshold may be missed this often by the chunk keys, and by the sketches.
+CHUNK_MISS, SKETCH_MISS = 1e-7, 5e-8
+#: A lower threshold would take more than 140 chunks.
+LEAST_PERCENT = 50
 #: Ten-bit lanes with nine-bit values: adding CARRY to the exclusive or of two chunks sets the MARK of lanes that differ.
 _LANES = np.arange(WIDTH, dtype="u8") * np.uint64(10)
 _CARRY, _MARK = sum(0x1FF << 10 * i for i in range(WIDTH)), sum(0x200 << 10 * i for i in range(WIDTH))
@@ -39,9 +44,26 @@ _SHIFTS = _RANDOM.integers(0, 1 << 63, SYMBOLS, "u8")
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, "u8") * np.uint64(2) + np.uint64(1)
 _WIDE = _RANDOM.integers(1, 1 << 31, SKETCH, "u4") * np.uint32(2) + np.uint32(1)
 _WIDE_SHIFTS = _RANDOM.integers(0, 1 << 32, SKETCH, "u4")
+_MORE = np.random.default_rng(20240301).integers(0, 1 << 63, (2, 140 * WIDTH), "u8")
+_FACTORS, _SHIFTS = np.append(_FACTORS, _MORE[0] * np.uint64(2) + np.uint64(1)), np.append(_SHIFTS, _MORE[1])
 _WORDS = Memo(lambda word: xxhash.xxh64_intdigest(word), half=200_000)
 
 
+@cache
+def bounds(percent: int) -> tuple[int, int]:
+    """(chunks, sketch distance) for a link threshold: at 85 CHUNKS and SKETCH_DISTANCE, below it more; never fewer."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must lie between {LEAST_PERCENT} and 100, not {percent}")
+    p, bit = 1 - percent / 100, (1 - percent / 100) / 2
+    broken, chunks = 1 - (1 - p) ** WIDTH - WIDTH * p * (1 - p) ** (WIDTH - 1), CHUNKS
+    while broken**chunks > CHUNK_MISS:
+        chunks += 1
+    tail, most = 0.0, SKETCH
+    while (tail := tail + comb(SKETCH, most) * bit**most * (1 - bit) ** (SKETCH - most)) <= SKETCH_MISS and most > SKETCH_DISTANCE:
+        most -= 1
+    return chunks, most
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -62,21 +84,22 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """CHUNKS longs with the MinHash values of a set that is not empty."""
-    low = np.full(SYMBOLS, np.iinfo("u8").max, "u8")
+def signature(hashes: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+    """Longs, one for each chunk, with the MinHash values of a set that is not empty."""
+    symbols = chunks * WIDTH
+    low = np.full(symbols, np.iinfo("u8").max, "u8")
     for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048, None] * _FACTORS + _SHIFTS
+        part = hashes[at : at + 2048, None] * _FACTORS[:symbols] + _SHIFTS[:symbols]
         part ^= part >> np.uint64(32)
         np.minimum(low, part.min(axis=0), out=low)
-    return ((_mix(low) & np.uint64(0x1FF)).reshape(CHUNKS, WIDTH) << _LANES).sum(axis=1, dtype="u8").view("i8")
+    return ((_mix(low) & np.uint64(0x1FF)).reshape(chunks, WIDTH) << _LANES).sum(axis=1, dtype="u8").view("i8")
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     """All keys of signatures (rows of longs): for each chunk and each place in it a hash of the chunk without it."""
     without = signatures.view("u8")[:, :, None] & ~(np.uint64(0x1FF) << _LANES)
-    place = np.arange(CHUNKS, dtype="u8")[:, None] * np.uint64(8) + np.arange(WIDTH, dtype="u8")
-    return _mix(_mix(without) + place * _PLACES[63]).reshape(len(signatures), SYMBOLS).view("i8")
+    place = np.arange(signatures.shape[1], dtype="u8")[:, None] * np.uint64(8) + np.arange(WIDTH, dtype="u8")
+    return _mix(_mix(without) + place * _PLACES[63]).reshape(len(signatures), -1).view("i8")
 
 
 def wide_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -91,7 +114,7 @@ def wide_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype("u1")).view("<i8")
 
 
-def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, width: int, chunks: int = CHUNKS) -> DataFrame:
     """(id, n, digest, sig) of every row: set size, a 128-bit digest of the set, the signature packed into longs; no shuffle."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +124,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 found = shingle_set(value.as_py(), width)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sigs.append(signature(found).tolist() if len(found) else None)
+                sigs.append(signature(found, chunks).tolist() if len(found) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "digest", "sig"])
 
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -115,17 +138,17 @@ def _keyed(vertices: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 keys = chunk_keys(np.array(batch.column(1).to_pylist(), "i8"))
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, SYMBOLS, dtype="i4"), pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype="i4"), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "bucket"])
 
     return vertices.select("id", "sig").mapInArrow(keyed, "id long, bucket array<long>").select("id", F.posexplode("bucket").alias("place", "bucket"))
 
 
-def _own_bucket() -> Column:
+def _own_bucket(chunks: int) -> Column:
     """Whether of the keys that a pair (sig_a, sig_b) shares this row's place is the first: in the first chunk with one
     error at most, the place of the error, or the first place if there is none."""
     out = F.lit(False)
-    for c in reversed(range(CHUNKS)):
+    for c in reversed(range(chunks)):
         errors = F.bit_count((F.col("sig_a")[c].bitwiseXOR(F.col("sig_b")[c]) + F.lit(_CARRY)).bitwiseAND(F.lit(_MARK)))
         here = F.when(errors == 0, F.col("place") == c * WIDTH).otherwise(F.col("place").between(c * WIDTH, c * WIDTH + WIDTH - 1))
         out = F.when(errors <= 1, here).otherwise(out)
@@ -135,7 +158,7 @@ def _own_bucket() -> Column:
 def _near(percent: int) -> Column:
     """Sketches within the distance and set sizes that allow the similarity."""
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH // 64)])
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing <= SKETCH_DISTANCE)
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing <= bounds(percent)[1])
 
 
 def _side(vertices: DataFrame, end: str, *columns: str) -> DataFrame:
@@ -176,7 +199,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     an empty set and are linked with nothing. Rows that repeat a key are one vertex and get the same component; a null
     key is linked with nothing, has a null component and is kept. Other columns of docs are left out.
     """
-    whole = stash(sketches(docs, key, text, width), "sketches")
+    chunks, _ = bounds(percent)
+    whole = stash(sketches(docs, key, text, width, chunks), "sketches")
     usable = whole.filter("n > 0 and id is not null")
     # Equal sets: one vertex for each, by its smallest key.
     heads = usable.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.count("*").alias("members"))
@@ -193,7 +217,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 found = [shingle_set(value.as_py(), width) for value in some.column(1)]
                 yield pa.RecordBatch.from_arrays([
                     some.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.view("i8") for x in found], pa.list_(pa.int64())),
-                    pa.array([wide_sketch(x).tolist() for x in found], pa.list_(pa.int64())), pa.array([signature(x).tolist() for x in found], pa.list_(pa.int64())),
+                    pa.array([wide_sketch(x).tolist() for x in found], pa.list_(pa.int64())), pa.array([signature(x, chunks).tolist() for x in found], pa.list_(pa.int64())),
                 ], names=["id", "n", "hashes", "bits", "sig"])
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
@@ -215,7 +239,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     columns = ("id", "component", "n", "sig", "bits")
     left = open_rows.select("bucket", "place", *[F.col(c).alias(f"{c}_a") for c in columns])
     right = open_rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
-    rest = left.join(right, "bucket").filter((F.col("component_a") < F.col("component_b")) & _own_bucket() & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    rest = left.join(right, "bucket").filter((F.col("component_a") < F.col("component_b")) & _own_bucket(chunks) & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     rest = stash(rest.distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"), "rest")
     links = _linked(rest, vertices, percent)
     components = stash(connected(stash(star.union(links).union(same), "links")), "components")

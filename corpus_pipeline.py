@@ -20,9 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. Of rows that repeat an id one stays; rows
+    """One document of each group of near copies (similarity of 0.8 or more): that of the smallest id. Of rows that repeat an id one stays; rows
     without an id stay."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
     return one.union(docs.filter("doc_id is null").select(*COLUMNS))
 

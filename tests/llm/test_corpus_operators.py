@@ -134,6 +134,30 @@ def test_sketches_lose_no_more_than_chunk_keys():
     assert tail(neardup.SKETCH, 0.075, neardup.SKETCH_DISTANCE) <= missed_chunks < 1e-7
 
 
+def test_bounds_follow_the_threshold():
+    assert neardup.bounds(85) == (neardup.CHUNKS, neardup.SKETCH_DISTANCE)
+    for percent in (50, 80, 90):
+        chunks, most = neardup.bounds(percent)
+        p = 1 - percent / 100
+        assert tail(neardup.WIDTH, p, 1) ** chunks <= 1e-7 and tail(neardup.SKETCH, p / 2, most) <= 1e-7
+    with pytest.raises(ValueError, match="percent"):
+        neardup.bounds(30)
+
+
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark):
+    dice, texts = random.Random(12), []
+    for _ in range(30):
+        words = prose(dice, 104).split()
+        other = list(words)
+        for at in (20, 50) if dice.random() < 0.7 else (50,):
+            other[at] = "qqqqqqqqqq"
+        texts += [" ".join(words), " ".join(other)]
+    expected = components(texts, 80)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs(spark, *texts), "").collect()}
+    assert kept == {i for i, (_, head) in expected.items() if i == head}
+    assert kept != {i for i, (_, head) in components(texts, 85).items() if i == head}
+
+
 # Classifiers
 
 

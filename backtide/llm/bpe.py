@@ -48,9 +48,14 @@ class TreeBpe:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self._whole: dict[bytes, bool] = {}
-        self._merged = Memo(self.merge, half=90_000)
-        self._short = Memo(self._tree, half=60_000)
-        self._units = Memo(self._unit, half=160_000)
+        self._merged = Memo(self.merge, 16 << 20)
+        self._short = Memo(self._tree, 12 << 20)
+        self._units = Memo(self._unit, 64 << 20)
+
+    def forget(self) -> None:
+        """Give back what was remembered: workers outlive their tasks."""
+        for memo in (self._merged, self._short, self._units):
+            memo.forget()
 
     def merge(self, text: bytes) -> tuple[int, ...]:
         """Plain merging, for leaves and windows: the neighbours of lowest rank first, the leftmost of equal ones."""
@@ -170,6 +175,12 @@ def codec(path: str, pattern: str) -> TreeBpe:
     return TreeBpe(load_ranks(path), pattern)
 
 
+def _packed_lists(packed: list[bytes]) -> pa.ListArray:
+    """Lists of packed 32-bit integers as an Arrow array."""
+    offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in packed])]).astype("i4")
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encode_text(text: Column, path: str, pattern: str) -> Column:
     """array<int> of token ids of a string column; a null or empty text has none."""
 
@@ -177,11 +188,8 @@ def encode_text(text: Column, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(path, pattern)
         for batch in batches:
-            packed, offsets = bytearray(), [0]
-            for text in batch:
-                packed += bpe.encode(text.as_py())
-                offsets.append(len(packed) // 4)
-            yield pa.ListArray.from_arrays(np.array(offsets, "i4"), pa.array(np.frombuffer(packed, "<i4")))
+            yield _packed_lists([bpe.encode(text.as_py()) for text in batch])
+        bpe.forget()
 
     return encode(F.coalesce(text, F.lit("")))
 
@@ -198,11 +206,26 @@ def decode_ids(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids array<int>, decoded binary>: encode_text, and decode_ids of its ids, in one pass through one worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = codec(path, pattern)
+        for batch in batches:
+            packed = [bpe.encode(text.as_py()) for text in batch]
+            decoded = pa.array([bpe.decode(array("i", ids).tolist()) for ids in packed], pa.binary())
+            yield pa.StructArray.from_arrays([_packed_lists(packed), decoded], ["ids", "decoded"])
+        bpe.forget()
+
+    return both(F.coalesce(text, F.lit("")))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (key, ids, decoded) for each row of docs, in no order; nothing is shuffled.
 
     A null text counts as empty: no ids, no bytes. Repeated rows give repeated results; a null key stays null; other
     columns of docs are left out, so none can clash. An empty table gives an empty one.
     """
-    ids = docs.select(F.col(key).alias("doc_id"), encode_text(F.col(text), path, pattern).alias("ids"))
-    return ids.withColumn("decoded", decode_ids(F.col("ids"), path, pattern))
+    coded = docs.select(F.col(key).alias("doc_id"), round_trip(F.col(text), path, pattern).alias("coded"))
+    return coded.select("doc_id", "coded.ids", "coded.decoded")

@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Without one, a local session gets a temporary
+    folder; on a cluster that is an error, as tasks would write to folders of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="backtide-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -49,19 +52,44 @@ def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(limit)
 
 
+def within_bytes(sample: DataFrame, text: str, limit_bytes: int, *order: str) -> list[Row]:
+    """Rows of a sample whose row number is bounded, in order, as long as their texts come to limit_bytes together; one
+    that does not fit is passed over. The driver sees lengths first, and then only texts that fit."""
+    kept = stash(sample.withColumn("_row", F.monotonically_increasing_id()), "sample")
+    chosen, left = [], limit_bytes
+    for row in kept.select("_row", F.coalesce(F.octet_length(text), F.lit(0)).alias("size"), *order).orderBy(*order, "_row").collect():
+        if row["size"] <= left:
+            chosen.append((row["_row"],))
+            left -= row["size"]
+    if not chosen:
+        return []
+    rows = kept.join(F.broadcast(sample.sparkSession.createDataFrame(chosen, "_row long")), "_row").orderBy(*order, "_row").drop("_row").collect()
+    drop_stash(kept)
+    return rows
+
+
 class Memo(dict):
-    """A dict of at most 2 * half entries: when the young half is full it becomes the old one, whose hits move back."""
+    """A dict that makes what it lacks and holds about `budget` bytes at most: when the young half of them is full it
+    becomes the old one, whose hits move back. Keys are strings or bytes, values no longer than a few bytes for each
+    character of the key, so an entry counts as 250 bytes and five a character; keys beyond a tenth of the budget are
+    made each time."""
 
-    def __init__(self, make, half: int = 150_000):
+    def __init__(self, make, budget: int = 32 << 20):
         super().__init__()
-        self.make, self.half, self.old = make, half, {}
+        self.make, self.half, self.held, self.old = make, budget // 2, 0, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
+        if (value := self.old.get(key)) is None:
             value = self.make(key)
-        if len(self) >= self.half:
-            self.old = dict(self)
+        size = 250 + 5 * len(key)
+        if (held := self.held + size) > self.half:
+            if size > self.half // 5:
+                return value
+            self.old, held = dict(self), size
             self.clear()
-        self[key] = value
+        self[key], self.held = value, held
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0

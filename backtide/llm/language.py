@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .common import within_bytes
 from .quality import held_out
-from .subwords import WordScores, word_features
+from .subwords import WordScores, slices, word_features
 
-#: Rows of each language that a model is fitted on, about and at most twice as many.
-SAMPLE_PER_LANGUAGE = 600
+#: Rows of each language, and bytes of all their texts, that a model is fitted on at most.
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 600, 24 << 20
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -63,11 +65,13 @@ def train(texts: list[str], languages: list[str], *, buckets: int = 1 << 16, low
     random, model = np.random.default_rng(seed), CodeModel(names, codes, np.zeros((buckets, codes.shape[1])), np.zeros(codes.shape[1]), low, high)
     rows = []
     for text in texts:
-        words, counts = np.unique(np.array(text.lower().split() or [""]), return_counts=True)
-        owner, bucket = word_features(list(map(str, words)), buckets, low, high)
+        own: dict[str, int] = {}
+        for word in text.lower().split() or [""]:
+            own[word] = own.get(word, 0) + 1
+        owner, bucket = word_features(list(own), buckets, low, high)
         features, where = np.unique(bucket, return_inverse=True)
-        share = np.bincount(where, counts[owner])
-        rows.append((features, (share / share.sum())[:, None]))
+        share = np.bincount(where, np.fromiter(own.values(), "f8", len(own))[owner], len(features))
+        rows.append((features.astype("i4"), (share / max(1, share.sum())).astype("f4")[:, None]))
     steps, total = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
@@ -77,37 +81,45 @@ def train(texts: list[str], languages: list[str], *, buckets: int = 1 << 16, low
             steps += 1
             margin = (model.weights[features] * share).sum(axis=0) + model.bias
             back = -code / (1 + np.exp(np.clip(code * margin, -30, 30)))
-            model.weights[features] -= pace * (share / np.sqrt((share**2).sum())) * back
+            model.weights[features] -= pace * (share / np.sqrt((share**2).sum() + 1e-12)) * back
             model.bias -= pace * 0.01 * back
     return model
 
 
-def fit_languages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> CodeModel:
-    """Fit on rows with a language and a text whose crc32(key) mod 3 is not 1: of each language those with the smallest
-    key hashes, about per_language. Only counts for each language and the bounded sample reach the driver."""
+def fit_languages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> CodeModel:
+    """Fit on rows with a language and a text whose crc32(key) mod 3 is not 1: of each language the per_language ones
+    with the smallest key hashes, as far as all their texts come to sample_bytes. Only counts for
+    each language and that sample reach the driver."""
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key, 3, 1))
     counts = {r[lang]: r["n"] for r in usable.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000))
+    usable = usable.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("_order"))
+    # The smallest hashes of a language lie below about its share of their range; twice that is read, in one pass.
     share = F.lit(0)
     for name, n in counts.items():
-        share = F.when(F.col(lang) == name, int(min(1, per_language / n) * 1_000_000) + 1).otherwise(share)
-    found = usable.filter(place < share).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).limit(2 * per_language * max(1, len(counts)))
-    rows = sorted(found.collect(), key=lambda r: (r.key, r.lang, r.text))
+        share = F.when(F.col("lang") == name, min(1_000_000, 2_000_000 * per_language // n + 1)).otherwise(share)
+    low = usable.filter(((F.col("_order") / 2.0**64 + 0.5) * 1_000_000).cast("long") < share)
+    first = Window.partitionBy("lang").orderBy("_order", "key", "text")
+    sample = low.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= per_language)
+    rows = within_bytes(sample, "text", sample_bytes, "_place", "lang")
+    rows.sort(key=lambda r: (r.key, r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
 def predict_languages(docs: DataFrame, model: CodeModel, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1) and lang_ambiguous. Whole texts, no shuffle. A null text, one without
+    """docs with lang_pred, lang_score (0 to 1) and lang_ambiguous; columns of these names are replaced. Whole texts, no
+    shuffle; every row, repeated ones alike, whatever its key. A null text, one without
     any letter, or any text if nothing was learned, is `und` with score 0 and ambiguous."""
 
+    weights = model.weights.astype("f4")
+
     @F.arrow_udf("struct<pred:string, score:double, ambiguous:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = WordScores(model.weights, model.low, model.high)
+        table = WordScores(weights, model.low, model.high)
         names = np.array(model.languages, dtype=object)
         for batch in batches:
             parts = []
-            for at in range(0, len(batch), 256):
-                sums = table.sums([(text or "").lower().split() for text in batch.slice(at, 256).to_pylist()])
+            for first, after in slices([len(text.as_py() or "") for text in batch]):
+                sums = table.sums([(text or "").lower().split() for text in batch.slice(first, after - first).to_pylist()])
                 best, score, ambiguous = model.decode(sums[:, :-1] / np.maximum(sums[:, -1:], 1) + model.bias)
                 parts.append((names[best], score, ambiguous))
             pred, score, ambiguous = map(np.concatenate, zip(*parts)) if parts else ([], [], [])
@@ -117,7 +129,7 @@ def predict_languages(docs: DataFrame, model: CodeModel, *, text: str = "text")
     guess = predict(F.col(text)) if model.languages else F.lit(None).cast("struct<pred:string, score:double, ambiguous:boolean>")
     out = docs.withColumn("_guess", guess)
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")],
         F.when(known, F.col("_guess.pred")).otherwise("und").alias("lang_pred"),
         F.when(known, F.col("_guess.score")).otherwise(0.0).alias("lang_score"),
         F.when(known, F.col("_guess.ambiguous")).otherwise(True).alias("lang_ambiguous"),

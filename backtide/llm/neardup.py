@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, drop_stash, stash
+from .subwords import slices
 
 CHUNKS, WIDTH, MAX_DISTANCE = 11, 6, 21
 SYMBOLS = CHUNKS * WIDTH
@@ -46,7 +47,6 @@ _WIDE = _RANDOM.integers(1, 1 << 31, SKETCH, "u4") * np.uint32(2) + np.uint32(1)
 _WIDE_SHIFTS = _RANDOM.integers(0, 1 << 32, SKETCH, "u4")
 _MORE = np.random.default_rng(20240301).integers(0, 1 << 63, (2, 140 * WIDTH), "u8")
 _FACTORS, _SHIFTS = np.append(_FACTORS, _MORE[0] * np.uint64(2) + np.uint64(1)), np.append(_SHIFTS, _MORE[1])
-_WORDS = Memo(lambda word: xxhash.xxh64_intdigest(word), half=200_000)
 
 
 @cache
@@ -70,13 +70,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def word_hashes() -> Memo:
+    """Hashes of words, remembered by a task."""
+    return Memo(xxhash.xxh64_intdigest, 32 << 20)
+
+
+def shingle_set(text: str | None, width: int, known: Memo | None = None) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text. Words are what bytes.split() gives: runs of anything but the
     space and 0x09-0x0D, with A-Z in lower case. Fewer words than width are one shingle; no words, none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, "u8")
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), "u8", len(words))
+    hashes = np.fromiter(map((known if known is not None else word_hashes()).__getitem__, words), "u8", len(words))
     n = max(1, len(words) - width + 1)
     total = np.full(n, len(words) if len(words) < width else width, "u8")
     for k in range(min(width, len(words))):
@@ -118,10 +123,11 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, chunks: int = CHU
     """(id, n, digest, sig) of every row: set size, a 128-bit digest of the set, the signature packed into longs; no shuffle."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_hashes()
         for batch in batches:
             ids, sizes, digests, sigs = batch.column(0), [], [], []
             for value in batch.column(1):
-                found = shingle_set(value.as_py(), width)
+                found = shingle_set(value.as_py(), width, known)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signature(found, chunks).tolist() if len(found) else None)
@@ -211,10 +217,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     drop_stash(keys)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                found = [shingle_set(value.as_py(), width) for value in some.column(1)]
+            for first, after in slices([len(value.as_py() or "") for value in batch.column(1)], 500):
+                some = batch.slice(first, after - first)
+                found = [shingle_set(value.as_py(), width, known) for value in some.column(1)]
                 yield pa.RecordBatch.from_arrays([
                     some.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.view("i8") for x in found], pa.list_(pa.int64())),
                     pa.array([wide_sketch(x).tolist() for x in found], pa.list_(pa.int64())), pa.array([signature(x, chunks).tolist() for x in found], pa.list_(pa.int64())),

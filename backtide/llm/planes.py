@@ -71,7 +71,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known = Memo(self._encode, half=250_000)
+        self.known = Memo(self._encode, 96 << 20)
 
     def _encode(self, word: str) -> bytes:
         core = word.rstrip(_MARKS)
@@ -124,6 +124,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, *, end: int = 1, ke
                     yield flush()
         if keys:
             yield flush()
+        words.known.forget()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
-from .subwords import WordScores, word_features
+from .common import bounded_sample, within_bytes
+from .subwords import WordScores, slices, word_features
 
-#: How many labelled rows a model is fitted on at most; scoring covers all rows.
-SAMPLE_ROWS = 4_000
+#: How many labelled rows, and bytes of their texts, a model is fitted on at most; scoring covers all rows.
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 24 << 20
 REPEAT = "\x00again"
 
 
@@ -53,19 +53,15 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 17, dim: i
     """Fit on the given texts. The same texts in the same order give the same model; without any, all scores are 0.5."""
     random = np.random.default_rng(seed)
     model = SubwordModel(random.uniform(-1 / dim, 1 / dim, (buckets, dim)), np.zeros((dim, 2)), np.zeros(2), low, high)
-    known: dict[str, np.ndarray] = {}
-    split = [words_of(text) for text in texts]
-    fresh = sorted({word for words in split for word in words})
-    for at in range(0, len(fresh), 50_000):
-        some = fresh[at : at + 50_000]
-        owner, bucket = word_features(some, buckets, low, high)
-        order = np.argsort(owner, kind="stable")
-        for word, own in zip(some, np.split(bucket[order].astype("i4"), np.cumsum(np.bincount(owner, minlength=len(some)))[:-1])):
-            known[word] = own
     rows = []
-    for words in split:
-        features, counts = np.unique(np.concatenate([known[w] for w in words]), return_counts=True) if words else (np.zeros(0, "i4"), np.zeros(0))
-        rows.append((features, (counts / max(1, counts.sum()))[:, None]))
+    for text in texts:
+        own: dict[str, int] = {}
+        for word in words_of(text):
+            own[word] = own.get(word, 0) + 1
+        owner, bucket = word_features(list(own), buckets, low, high)
+        features, where = np.unique(bucket, return_inverse=True)
+        share = np.bincount(where, np.fromiter(own.values(), "f8", len(own))[owner], len(features))
+        rows.append((features.astype("i4"), (share / max(1, share.sum())).astype("f4")[:, None]))
     steps, total = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
@@ -94,8 +90,8 @@ def score_text(text: Column, model: SubwordModel) -> Column:
         table = WordScores(weights, low, high)
         for batch in batches:
             out = []
-            for at in range(0, len(batch), 256):
-                sums = table.sums([words_of(text) for text in batch.slice(at, 256).to_pylist()])
+            for first, after in slices([len(text.as_py() or "") for text in batch]):
+                sums = table.sums([words_of(text) for text in batch.slice(first, after - first).to_pylist()])
                 out.append(1 / (1 + np.exp(-np.clip(sums[:, 0] / np.maximum(sums[:, 1], 1) + bias, -30, 30))))
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
@@ -107,20 +103,22 @@ def held_out(key: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> SubwordModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> SubwordModel:
     """Fit on the sample_rows labelled documents of smallest key hash whose crc32(key) mod 5 is not 0.
 
-    Of a key with several labels the greatest counts; null labels and null keys are left out. The sampled keys are
-    bounded, so they are broadcast; only their texts reach the driver.
+    Of a key with several labels the greatest counts, of one with several texts the least; null labels and null keys are
+    left out. The sampled keys are bounded, so they are broadcast; of their texts as many as come to sample_bytes reach
+    the driver.
     """
     usable = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key, 5, 0)).groupBy(key).agg(F.max(label).alias("label"))
     sample = bounded_sample(usable, key, sample_rows).select(F.col(key).alias("key"), F.col("label").cast("int").alias("label"))
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").dropDuplicates(["key"])
-    rows = sorted(found.select("key", "text", "label").collect(), key=lambda r: r.key)
-    return train([r.text for r in rows], [int(r.label == 1) for r in rows])
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    rows = sorted(within_bytes(found.withColumn("_order", F.xxhash64("key")), "text", sample_bytes, "_order", "key"), key=lambda r: r.key)
+    return train([r.text or "" for r in rows], [int(r.label == 1) for r in rows])
 
 
 def score_quality(docs: DataFrame, model: SubwordModel, *, key: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:
-    """docs with quality_score and quality_predicted (1 from `least` on). Nothing is shuffled; every row is scored."""
+    """docs with quality_score and quality_predicted (1 from `least` on); columns of these names are replaced. Nothing
+    is shuffled; every row is scored, repeated ones alike, null and empty texts by the bias. An empty table stays so."""
     scored = docs.withColumn("quality_score", score_text(F.col(text), model))
     return scored.withColumn("quality_predicted", (F.col("quality_score") >= least).cast("int"))

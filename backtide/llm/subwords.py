@@ -43,33 +43,56 @@ def word_features(words: list[str], buckets: int, low: int, high: int, whole: bo
 
 
 class WordScores:
-    """For each word, its features' summed rows of a weight matrix and their number; a bounded table of known words."""
+    """For each word, its features' summed rows of a weight matrix and their number. Known words are remembered until
+    they come to about `budget` bytes; then the table begins anew. One belongs to a task and goes with it."""
 
-    def __init__(self, weights: np.ndarray, low: int, high: int, limit: int = 400_000):
-        self.weights, self.low, self.high, self.limit = weights, low, high, limit
+    def __init__(self, weights: np.ndarray, low: int, high: int, budget: int = 48 << 20):
+        self.weights, self.low, self.high, self.budget = weights, low, high, budget
         self._reset()
 
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, self.weights.shape[1] + 1), "f8")
+        self.rows = np.zeros((1024, self.weights.shape[1] + 1), "f8")
+        self.held = 0
 
     def _learn(self, words: list[str]) -> None:
+        first, after = len(self.place), len(self.place) + len(words)
+        if after > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(after, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
         owner, bucket = word_features(words, len(self.weights), self.low, self.high)
-        sums = [np.bincount(owner, self.weights[bucket, k], len(words)) for k in range(self.weights.shape[1])]
-        self.rows = np.concatenate([self.rows, np.stack([*sums, np.bincount(owner, minlength=len(words))], axis=1)])
-        for word in words:
-            self.place[word] = len(self.place)
+        for k in range(self.weights.shape[1]):
+            self.rows[first:after, k] = np.bincount(owner, self.weights[bucket, k], len(words))
+        self.rows[first:after, -1] = np.bincount(owner, minlength=len(words))
+        self.place.update(zip(words, range(first, after)))
+        self.held += sum(map(len, words)) + len(words) * (200 + 8 * self.rows.shape[1])
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
         """For each list of words the sum of its words' rows; the last column counts features."""
-        fresh = list({word for words in texts for word in words} - self.place.keys())
-        if len(self.place) + len(fresh) > self.limit and self.place:
+        if self.held > self.budget:
             self._reset()
-            fresh = list({word for words in texts for word in words})
-        for at in range(0, len(fresh), 20_000):
-            self._learn(fresh[at : at + 20_000])
+        fresh, chars, part = {word for words in texts for word in words} - self.place.keys(), 0, []
+        for word in fresh:  # features take about a hundred bytes a character while they are made
+            part.append(word)
+            chars += len(word) + 8
+            if chars > 200_000:
+                self._learn(part)
+                chars, part = 0, []
+        if part:
+            self._learn(part)
         out = np.zeros((len(texts), self.rows.shape[1]))
         for i, words in enumerate(texts):
             if words:
                 out[i] = self.rows[list(map(self.place.__getitem__, words))].sum(axis=0)
         return out
+
+
+def slices(sizes: list[int], most_rows: int = 256, most_chars: int = 2_000_000) -> list[tuple[int, int]]:
+    """(first, after) of consecutive rows with most_rows rows and about most_chars characters at most; a longer text is
+    alone."""
+    out, first, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first >= most_rows or held + size > most_chars):
+            out.append((first, i))
+            first, held = i, 0
+        held += size
+    return [*out, (first, len(sizes))] if sizes else out

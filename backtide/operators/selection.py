@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from backtide.session import materialise
+
 from .versions import ROW
 
 
@@ -18,9 +20,10 @@ def one_read_per_row(reads: DataFrame, latest: bool = False) -> DataFrame:
 def sample_evenly(items: DataFrame, order: str, size: int) -> DataFrame:
     """size items at even distances of all items in order (the last one if size is 1); all if there are fewer.
 
-    Positions come from counts of ranges of the order column, so no task holds all items."""
+    Positions come from counts of ranges of the order column, so no task holds all items. The ranges are written before
+    they are counted: their bounds are sampled anew at each run. Items that are equal in order may come in any order."""
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = items.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
+    placed = materialise(items.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "sample-ranges")
     placed = placed.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     counts = [(r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()]
     total, starts = 0, {}

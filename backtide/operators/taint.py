@@ -43,7 +43,7 @@ class Judge(Protocol):
 
 def judge_batches(candidates: DataFrame, key_columns: list[str], judge: Callable[[pd.DataFrame], list[bool]], batch_size: int = 40) -> DataFrame:
     """candidates with tainted, by a judge that sees each distinct combination of key_columns once (a remote model, say).
-    A judge that returns another number of decisions than rows is an error."""
+    Null is a key like any other. A judge that returns another number of decisions than rows is an error."""
     distinct = candidates.select(*key_columns).distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,8 +56,9 @@ def judge_batches(candidates: DataFrame, key_columns: list[str], judge: Callable
                 yield batch.assign(tainted=decisions)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema) + ", tainted boolean"
-    judged = distinct.mapInPandas(run, schema)
-    return candidates.join(judged, key_columns)
+    judged = distinct.mapInPandas(run, schema).withColumnsRenamed({c: f"_judged_{c}" for c in key_columns})
+    same = [F.col(c).eqNullSafe(F.col(f"_judged_{c}")) for c in key_columns]
+    return candidates.join(judged, same).drop(*[f"_judged_{c}" for c in key_columns])
 
 
 def fenced_json(reply: Column) -> Column:

@@ -1,7 +1,7 @@
 """Change-stream transactions (one JSON object for each commit) as write logs.
 
-Every rule looks at one transaction at a time, so the same transforms serve batch tables and streams (append mode, no
-state). A transaction: {xid, timestamp, change: [{kind, schema, table, columnnames, columnvalues, oldkeys:{keynames,
+Every rule of cell_changes looks at one transaction at a time, so the same transform serves batch tables and streams
+(append mode, no state). row_changes does so too, within each record; table_changes groups and is for batch tables. A transaction: {xid, timestamp, change: [{kind, schema, table, columnnames, columnvalues, oldkeys:{keynames,
 keyvalues}} | {kind: "message", prefix, content}]}.
 """
 
@@ -28,12 +28,16 @@ def request_id(changes: Column) -> Column:
 
 
 def _values(names: Column, values: Column) -> Column:
-    return F.map_from_arrays(F.transform(names, lambda n: F.lower(F.trim(n))), F.transform(values, lambda v: F.to_json(v)))
+    """Folded column name -> JSON text; of names that are equal once folded the last one counts."""
+    folded = F.transform(names, lambda n: F.lower(F.trim(n)))
+    entries = F.zip_with(folded, F.transform(values, lambda v: F.to_json(v)), lambda n, v: F.struct(n.alias("key"), v.alias("value")))
+    last = F.transform(F.array_distinct(folded), lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1))
+    return F.map_from_entries(F.filter(last, lambda e: e["key"].isNotNull()))
 
 
 def _plain(json: Column) -> Column:
-    """A key's JSON text as a bare string; null for JSON null."""
-    return F.when(json != "null", F.regexp_replace(json, '^"(.*)"$', "$1"))
+    """A key's JSON text as a bare string, without escapes; null for JSON null."""
+    return F.call_function("try_variant_get", F.call_function("try_parse_json", json), F.lit("$"), F.lit("string"))
 
 
 def cell_changes(transactions: DataFrame, tables: dict[str, str], now: Column | None = None) -> DataFrame:

@@ -42,7 +42,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = docs.withColumn("ids", bpe.encode_text(F.col("text"), path, pattern)).withColumn("decoded", bpe.decode_ids(F.col("ids"), path, pattern))
+    coded = docs.select("doc_id", "lang", "source", "text", bpe.round_trip(F.col("text"), path, pattern).alias("coded")).select("*", "coded.ids", "coded.decoded")
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),

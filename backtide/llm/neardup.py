@@ -9,9 +9,13 @@ once in ten million times; for a lower threshold `bounds` gives more chunks and
 
 Documents with equal sets are one vertex. Those that share a key with another one get their full sets and a wide sketch
 of SKETCH one-bit MinHash values, whose distance screens pairs more sharply than the signature could (at most
-SKETCH_DISTANCE; a pair at the link threshold of 0.85 differs in more places once in twenty million times). Bucket sizes do not matter: first every member of a bucket is held against its
-smallest and its largest one, two stars of as many rows as members; those links make components, and only where members
-of a bucket lie in different components, their pairs are looked at. Full sets decide on every link.
+SKETCH_DISTANCE; a pair at the link threshold of 0.85 differs in more places once in twenty million times). First every
+member of a bucket is held against its smallest and its largest one, two stars of as many rows as members; those links
+make components, and only where members of a bucket lie in different components, their pairs are looked at: all of them
+in a bucket of PAIRWISE members, and in a larger one those that share a shingle among their rarest. (Sets of similarity
+s share one of the n - ceil(s n) + 1 shingles that come first in any one order, so nothing is lost; in order of how many
+members hold a shingle, rarest first, a passage that many documents share makes no pairs.) Full sets decide on every
+link. MAX_DISTANCE says what the chunks guarantee; no filter uses it, as pairs beyond it that share a key count too.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ SYMBOLS = CHUNKS * WIDTH
 SKETCH, SKETCH_DISTANCE = 1024, 125
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SYMBOLS, "u8") * np.uint64(2) + np.uint64(1)
+#: Mixed buckets of more members are cut up by rare shingles before their pairs are looked at.
+PAIRWISE = 64
+#: Rows of one hub are dealt to this many tasks.
+SALTS = 32
 #: A pair at the link threshold may be missed this often by the chunk keys, and by the sketches.
 CHUNK_MISS, SKETCH_MISS = 1e-7, 5e-8
 #: A lower threshold would take more than 140 chunks.
@@ -171,13 +179,42 @@ def _side(vertices: DataFrame, end: str, *columns: str) -> DataFrame:
     return vertices.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
 
 
+def _with_hub(pairs: DataFrame, vertices: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with columns of both ends. Many pairs may have one b, so its rows are dealt by a salt as well; of its
+    columns at most SALTS copies are made."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    hubs = salted.select("b", "salt").distinct().join(_side(vertices, "b", *columns), "b")
+    return salted.join(_side(vertices, "a", *columns), "a").join(hubs, ["b", "salt"]).drop("salt")
+
+
 def _linked(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the similarity."""
-    both = pairs.join(_side(vertices, "b", "hashes"), "b").join(_side(vertices, "a", "hashes"), "a")
+    both = _with_hub(pairs, vertices, "hashes")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b"))
     return both.filter(100 * shared >= percent * (F.size("hashes_a") + F.size("hashes_b") - shared)).select("a", "b")
 
 
+def _across(placed: DataFrame, vertices: DataFrame, percent: int, chunks: int) -> DataFrame:
+    """(a, b) of rows (bucket, place, id, component) in one bucket but in different components that may be links."""
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high")
+    rows = stash(placed.join(mixed.select("bucket", "members"), "bucket"), "open")
+
+    def pairs(keyed: DataFrame, *by: str) -> DataFrame:
+        left = keyed.select(*by, "place", F.col("id").alias("a"), F.col("component").alias("component_a"))
+        right = keyed.select(*by, F.col("id").alias("b"), F.col("component").alias("component_b"))
+        found = left.join(right, list(by)).filter("component_a < component_b")
+        return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "place").distinct()
+
+    small = pairs(rows.filter(F.col("members") <= PAIRWISE), "bucket")
+    large = rows.filter(F.col("members") > PAIRWISE)
+    shingles = vertices.join(large.select("id").distinct(), "id", "left_semi").select("id", "n", F.explode("hashes").alias("shingle"))
+    held = shingles.groupBy("shingle").agg(F.count("*").alias("holders"))
+    ordered = shingles.join(held, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
+    first = ordered.select("id", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("s")).select("id", "s.shingle")
+    found = small.union(pairs(large.join(first, "id"), "bucket", "shingle"))
+    return _with_hub(found, vertices, "n", "sig", "bits").filter(_own_bucket(chunks) & _near(percent)).select("a", "b").distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id reachable. Large-star and small-star
     steps until nothing changes, each written to the shared folder; no row count or star size matters to a task."""
@@ -203,7 +240,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Two rows are linked if 100 * |A & B| >= percent * |A | B| for their shingle sets; component_id is the smallest key
     reachable over links, kept says whether it is the row's own. Texts without words (null, empty, white space) have
     an empty set and are linked with nothing. Rows that repeat a key are one vertex and get the same component; a null
-    key is linked with nothing, has a null component and is kept. Other columns of docs are left out.
+    key is linked with nothing, has a null component and is kept. An empty table gives an empty one; other columns of
+    docs are left out. Whole texts count, however long. What is written on the way is deleted, but for the sketches and
+    components that the result reads.
     """
     chunks, _ = bounds(percent)
     whole = stash(sketches(docs, key, text, width, chunks), "sketches")
@@ -233,23 +272,18 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     stars = shared.select(F.col("id").alias("a"), F.col("hub").alias("b")).union(shared.select("top", "hub")).union(shared.select("id", "top")).filter("a <> b")
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = stars.join(_side(vertices, "b", "n", "bits"), "b").join(_side(vertices, "a", "n", "bits"), "a").filter(_near(percent)).select("a", "b")
-    pairs = stash(pairs, "pairs")
+    pairs = stash(_with_hub(stars, vertices, "n", "bits").filter(_near(percent)).select("a", "b"), "pairs")
     star = stash(_linked(pairs, vertices, percent), "links")
     same = usable.join(heads.select("digest", "n", F.col("id").alias("head")), ["digest", "n"]).select(F.col("id").alias("a"), F.col("head").alias("b")).filter("a <> b")
     part = stash(connected(star), "components")
 
     # Pairs in one bucket but in different components: the rest of the links, if there are any.
     placed = shared.join(part, "id", "left").select("bucket", "place", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_rows = stash(placed.join(mixed, "bucket").join(vertices.select("id", "n", "sig", "bits"), "id"), "open")
-    columns = ("id", "component", "n", "sig", "bits")
-    left = open_rows.select("bucket", "place", *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = open_rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
-    rest = left.join(right, "bucket").filter((F.col("component_a") < F.col("component_b")) & _own_bucket(chunks) & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    rest = stash(rest.distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"), "rest")
-    links = _linked(rest, vertices, percent)
-    components = stash(connected(stash(star.union(links).union(same), "links")), "components")
+    rest = stash(_across(placed, vertices, percent, chunks).join(pairs, ["a", "b"], "left_anti"), "rest")
+    links = stash(star.union(_linked(rest, vertices, percent)).union(same), "links")
+    components = stash(connected(links), "components")
+    for done in (heads, shared, vertices, pairs, star, part, rest, links):
+        drop_stash(done)
     return (
         whole.join(components, "id", "left")
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -12,18 +12,23 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .subwords import slices
+
 _OTHER = re.compile(r"[\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Benchmark text beyond this many characters is searched for in further passes over the documents.
 BLOCK_CHARS = 4_000_000
 #: Distance in bytes of the window starts inside a long word, as in scripts without spaces.
 STEP = 8
+#: Bytes of documents that are looked through at once, and q-gram hits that are counted at once.
+SEGMENT, HITS = 1 << 19, 1 << 21
 
 
 def normal(text: str | None) -> bytes:
@@ -122,8 +127,14 @@ class WindowIndex:
         self.width = 2 * int(self.edits.max(initial=0)) + 2
         hashes, *rest = map(np.concatenate, zip(*grams))
         order = np.argsort(hashes, kind="stable")
-        self.hashes, (self.place, self.low, self.high) = hashes[order], (x[order] for x in rest)
-        self.bits = max(16, int(np.ceil(np.log2(max(1, len(hashes))))) + 6)
+        hashes, (self.place, self.low, self.high) = hashes[order], (x[order] for x in rest)
+        # Of each distinct q-gram a run of entries; within a run the windows rise, so (run, window) is in order.
+        self.hashes, self.first = np.unique(hashes, return_index=True)
+        self.first = np.append(self.first, len(hashes))
+        run, self.stride = np.repeat(np.arange(len(self.hashes)), np.diff(self.first)), count + 1
+        self.at_low, self.at_high = run * self.stride + self.low, run * self.stride + np.maximum(self.low, self.high)
+        self.reach = int((self.ends - self.starts).max(initial=0)) + 4 * self.width + q
+        self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.hashes))))) + 6)
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[self._slot(self.hashes)] = True
 
@@ -132,85 +143,115 @@ class WindowIndex:
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text, item, windows matched, windows, start, end, fewest edits) of every item found in the texts, which are
-        looked through as one string; a zero byte between them stands in no q-gram of an item."""
+        looked through as one string; a zero byte between them stands in no q-gram of an item. The string is taken in
+        segments that overlap by more than a match's length, so long texts need no more memory."""
         joined = b"\0".join(texts)
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        hashes = qgrams(joined, self.q)
-        at = np.flatnonzero(self.filter[self._slot(hashes)])
-        low, high = (np.searchsorted(self.hashes, hashes[at], side) for side in ("left", "right"))
-        some = high > low
-        at, low, n = at[some], low[some], (high - low)[some]
-        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, first = np.repeat(at, n), self.low[entry]
-        n = np.maximum(self.high[entry] - first, 0)
-        owner = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        diagonal = np.repeat(at - self.place[entry], n) + self.starts[owner]
-        # Two layers of bands, half a width apart: any `edits + 1` neighbouring diagonals lie in one band.
         found: dict[tuple[int, int], dict[int, tuple[int, int, int]]] = {}
-        span = (len(joined) // self.width) + 4
-        done = set()
-        for layer in (0, self.width // 2):
-            band = (diagonal + layer + 2 * self.width) // self.width
-            keys, counts = np.unique(owner * span + band, return_counts=True)
-            for key in keys[counts >= np.maximum(1, self.bounds[keys // span])].tolist():
-                number, from_ = key // span, (key % span) * self.width - layer - 2 * self.width
-                item, window, edits = int(self.item[number]), self.text[self.starts[number] : self.ends[number]], int(self.edits[number])
-                for text in range(max(0, np.searchsorted(starts, from_, "right") - 1), np.searchsorted(starts, from_ + self.width + len(window), "left")):
-                    if text >= len(texts) or (text, number) in done:
-                        continue
-                    region = max(starts[text], from_ - edits)
-                    end = min(starts[text + 1] - 1, from_ + self.width + len(window) + edits)
-                    if end > region and (match := _whole_words(window, joined, region, end) if self.exact[number] else banded_distance(window, joined[region:end], edits)):
-                        done.add((text, number))
-                        first = int(region - starts[text])
-                        found.setdefault((text, item), {})[number] = (match[0], first + match[1], first + match[2])
+        for at in range(0, len(joined), SEGMENT):
+            for number, from_ in self._bands(joined[at : at + SEGMENT + self.reach], at):
+                self._verify(joined, starts, number, from_, found)
         totals = np.bincount(self.item, minlength=len(self.items))
         return [
             (text, self.items[item][0], len(own), int(totals[item]), min(m[1] for m in own.values()), max(m[2] for m in own.values()), min(m[0] for m in own.values()))
             for (text, item), own in found.items()
         ]
 
+    def _bands(self, segment: bytes, offset: int) -> Iterator[tuple[int, int]]:
+        """(window, first diagonal) of the bands that share enough q-grams with a window. Where the hits of a segment are
+        many (a q-gram of very many windows), windows are taken in ranges; none is left out."""
+        hashes = qgrams(segment, self.q)
+        at = np.flatnonzero(self.filter[self._slot(hashes)])
+        run = np.searchsorted(self.hashes, hashes[at])
+        some = self.hashes[np.minimum(run, len(self.hashes) - 1)] == hashes[at] if len(self.hashes) else np.zeros(0, bool)
+        at, run = at[some] + offset, run[some]
+        if not len(at):
+            return
+        held = np.maximum(self.high - self.low, 0)
+        work = np.add.reduceat(np.append(held + 1, 0), self.first[:-1])[run].sum()
+        parts = int(work // HITS) + 1
+        for part in range(parts):
+            low, high = len(self.item) * part // parts, len(self.item) * (part + 1) // parts
+            first, last = np.searchsorted(self.at_high, run * self.stride + low, "right"), np.searchsorted(self.at_low, run * self.stride + high, "left")
+            n = np.maximum(last - first, 0)
+            entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            here = np.repeat(at, n)
+            begin, end = np.maximum(self.low[entry], low), np.minimum(self.high[entry], high)
+            n = np.maximum(end - begin, 0)
+            owner = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            diagonal = np.repeat(here - self.place[entry], n) + self.starts[owner]
+            # Two layers of bands, half a width apart: any `edits + 1` neighbouring diagonals lie in one band.
+            lowest = offset - self.reach
+            span = (len(segment) + 2 * self.reach) // self.width + 4
+            for layer in (0, self.width // 2):
+                keys, counts = np.unique(owner * span + (diagonal - lowest + layer) // self.width, return_counts=True)
+                for key in keys[counts >= np.maximum(1, self.bounds[keys // span])].tolist():
+                    yield key // span, key % span * self.width - layer + lowest
+
+    def _verify(self, joined: bytes, starts: np.ndarray, number: int, from_: int, found: dict[tuple[int, int], dict[int, tuple[int, int, int]]]) -> None:
+        """Look for a window along a band, in each text that it touches."""
+        item, window, edits = int(self.item[number]), self.text[self.starts[number] : self.ends[number]], int(self.edits[number])
+        for text in range(max(0, np.searchsorted(starts, from_, "right") - 1), np.searchsorted(starts, from_ + self.width + len(window), "left")):
+            if text + 1 >= len(starts) or number in found.get((text, item), ()):
+                continue
+            region = max(starts[text], from_ - edits)
+            end = min(starts[text + 1] - 1, from_ + self.width + len(window) + edits)
+            if end > region and (match := _whole_words(window, joined, region, end) if self.exact[number] else banded_distance(window, joined[region:end], edits)):
+                first = int(region - starts[text])
+                found.setdefault((text, item), {})[number] = (match[0], first + match[1], first + match[2])
+
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 80, share: float = 0.06, q: int = 10, least: int = 30, words: int = 13) -> DataFrame:
     """One row for each document and benchmark item of which it holds a window with edits of `share` of it at most:
     (key, item, windows, of_windows, start, end, edits); start and end are bytes of the normalised document. See
     WindowIndex for the windows.
 
-    Items of fewer than `least` normalised bytes are found where they stand whole and unedited; those of fewer than `q`
-    (a short word or two) hold no evidence and are passed over, like null ones; null and empty documents have no row. Repeated documents give repeated rows. The benchmark goes to the tasks in blocks of
-    bounded size, one pass over the documents for each block; documents are not shuffled.
+    Items of fewer than `least` normalised bytes are found where they stand whole and unedited; one of fewer than `q`, a
+    short word or two that many clean texts hold, where it is the whole document. Null items and those without letters or
+    digits are found nowhere. Null and empty documents have no row; repeated documents and repeated items give repeated
+    rows; null keys stay null; other columns are left out, so none can clash. An empty table on either side gives an
+    empty one. The benchmark goes to the tasks in blocks of BLOCK_CHARS bytes, one pass over the documents for each;
+    documents are not shuffled, and very long ones are looked through in segments.
     """
     schema = "doc_id long, item_id long, windows int, of_windows int, start long, end long, edits int"
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def one_pass(items: list[tuple[int, bytes]]) -> DataFrame:
         index = docs.sparkSession.sparkContext.broadcast(items)
-        built: list[WindowIndex] = []
+        built: list[tuple[WindowIndex, dict[bytes, list[int]]]] = []
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not built:
-                built.append(WindowIndex(index.value, window, share, q, least, words))
+                tiny: dict[bytes, list[int]] = {}
+                for number, text_ in index.value:
+                    if len(text_) < q:
+                        tiny.setdefault(text_, []).append(number)
+                built.append((WindowIndex([x for x in index.value if len(x[1]) >= q], window, share, q, least, words), tiny))
+            windows, tiny = built[0]
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
+                for first, after in slices([len(value.as_py() or "") for value in batch.column(1)], 512, SEGMENT):
+                    some = batch.slice(first, after - first)
                     ids = some.column(0).to_pylist()
-                    rows = built[0].search([normal(value) for value in some.column(1).to_pylist()])
+                    texts = [normal(value) for value in some.column(1).to_pylist()]
+                    rows = windows.search(texts)
+                    rows += [(i, number, 1, 1, 0, len(text_), 0) for i, text_ in enumerate(texts) if text_ in tiny for number in tiny[text_]]
                     if rows:
                         columns = list(zip(*[(ids[row[0]], *row[1:]) for row in rows]))
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (0, 1, 4, 5) else pa.int32()) for i, c in enumerate(columns)], names=["doc_id", "item_id", "windows", "of_windows", "start", "end", "edits"])
 
         return own.mapInArrow(search, schema)
 
-    found, block, size = None, [], 0
+    passes, block, size = [], [], 0
     for row in benchmark.select(F.col(item).cast("long"), item_text).toLocalIterator():
-        if len(text_ := normal(row[1])) >= q:
-            block, size = [*block, (row[0], text_)], size + len(text_)
+        if text_ := normal(row[1]):
+            block.append((row[0], text_))
+            size += len(text_)
         if size >= BLOCK_CHARS:
-            found = one_pass(block) if found is None else found.union(one_pass(block))
+            passes.append(one_pass(block))
             block, size = [], 0
-    if block or found is None:
-        found = one_pass(block) if found is None else found.union(one_pass(block))
-    return found
+    if block or not passes:
+        passes.append(one_pass(block))
+    return reduce(DataFrame.union, passes)
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, *, key: str = "doc_id") -> DataFrame:

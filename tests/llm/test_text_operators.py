@@ -120,9 +120,9 @@ def test_leaks(spark):
     texts = [prose(50) + " " + items[0] + " " + prose(40), prose(300), noisy, prose(20) + edited, items[0], None, "", "tiny", items[0][: len(items[0]) // 4]]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.leaks(docs(spark, *texts), bench).collect()}
-    assert set(got) == {(0, 0), (2, 1), (3, 0), (4, 0)}
+    assert set(got) == {(0, 0), (2, 1), (3, 0), (4, 0), (7, 2)}  # a short item counts where it is the whole document
     kept = decontaminate.without_leaks(docs(spark, *texts), decontaminate.leaks(docs(spark, *texts), bench))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 5, 6, 8]
     assert decontaminate.leaks(docs(spark), bench).count() == 0
     assert decontaminate.leaks(docs(spark, *texts), bench.limit(0)).count() == 0
 
@@ -149,6 +149,31 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert {(a, a) for a in range(6)} <= {r[:2] for r in whole}
 
 
+def test_leaks_in_segments_and_ranges(monkeypatch):
+    dice = random.Random(12)
+    word = lambda: "".join(dice.choice("abcde") for _ in range(dice.randrange(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n)).encode()
+    items = [(i, prose(40)) for i in range(6)] + [(6, b"the same again " * 12), (7, b"the same again " * 20)]
+    texts = [prose(200) + b" " + items[i % 8][1] + b" " + prose(100) for i in range(12)] + [b"the same again " * 90, prose(3000) + b" " + items[2][1]]
+    index = decontaminate.WindowIndex(items, 80, 0.06, 10, 30, 13)
+    whole = sorted(index.search(texts))
+    assert {(i, i % 8) for i in range(12)} | {(12, 6), (12, 7), (13, 2)} <= {r[:2] for r in whole}
+    monkeypatch.setattr(decontaminate, "SEGMENT", 300)
+    assert sorted(index.search(texts)) == whole
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert sorted(index.search(texts)) == whole
+
+
+def test_leaks_of_odd_tables(spark):
+    item = "a question about the height of seven mountains in the north of the country"
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, "")], "item_id long, text string")
+    table = spark.createDataFrame([(None, item, 5), (4, "so. " * 5000 + item, 6), (4, item, 7)], "doc_id long, text string, item_id long")
+    got = sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()), key=str)
+    assert got == sorted([(d, i) for d in (None, 4, 4) for i in (1, 1, None)], key=str)
+    kept = decontaminate.without_leaks(table, decontaminate.leaks(table, bench))
+    assert [(r.doc_id, r.item_id) for r in kept.collect()] == [(None, 5)]
+
+
 def test_listed_url_rules(spark):
     urls = ["http://a.Example.ORG/es/1", "https://example.org/en/12", "http://x.org", "http://x.org/", "http://fr.com/fr/9?x#y", "http://www.z.com/de/", "nothing", None, "a://b://c/d", "http://notorg/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))

@@ -84,17 +84,19 @@ def op9_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find_spans(docs, pii.fit_spans(docs)).select("doc_id", "pii", F.filter("pii", lambda s: s["base"]).alias("base"))
+    marked = stash(pii.with_candidates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "candidates")
+    found = pii.find_spans(marked, pii.fit_spans(marked)).select("doc_id", "pii", F.filter("pii", lambda s: s["base"]).alias("base"))
 
-    def number(kind: str) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def number(kind: str, spans: str = "base") -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
         "doc_id",
-        *map(number, pii.KINDS),
+        *map(number, pii.BASE_KINDS),
         F.sha2(pii.span_list(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.span_list(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
+        *[number(kind, "pii") for kind in pii.MORE_KINDS],
     )
 
 

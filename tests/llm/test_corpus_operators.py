@@ -259,6 +259,32 @@ def test_more_spans_and_redaction(spark):
     assert pii.fit_spans(docs(spark)).accepted == {k: [] for k in pii.KINDS}
 
 
+def test_further_kinds_and_overlaps(spark):
+    texts = [
+        'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "account GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789 but 000-12-3456", "from Dr. Maria Weber, yes",
+        "é\ufeff +1 (555) 123-4567 and (555) 123-4567\ufeff", "commit sha 04dbebab91ab85687d33eeaaf9ac699e1188f962", "plainwords-and-more-plain-words and nothing", "1234.5678.9012.3452 4111",
+    ]
+    table = docs(spark, *(texts * 6)).withColumn("pii", F.lit("clash"))
+    found = pii.find_spans(pii.with_candidates(table), pii.fit_spans(table)).orderBy("doc_id").limit(len(texts)).collect()
+    got = [[(s.kind, texts[i][s.start : s.end]) for s in r.pii if not s.base] for i, r in enumerate(found)]
+    assert got[0] == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")] and got[1] == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert got[2] == [("national", "123-45-6789")] and got[3] == [("person", "Dr. Maria Weber")] and got[4] == [("phone", "(555) 123-4567")] and got[6] == []
+    clean = pii.redact(pii.find_spans(table, pii.fit_spans(table))).orderBy("doc_id").limit(len(texts)).collect()
+    assert clean[4].text == "é\ufeff [PHONE] and [PHONE]\ufeff" and clean[0].text == 'x token = "[SECRET]" y'
+
+
+def test_redaction_of_many_spans(spark):
+    dice = random.Random(4)
+    text = "".join(dice.choice(["é@x.yz ", "a@b.c", " ", "w", "\U0001f600", "\ufeff", "+49 170 1234567;"]) for _ in range(2000))
+    row = pii.redact(pii.find_spans(docs(spark, text), pii.fit_spans(docs(spark, text)))).first()
+    out, at = "", 0
+    for start, end, kind in sorted((s.start, s.end, s.kind) for s in row.pii):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    assert row.text == out + text[at:] and len(row.pii) > 300
+
+
 def test_running_sums(spark):
     rows = spark.createDataFrame([([],), ([5],), (list(range(300)),)], "x array<bigint>")
     for r in rows.select("x", pii.running_sums(F.col("x")).alias("s")).collect():

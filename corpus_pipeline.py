@@ -35,7 +35,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    clean = pii.redact(pii.find_spans(docs, pii.fit_spans(docs)))
+    marked = stash(pii.with_candidates(docs.select(*COLUMNS)), "candidates")
+    clean = pii.redact(pii.find_spans(marked, pii.fit_spans(marked)))
     return clean.withColumn("n_chars", F.when(F.size("pii") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

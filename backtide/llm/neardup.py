@@ -5,17 +5,18 @@ values of 9 bits, each chunk packed into a long with a spare bit to each value.
 (1 - s) * 66 places. All pairs that differ in MAX_DISTANCE places at most are found: by the pigeonhole principle some
 chunk has MAX_DISTANCE // CHUNKS errors at most, which is one; so every chunk gives one key for each place that may be
 wrong, and near signatures share a key. (At the link threshold of 0.85 a pair has two errors or more in every chunk about
-once in ten million times; for a lower threshold `bounds` gives more chunks and a wider sketch distance.) Of the keys that a pair shares one is its own, so a pair comes out of one bucket only.
+once in ten million times; for a lower threshold `bounds` gives more chunks and a wider sketch distance.)
 
 Documents with equal sets are one vertex. Those that share a key with another one get their full sets and a wide sketch
 of SKETCH one-bit MinHash values, whose distance screens pairs more sharply than the signature could (at most
 SKETCH_DISTANCE; a pair at the link threshold of 0.85 differs in more places once in twenty million times). First every
 member of a bucket is held against its smallest and its largest one, two stars of as many rows as members; those links
-make components, and only where members of a bucket lie in different components, their pairs are looked at: all of them
-in a bucket of PAIRWISE members, and in a larger one those that share a shingle among their rarest. (Sets of similarity
-s share one of the n - ceil(s n) + 1 shingles that come first in any one order, so nothing is lost; in order of how many
-members hold a shingle, rarest first, a passage that many documents share makes no pairs.) Full sets decide on every
-link. MAX_DISTANCE says what the chunks guarantee; no filter uses it, as pairs beyond it that share a key count too.
+make components, and only where members of a bucket lie in different components, their pairs are looked at: in a bucket
+of PAIRWISE members those of each member outside the bucket's main component with all others, and in larger ones those
+that share a shingle among their rarest. (Sets of similarity s share one of the n - ceil(s n) + 1 shingles that come
+first in any one order, so nothing is lost; in order of how many members hold a shingle, rarest first, a passage that
+many documents share makes no pairs.) Full sets decide on every link. MAX_DISTANCE says what the chunks guarantee; no
+filter uses it, as pairs beyond it that share a key count too.
 """
 
 from __future__ import annotations
@@ -46,9 +47,8 @@ SALTS = 32
 CHUNK_MISS, SKETCH_MISS = 1e-7, 5e-8
 #: A lower threshold would take more than 140 chunks.
 LEAST_PERCENT = 50
-#: Ten-bit lanes with nine-bit values: adding CARRY to the exclusive or of two chunks sets the MARK of lanes that differ.
+#: Nine-bit values in ten-bit lanes.
 _LANES = np.arange(WIDTH, dtype="u8") * np.uint64(10)
-_CARRY, _MARK = sum(0x1FF << 10 * i for i in range(WIDTH)), sum(0x200 << 10 * i for i in range(WIDTH))
 _SHIFTS = _RANDOM.integers(0, 1 << 63, SYMBOLS, "u8")
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, "u8") * np.uint64(2) + np.uint64(1)
 _WIDE = _RANDOM.integers(1, 1 << 31, SKETCH, "u4") * np.uint32(2) + np.uint32(1)
@@ -146,27 +146,17 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, chunks: int = CHU
 
 
 def _keyed(vertices: DataFrame) -> DataFrame:
-    """(id, place, bucket): every key of every vertex; place counts the keys of a signature."""
+    """(id, bucket): every key of every vertex."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = chunk_keys(np.array(batch.column(1).to_pylist(), "i8"))
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype="i4"), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "bucket"])
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                keys = chunk_keys(np.array(some.column(1).to_pylist(), "i8"))
+                ids = np.repeat(some.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.ravel())], names=["id", "bucket"])
 
-    return vertices.select("id", "sig").mapInArrow(keyed, "id long, bucket array<long>").select("id", F.posexplode("bucket").alias("place", "bucket"))
-
-
-def _own_bucket(chunks: int) -> Column:
-    """Whether of the keys that a pair (sig_a, sig_b) shares this row's place is the first: in the first chunk with one
-    error at most, the place of the error, or the first place if there is none."""
-    out = F.lit(False)
-    for c in reversed(range(chunks)):
-        errors = F.bit_count((F.col("sig_a")[c].bitwiseXOR(F.col("sig_b")[c]) + F.lit(_CARRY)).bitwiseAND(F.lit(_MARK)))
-        here = F.when(errors == 0, F.col("place") == c * WIDTH).otherwise(F.col("place").between(c * WIDTH, c * WIDTH + WIDTH - 1))
-        out = F.when(errors <= 1, here).otherwise(out)
-    return out
+    return vertices.select("id", "sig").mapInArrow(keyed, "id long, bucket long")
 
 
 def _near(percent: int) -> Column:
@@ -194,25 +184,35 @@ def _linked(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("hashes_a") + F.size("hashes_b") - shared)).select("a", "b")
 
 
-def _across(placed: DataFrame, vertices: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """(a, b) of rows (bucket, place, id, component) in one bucket but in different components that may be links."""
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high")
-    rows = stash(placed.join(mixed.select("bucket", "members"), "bucket"), "open")
+def _pairs_across(rows: DataFrame, by: str, percent: int) -> DataFrame:
+    """(a, b), a > b, of rows (by, id, component, n, bits) that are near, of one group and of different components. Most
+    rows of a group are of its main component; those are held against the others only, never against each other."""
+    counted = rows.groupBy(by, "component").agg(F.count("*").alias("rows"))
+    main = counted.groupBy(by).agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
+    open_rows = rows.join(main, by)
+    columns = ("id", "component", "n", "bits")
+    left = open_rows.filter("component <> main").select(by, "main", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = open_rows.select(by, *[F.col(c).alias(f"{c}_b") for c in columns])
+    once = (F.col("component_b") == F.col("main")) | (F.col("component_a") < F.col("component_b"))
+    found = left.join(right, by).filter((F.col("component_a") != F.col("component_b")) & once & _near(percent))
+    return found.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
 
-    def pairs(keyed: DataFrame, *by: str) -> DataFrame:
-        left = keyed.select(*by, "place", F.col("id").alias("a"), F.col("component").alias("component_a"))
-        right = keyed.select(*by, F.col("id").alias("b"), F.col("component").alias("component_b"))
-        found = left.join(right, list(by)).filter("component_a < component_b")
-        return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "place").distinct()
 
-    small = pairs(rows.filter(F.col("members") <= PAIRWISE), "bucket")
-    large = rows.filter(F.col("members") > PAIRWISE)
-    shingles = vertices.join(large.select("id").distinct(), "id", "left_semi").select("id", "n", F.explode("hashes").alias("shingle"))
-    held = shingles.groupBy("shingle").agg(F.count("*").alias("holders"))
+def _across(placed: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a > b, of rows (bucket, id, component) in one bucket but in different components that may be links."""
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high")
+    rows = stash(placed.join(mixed.select("bucket", "members"), "bucket"), "open")
+    ends = vertices.select("id", "n", "bits")
+    small = rows.filter(F.col("members") <= PAIRWISE).select("bucket", "id", "component").join(ends, "id")
+    large = rows.filter(F.col("members") > PAIRWISE).select("id", "component").distinct()
+    shingles = vertices.join(large, "id", "left_semi").select("id", "n", F.explode("hashes").alias("shingle"))
+    held = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    # A shingle of one holder comes first, but pairs nothing: only how many such there are matters.
     ordered = shingles.join(held, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
-    first = ordered.select("id", F.explode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("s")).select("id", "s.shingle")
-    found = small.union(pairs(large.join(first, "id"), "bucket", "shingle"))
-    return _with_hub(found, vertices, "n", "sig", "bits").filter(_own_bucket(chunks) & _near(percent)).select("a", "b").distinct()
+    wanted = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("order"))
+    first = ordered.select("id", F.explode(F.slice("order", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int"))).alias("s")).select("id", "s.shingle")
+    by_shingle = first.join(large, "id").join(ends, "id")
+    return _pairs_across(small, "bucket", percent).union(_pairs_across(by_shingle, "shingle", percent)).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -263,12 +263,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 found = [shingle_set(value.as_py(), width, known) for value in some.column(1)]
                 yield pa.RecordBatch.from_arrays([
                     some.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.view("i8") for x in found], pa.list_(pa.int64())),
-                    pa.array([wide_sketch(x).tolist() for x in found], pa.list_(pa.int64())), pa.array([signature(x, chunks).tolist() for x in found], pa.list_(pa.int64())),
-                ], names=["id", "n", "hashes", "bits", "sig"])
+                    pa.array([wide_sketch(x).tolist() for x in found], pa.list_(pa.int64())),
+                ], names=["id", "n", "hashes", "bits"])
 
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     open_ids = shared.select("id").distinct()
-    vertices = stash(texts.join(open_ids, "id", "left_semi").mapInArrow(full, "id long, n long, hashes array<long>, bits array<long>, sig array<long>"), "vertices")
+    vertices = stash(texts.join(open_ids, "id", "left_semi").mapInArrow(full, "id long, n long, hashes array<long>, bits array<long>"), "vertices")
 
     stars = shared.select(F.col("id").alias("a"), F.col("hub").alias("b")).union(shared.select("top", "hub")).union(shared.select("id", "top")).filter("a <> b")
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -278,8 +278,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     part = stash(connected(star), "components")
 
     # Pairs in one bucket but in different components: the rest of the links, if there are any.
-    placed = shared.join(part, "id", "left").select("bucket", "place", "id", F.coalesce("component", "id").alias("component"))
-    rest = stash(_across(placed, vertices, percent, chunks).join(pairs, ["a", "b"], "left_anti"), "rest")
+    placed = shared.join(part, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    rest = stash(_across(placed, vertices, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
     links = stash(star.union(_linked(rest, vertices, percent)).union(same), "links")
     components = stash(connected(links), "components")
     for done in (heads, shared, vertices, pairs, star, part, rest, links):

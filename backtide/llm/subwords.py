@@ -46,7 +46,7 @@ class WordScores:
     """For each word, its features' summed rows of a weight matrix and their number. Known words are remembered until
     they come to about `budget` bytes; then the table begins anew. One belongs to a task and goes with it."""
 
-    def __init__(self, weights: np.ndarray, low: int, high: int, budget: int = 48 << 20):
+    def __init__(self, weights: np.ndarray, low: int, high: int, budget: int = 24 << 20):
         self.weights, self.low, self.high, self.budget = weights, low, high, budget
         self._reset()
 
@@ -74,7 +74,7 @@ class WordScores:
         for word in fresh:  # features take about a hundred bytes a character while they are made
             part.append(word)
             chars += len(word) + 8
-            if chars > 200_000:
+            if chars > 100_000:
                 self._learn(part)
                 chars, part = 0, []
         if part:
@@ -86,7 +86,7 @@ class WordScores:
         return out
 
 
-def slices(sizes: list[int], most_rows: int = 256, most_chars: int = 2_000_000) -> list[tuple[int, int]]:
+def slices(sizes: list[int], most_rows: int = 256, most_chars: int = 800_000) -> list[tuple[int, int]]:
     """(first, after) of consecutive rows with most_rows rows and about most_chars characters at most; a longer text is
     alone."""
     out, first, held = [], 0, 0

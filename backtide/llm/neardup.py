@@ -11,11 +11,11 @@ Documents with equal sets are one vertex. Those that share a key with another on
 of SKETCH one-bit MinHash values, whose distance screens pairs more sharply than the signature could (at most
 SKETCH_DISTANCE; a pair at the link threshold of 0.85 differs in more places once in twenty million times). First every
 member of a bucket is held against its smallest and its largest one, two stars of as many rows as members; those links
-make components. Where members of a bucket lie in different components, those outside its main one are held against one
-member of that. Where they still do, their pairs are looked at: in a bucket of PAIRWISE members those of each member
-outside the main component with all others, and in larger ones those that share a shingle among their rarest. (Sets of
-similarity s share one of the n - ceil(s n) + 1 shingles that come first in any one order, so nothing is lost; in order
-of how many members hold a shingle, rarest first, a passage that many documents share makes no pairs.) Full sets decide
+make components. Where members of a bucket lie in different components, their pairs are looked at: in a bucket of
+PAIRWISE members those of each member outside the main component with all others, and in larger ones those that share a
+shingle among their rarest. (Sets of similarity s share one of the n - ceil(s n) + 1 shingles that come first in any one
+order, so nothing is lost; in order of how many members hold a shingle, rarest first, a passage that many documents
+share makes no pairs, and where the first shared one comes says how many more can be shared.) Full sets decide
 on every link. MAX_DISTANCE says what the chunks guarantee; no filter uses it, as pairs beyond it that share a key count
 too.
 """
@@ -186,38 +186,27 @@ def _linked(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_across(rows: DataFrame, by: str, percent: int) -> DataFrame:
-    """(a, b), a > b, of rows (by, id, component, n, bits, prefix) that are near, of one group and of different components.
+    """(a, b), a > b, of rows (by, id, component, n, bits, prefix, pos) that are near, of one group and of different components.
     Most rows of a group are of its main component; those are held against the others only, never against each other.
-    Two rows that share several groups come out of the first one, where prefix (or null) lists the groups of each."""
+    Two rows that share several groups come out of the first one, where prefix (or null) lists the groups of each. pos
+    (or null) is how many members of a row's set come before the first that it can share."""
     counted = rows.groupBy(by, "component").agg(F.count("*").alias("rows"))
     main = counted.groupBy(by).agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     open_rows = rows.join(main, by)
-    columns = ("id", "component", "n", "bits", "prefix")
+    columns = ("id", "component", "n", "bits", "prefix", "pos")
     left = open_rows.filter("component <> main").select(by, "main", *[F.col(c).alias(f"{c}_a") for c in columns])
     right = open_rows.select(by, *[F.col(c).alias(f"{c}_b") for c in columns])
     once = (F.col("component_b") == F.col("main")) | (F.col("component_a") < F.col("component_b"))
     first = F.coalesce(F.get(F.array_intersect("prefix_a", "prefix_b"), 0) == F.col(by), F.lit(True))
-    found = left.join(right, by).filter((F.col("component_a") != F.col("component_b")) & once & _near(percent) & first)
+    most = F.least(F.col("n_a") - F.coalesce("pos_a", F.lit(0)), F.col("n_b") - F.coalesce("pos_b", F.lit(0)))
+    enough = most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    found = left.join(right, by).filter((F.col("component_a") != F.col("component_b")) & once & enough & _near(percent) & first)
     return found.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows (bucket, id, component) of buckets with several components, with the number of `members`."""
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high")
-    return placed.select("bucket", "id", "component").join(mixed.select("bucket", "members"), "bucket")
-
-
-def _to_main(rows: DataFrame) -> DataFrame:
-    """(a, b), a > b: each row outside its bucket's main component with one member of that, drawn by a hash of bucket and
-    id. A document has many buckets, so it meets many members; whoever is linked with some of them is settled by that."""
-    counted = rows.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("bucket", "id").alias("draw"), "id")).alias("drawn"))
-    main = counted.groupBy("bucket").agg(F.max(F.struct("rows", "component", "drawn")).alias("main")).select("bucket", F.col("main.component").alias("main"), F.col("main.drawn.id").alias("hub"))
-    other = rows.join(main, "bucket").filter("component <> main")
-    return other.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-
-
 def _across(rows: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a > b, of rows of _mixed in one bucket but in different components that may be links."""
+    """(a, b), a > b, of rows (bucket, id, component) in one bucket but in different components that may be links."""
+    rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
     ends = vertices.select("id", "n", "bits")
     small = rows.filter(F.col("members") <= PAIRWISE).select("bucket", "id", "component").join(ends, "id")
     large = rows.filter(F.col("members") > PAIRWISE).select("id", "component").distinct()
@@ -227,9 +216,10 @@ def _across(rows: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     ordered = shingles.join(held, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
     wanted = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("order"))
     prefix = F.transform(F.slice("order", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int")), lambda s: s["shingle"])
-    listed = ordered.select("id", prefix.alias("prefix"))
-    by_shingle = listed.select("id", F.explode("prefix").alias("shingle"), F.when(F.size("prefix") <= PAIRWISE, F.col("prefix")).alias("prefix")).join(large, "id").join(ends, "id")
-    small = small.withColumn("prefix", F.lit(None).cast("array<bigint>"))
+    listed = ordered.select("id", prefix.alias("prefix"), (F.col("n") - F.size("order")).alias("single"))
+    placed = listed.select("id", F.posexplode("prefix").alias("at", "shingle"), F.when(F.size("prefix") <= PAIRWISE, F.col("prefix")).alias("prefix"), "single")
+    by_shingle = placed.withColumn("pos", F.col("at") + F.col("single")).drop("at", "single").join(large, "id").join(ends, "id")
+    small = small.withColumns({"prefix": F.lit(None).cast("array<bigint>"), "pos": F.lit(None).cast("bigint")})
     return _pairs_across(small, "bucket", percent).union(_pairs_across(by_shingle, "shingle", percent)).distinct()
 
 
@@ -288,24 +278,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     open_ids = shared.select("id").distinct()
     vertices = stash(texts.join(open_ids, "id", "left_semi").mapInArrow(full, "id long, n long, hashes array<long>, bits array<long>"), "vertices")
 
-    stars = shared.select(F.col("id").alias("a"), F.col("hub").alias("b")).union(shared.select("top", "hub")).union(shared.select("id", "top")).filter("a <> b")
+    seen = stash(shared.select("id", "hub", "top").distinct(), "seen")
+    stars = seen.select(F.col("id").alias("a"), F.col("hub").alias("b")).union(seen.select("top", "hub")).union(seen.select("id", "top")).filter("a <> b")
     stars = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = stash(_with_hub(stars, vertices, "n", "bits").filter(_near(percent)).select("a", "b"), "pairs")
     star = stash(_linked(pairs, vertices, percent), "links")
     same = usable.join(heads.select("digest", "n", F.col("id").alias("head")), ["digest", "n"]).select(F.col("id").alias("a"), F.col("head").alias("b")).filter("a <> b")
     part = stash(connected(star), "components")
 
-    # Members of one bucket in different components: a member of the main one for each, then the rest of the pairs.
-    component = F.coalesce("component", "id").alias("component")
-    mixed = stash(_mixed(shared.join(part, "id", "left").select("bucket", "id", component)), "mixed")
-    drawn = stash(_with_hub(_to_main(mixed), vertices, "n", "bits").filter(_near(percent)).select("a", "b"), "drawn")
-    found = stash(star.union(_linked(drawn.join(pairs, ["a", "b"], "left_anti"), vertices, percent)), "links")
-    joint = stash(connected(found), "components")
-    open_rows = stash(_mixed(mixed.select("bucket", "id").join(joint, "id", "left").select("bucket", "id", component)), "open")
-    rest = stash(_across(open_rows, vertices, percent).join(pairs.union(drawn), ["a", "b"], "left_anti"), "rest")
-    links = stash(found.union(_linked(rest, vertices, percent)).union(same), "links")
+    # Members of one bucket in different components: the rest of the links, if there are any.
+    of_hub = part.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
+    off = seen.select("id", "hub").distinct().join(part, "id", "left").join(of_hub, "hub", "left").filter(F.coalesce("component", "id") != F.coalesce("of_hub", "hub"))
+    mixed = shared.join(off.select("id", "hub"), ["id", "hub"], "left_semi").select("bucket").distinct()
+    open_rows = shared.join(mixed, "bucket", "left_semi").select("bucket", "id").join(part, "id", "left")
+    open_rows = stash(open_rows.select("bucket", "id", F.coalesce("component", "id").alias("component")), "open")
+    drop_stash(shared)
+    rest = stash(_across(open_rows, vertices, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
+    links = stash(star.union(_linked(rest, vertices, percent)).union(same), "links")
     components = stash(connected(links), "components")
-    for done in (heads, shared, vertices, pairs, drawn, mixed, star, part, found, joint, open_rows, rest, links):
+    for done in (heads, seen, vertices, pairs, star, part, open_rows, rest, links):
         drop_stash(done)
     return (
         whole.join(components, "id", "left")

@@ -40,16 +40,20 @@ SYMBOLS = CHUNKS * WIDTH
 SKETCH, SKETCH_DISTANCE = 1024, 125
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SYMBOLS, "u8") * np.uint64(2) + np.uint64(1)
-#: Mixed buckets of more members are cut up by rare shingles before their pairs are looked at.
-PAIRWISE = 64
+#: Mixed buckets of more members are cut up by rare shingles before their pairs are looked at. Up to here comparing
+#: sketches (some 16 million times, about a second) costs less than listing and counting all shingles of the members.
+PAIRWISE = 4096
+#: Shingles of a prefix that are sent along, to tell the first shared one.
+LISTED = 64
 #: Rows of one hub are dealt to this many tasks.
 SALTS = 32
 #: A pair at the link threshold may be missed this often by the chunk keys, and by the sketches.
 CHUNK_MISS, SKETCH_MISS = 1e-7, 5e-8
 #: A lower threshold would take more than 140 chunks.
 LEAST_PERCENT = 50
-#: Nine-bit values in ten-bit lanes.
+#: Ten-bit lanes with nine-bit values: adding CARRY to the exclusive or of two chunks sets the MARK of lanes that differ.
 _LANES = np.arange(WIDTH, dtype="u8") * np.uint64(10)
+_CARRY, _MARK = sum(0x1FF << 10 * i for i in range(WIDTH)), sum(0x200 << 10 * i for i in range(WIDTH))
 _SHIFTS = _RANDOM.integers(0, 1 << 63, SYMBOLS, "u8")
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, "u8") * np.uint64(2) + np.uint64(1)
 _WIDE = _RANDOM.integers(1, 1 << 31, SKETCH, "u4") * np.uint32(2) + np.uint32(1)
@@ -110,10 +114,12 @@ def signature(hashes: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """All keys of signatures (rows of longs): for each chunk and each place in it a hash of the chunk without it."""
+    """All keys of signatures (rows of longs): for each chunk and each place in it a hash of the chunk without it, whose
+    low ten bits are the number of the key."""
     without = signatures.view("u8")[:, :, None] & ~(np.uint64(0x1FF) << _LANES)
     place = np.arange(signatures.shape[1], dtype="u8")[:, None] * np.uint64(8) + np.arange(WIDTH, dtype="u8")
-    return _mix(_mix(without) + place * _PLACES[63]).reshape(len(signatures), -1).view("i8")
+    keys = _mix(_mix(without) + place * _PLACES[63]).reshape(len(signatures), -1)
+    return ((keys & ~np.uint64(1023)) | np.arange(keys.shape[1], dtype="u8")).view("i8")
 
 
 def wide_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -160,6 +166,17 @@ def _keyed(vertices: DataFrame) -> DataFrame:
     return vertices.select("id", "sig").mapInArrow(keyed, "id long, bucket long")
 
 
+def _own_bucket(chunks: int) -> Column:
+    """Whether of the keys that a pair (sig_a, sig_b) shares this bucket's is the first: in the first chunk with one error
+    at most, the place of the error, or the first place if there is none."""
+    out, place = F.lit(False), F.col("bucket").bitwiseAND(F.lit(1023))
+    for c in reversed(range(chunks)):
+        errors = F.bit_count((F.col("sig_a")[c].bitwiseXOR(F.col("sig_b")[c]) + F.lit(_CARRY)).bitwiseAND(F.lit(_MARK)))
+        here = F.when(errors == 0, place == c * WIDTH).otherwise(place.between(c * WIDTH, c * WIDTH + WIDTH - 1))
+        out = F.when(errors <= 1, here).otherwise(out)
+    return out
+
+
 def _near(percent: int) -> Column:
     """Sketches within the distance and set sizes that allow the similarity."""
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH // 64)])
@@ -185,42 +202,44 @@ def _linked(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("hashes_a") + F.size("hashes_b") - shared)).select("a", "b")
 
 
-def _pairs_across(rows: DataFrame, by: str, percent: int) -> DataFrame:
-    """(a, b), a > b, of rows (by, id, component, n, bits, prefix, pos) that are near, of one group and of different components.
-    Most rows of a group are of its main component; those are held against the others only, never against each other.
-    Two rows that share several groups come out of the first one, where prefix (or null) lists the groups of each. pos
-    (or null) is how many members of a row's set come before the first that it can share."""
+def _pairs_across(rows: DataFrame, by: str, own: Column, *also: str) -> DataFrame:
+    """(a, b), a > b, of rows (by, id, component, also...) of one group and of different components that meet `own`, a
+    condition on columns with _a and _b. Most rows of a group are of its main component; those are held against the
+    others only, never against each other."""
     counted = rows.groupBy(by, "component").agg(F.count("*").alias("rows"))
     main = counted.groupBy(by).agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     open_rows = rows.join(main, by)
-    columns = ("id", "component", "n", "bits", "prefix", "pos")
+    columns = ("id", "component", *also)
     left = open_rows.filter("component <> main").select(by, "main", *[F.col(c).alias(f"{c}_a") for c in columns])
     right = open_rows.select(by, *[F.col(c).alias(f"{c}_b") for c in columns])
     once = (F.col("component_b") == F.col("main")) | (F.col("component_a") < F.col("component_b"))
-    first = F.coalesce(F.get(F.array_intersect("prefix_a", "prefix_b"), 0) == F.col(by), F.lit(True))
-    most = F.least(F.col("n_a") - F.coalesce("pos_a", F.lit(0)), F.col("n_b") - F.coalesce("pos_b", F.lit(0)))
-    enough = most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    found = left.join(right, by).filter((F.col("component_a") != F.col("component_b")) & once & enough & _near(percent) & first)
+    found = left.join(right, by).filter((F.col("component_a") != F.col("component_b")) & once & own)
     return found.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
 
 
-def _across(rows: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, vertices: DataFrame, signatures: DataFrame, percent: int, chunks: int) -> DataFrame:
     """(a, b), a > b, of rows (bucket, id, component) in one bucket but in different components that may be links."""
     rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
     ends = vertices.select("id", "n", "bits")
-    small = rows.filter(F.col("members") <= PAIRWISE).select("bucket", "id", "component").join(ends, "id")
+    small = rows.filter(F.col("members") <= PAIRWISE).select("bucket", "id", "component").join(ends, "id").join(signatures, "id")
+    in_bucket = _pairs_across(small, "bucket", _near(percent) & _own_bucket(chunks), "n", "bits", "sig")
+
     large = rows.filter(F.col("members") > PAIRWISE).select("id", "component").distinct()
     shingles = vertices.join(large, "id", "left_semi").select("id", "n", F.explode("hashes").alias("shingle"))
     held = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
     # A shingle of one holder comes first, but pairs nothing: only how many such there are matters.
     ordered = shingles.join(held, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
-    wanted = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("order"))
-    prefix = F.transform(F.slice("order", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int")), lambda s: s["shingle"])
-    listed = ordered.select("id", prefix.alias("prefix"), (F.col("n") - F.size("order")).alias("single"))
-    placed = listed.select("id", F.posexplode("prefix").alias("at", "shingle"), F.when(F.size("prefix") <= PAIRWISE, F.col("prefix")).alias("prefix"), "single")
-    by_shingle = placed.withColumn("pos", F.col("at") + F.col("single")).drop("at", "single").join(large, "id").join(ends, "id")
-    small = small.withColumns({"prefix": F.lit(None).cast("array<bigint>"), "pos": F.lit(None).cast("bigint")})
-    return _pairs_across(small, "bucket", percent).union(_pairs_across(by_shingle, "shingle", percent)).distinct()
+    single = F.col("n") - F.size("order")
+    wanted = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - single, F.lit(0)).cast("int")
+    listed = ordered.select("id", F.transform(F.slice("order", F.lit(1), wanted), lambda s: s["shingle"]).alias("prefix"), single.alias("single"))
+    placed = listed.select("id", F.posexplode("prefix").alias("at", "shingle"), F.when(F.size("prefix") <= LISTED, F.col("prefix")).alias("prefix"), "single")
+    placed = placed.withColumn("before", F.col("at") + F.col("single")).join(large, "id").join(ends, "id")
+    # Of the first shared shingle on, what is left of either set bounds what they share; a pair comes out there only.
+    most = F.least(F.col("n_a") - F.col("before_a"), F.col("n_b") - F.col("before_b"))
+    enough = most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    first = F.coalesce(F.get(F.array_intersect("prefix_a", "prefix_b"), 0) == F.col("shingle"), F.lit(True))
+    by_shingle = _pairs_across(placed, "shingle", enough & _near(percent) & first, "n", "bits", "prefix", "before")
+    return in_bucket.union(by_shingle).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -293,7 +312,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     open_rows = shared.join(mixed, "bucket", "left_semi").select("bucket", "id").join(part, "id", "left")
     open_rows = stash(open_rows.select("bucket", "id", F.coalesce("component", "id").alias("component")), "open")
     drop_stash(shared)
-    rest = stash(_across(open_rows, vertices, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = stash(_across(open_rows, vertices, heads.select("id", "sig"), percent, chunks).join(pairs, ["a", "b"], "left_anti"), "rest")
     links = stash(star.union(_linked(rest, vertices, percent)).union(same), "links")
     components = stash(connected(links), "components")
     for done in (heads, seen, vertices, pairs, star, part, open_rows, rest, links):

@@ -77,18 +77,26 @@ rm AS (SELECT tbn, pk, request_count, endpoint_count, write_fanout, request_coun
        (SELECT tbn, pk, count(DISTINCT rid) AS request_count, count(DISTINCT endpoint) AS endpoint_count, count(DISTINCT CASE WHEN is_write THEN rid END) AS write_fanout FROM acc GROUP BY tbn, pk), size),
 lim AS (SELECT greatest((SELECT quantile_cont(request_coverage, 0.9) FROM tm), 0.2) AS tc, greatest((SELECT quantile_cont(endpoint_coverage, 0.9) FROM tm), 0.3) AS te, 0.2::DOUBLE AS rc,
                greatest((SELECT quantile_cont(endpoint_coverage, 0.9) FROM rm), 0.3) AS re, 3.0::DOUBLE AS am, 3.0::DOUBLE AS wf),
-ct AS (SELECT tbn, request_coverage >= tc AND endpoint_coverage >= te AND 10 * write_request_coverage >= am AND rw_balance > 0 AND write_request_coverage < 0.1 AS block,
-              (least(request_coverage / tc, 1) + least(endpoint_coverage / te, 1) + least(10 * write_request_coverage / am, 1) + least(rw_balance * 2, 1)) / 4 AS noise_score FROM tm, lim),
 cr AS (SELECT tbn, pk, CASE WHEN request_coverage >= rc AND endpoint_coverage >= re THEN 'block' WHEN write_fanout >= wf THEN 'gray' ELSE 'keep' END AS verdict,
               (least(request_coverage / rc, 1) + least(endpoint_coverage / re, 1)) / 2 AS noise_score FROM rm, lim)
 """
 
+#: Tables by their real amplification.
+CLASSES = """ct AS (SELECT tbn, request_coverage >= tc AND endpoint_coverage >= te AND coalesce(amplification, 0) >= am AND rw_balance > 0 AND write_request_coverage < 0.1 AS block,
+  (least(request_coverage / tc, 1) + least(endpoint_coverage / te, 1) + least(coalesce(amplification, 0) / am, 1) + least(rw_balance * 2, 1)) / 4 AS noise_score FROM tm LEFT JOIN amp USING (tbn), lim)"""
+
 #: Rows written by seven requests or more are shown, but followed only from the root.
 GRAY = "gray AS (SELECT tbn, pk FROM (SELECT tbn, pk, rid FROM row_writes WHERE rid IN (SELECT rid FROM requests)) GROUP BY tbn, pk HAVING count(DISTINCT rid) >= 7)"
 
-_CURVE = "curve AS (SELECT b.budget, count(r.rid) AS predicted, count(g.rid) AS tp, (SELECT count(*) FROM gold) AS total FROM (SELECT unnest([0, 1, 2, 5, 10, 25, 50, 100, 500, 1000]) AS budget) b " \
-    "LEFT JOIN requests r ON CAST(substr(r.rid, 2) AS BIGINT) + 1 <= b.budget LEFT JOIN gold g ON g.rid = r.rid GROUP BY b.budget), " \
-    "scored AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p, CASE WHEN total > 0 THEN tp / total ELSE 0 END AS r FROM curve)"
+#: Budgets: fixed ones up to the last rank, shares of it, and the one that finds all gold requests.
+_CURVE = """ranked AS (SELECT rid, CAST(substr(rid, 2) AS BIGINT) + 1 AS rank FROM requests), full_budget AS (SELECT max(rank) AS total FROM ranked),
+budgets AS (
+  SELECT DISTINCT budget FROM (
+    SELECT 0 AS budget UNION ALL SELECT total FROM full_budget UNION ALL SELECT max(rank) FROM ranked JOIN gold USING (rid)
+    UNION ALL SELECT b FROM (SELECT unnest([1, 2, 5, 10, 25, 50, 100, 200, 500, 1000]) AS b), full_budget WHERE b <= total
+    UNION ALL SELECT least(total, greatest(1, CAST(round_even(total * p / 100.0, 0) AS BIGINT))) FROM (SELECT unnest([1, 5, 10, 25, 50, 75, 100]) AS p), full_budget)),
+curve AS (SELECT b.budget, count(r.rid) AS predicted, count(g.rid) AS tp, (SELECT count(*) FROM gold) AS total FROM budgets b LEFT JOIN ranked r ON r.rank <= b.budget LEFT JOIN gold g ON g.rid = r.rid GROUP BY b.budget),
+scored AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p, CASE WHEN total > 0 THEN tp / total ELSE 0 END AS r FROM curve)"""
 
 _CDC = """
 raw AS (SELECT event_id // 5 AS n, event_id, event_type, 't' || CAST(event_id % 4 AS VARCHAR) AS tbn, user_id, CAST(floor(value) AS INT) % 3 AS v, CASE WHEN event_id % 11 = 0 THEN user_id + 1 ELSE user_id END AS old_id, event_id % 3 AS old_v
@@ -131,12 +139,18 @@ def _oracle() -> dict[str, str]:
     gray_reach = "greach AS (SELECT rid, true AS is_root FROM root UNION SELECT l.parent, false FROM greach g JOIN {links} l ON l.child = g.rid {certain} WHERE g.is_root OR NOT EXISTS (SELECT 1 FROM gray WHERE gray.tbn = l.tbn AND gray.pk = l.pk))"
     # Nodes of traces of at most four steps, for each blocked table ('' for none) and root.
     sizes = (
-        "roots AS (SELECT DISTINCT rid FROM reads WHERE seq % 97 < 2), starts AS (SELECT b.blocked, r.rid AS root FROM roots r, (SELECT '' AS blocked UNION ALL SELECT DISTINCT tbn FROM reads) b), "
+        "{roots}, starts AS (SELECT b.blocked, r.rid AS root FROM roots r, (SELECT '' AS blocked UNION ALL SELECT DISTINCT tbn FROM reads) b), "
         "steps AS (SELECT blocked, root, root AS rid, 0 AS depth FROM starts UNION SELECT s.blocked, s.root, l.parent, s.depth + 1 FROM steps s JOIN row_links l ON l.child = s.rid AND l.tbn <> s.blocked WHERE s.depth < 4), "
         "used AS (SELECT DISTINCT s.blocked, s.root, l.parent, l.tbn, l.pk FROM steps s JOIN row_links l ON l.child = s.rid AND l.tbn <> s.blocked WHERE s.depth < 4), "
         "nodes AS (SELECT blocked, root, 'q' || parent AS node FROM used UNION SELECT blocked, root, 'd' || tbn || '|' || pk FROM used), "
         "sizes AS (SELECT s.blocked, s.root, count(n.node) AS size FROM starts s LEFT JOIN nodes n ON n.blocked = s.blocked AND n.root = s.root GROUP BY ALL)"
     )
+    every = sizes.replace("{roots}", "roots AS (SELECT DISTINCT rid FROM reads)")
+    # 128 reading requests at even distances in order of time stand for all where a policy is learned.
+    even = sizes.replace("{roots}", "reading AS (SELECT rid, row_number() OVER (ORDER BY time, rid) - 1 AS place, count(*) OVER () AS total FROM requests WHERE rid IN (SELECT rid FROM reads)), "
+        "roots AS (SELECT rid FROM reading WHERE total <= 128 OR place IN (SELECT CAST(round_even(i * (total - 1) / 127.0, 0) AS BIGINT) FROM range(128) x(i)))")
+    means = "means AS (SELECT blocked, avg(size) AS mean FROM sizes GROUP BY blocked), amp AS (SELECT m.blocked AS tbn, b.mean / greatest(m.mean, 1) AS amplification FROM means m, means b WHERE b.blocked = '' AND m.blocked <> '')"
+    learned = f"{POLICY}, {ROWS.removeprefix(LOGS).lstrip().removeprefix(',')}, {even}, {means}, {CLASSES}"
     return {
         "normalize_names": "SELECT event_id, event_type AS tbn, upper(event_type[1]) || event_type[2:] AS tbn_cased, 'public.app.' || event_type AS col FROM events",
         "path_template": f"SELECT page_id, CASE WHEN t = '' THEN '/' ELSE t END AS template FROM (SELECT page_id, regexp_replace(array_to_string(list_transform(string_split({path}, '/'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN '{{id}}' "
@@ -180,11 +194,11 @@ def _oracle() -> dict[str, str]:
         "table_metrics": _with(POLICY, "SELECT tbn, request_count, endpoint_count, write_request_count, round(request_coverage, 6) AS request_coverage, round(endpoint_coverage, 6) AS endpoint_coverage, round(rw_balance, 6) AS rw_balance, round(write_request_coverage, 6) AS write_request_coverage FROM tm"),
         "row_metrics": _with(POLICY, "SELECT tbn, pk, request_count, endpoint_count, write_fanout, round(request_coverage, 6) AS request_coverage, round(endpoint_coverage, 6) AS endpoint_coverage FROM rm"),
         "thresholds": _with(POLICY, "SELECT round(tc, 6) AS tc, round(te, 6) AS te, round(rc, 6) AS rc, round(re, 6) AS re, round(am, 6) AS am, round(wf, 6) AS wf FROM lim"),
-        "classify_tables": _with(POLICY, "SELECT tbn, block, round(noise_score, 6) AS noise_score FROM ct"),
+        "classify_tables": _with(learned, "SELECT tbn, block, round(noise_score, 6) AS noise_score FROM ct", True),
         "classify_rows": _with(POLICY, "SELECT tbn, pk, verdict, round(noise_score, 6) AS noise_score FROM cr"),
-        "policy_decide": _with(POLICY, "SELECT tbn, pk, CASE WHEN (tbn, pk) IN (SELECT tbn, pk FROM cr WHERE verdict <> 'keep') OR tbn IN (SELECT tbn FROM ct WHERE block) THEN 'gray' ELSE 'keep' END AS decision FROM (SELECT DISTINCT tbn, pk FROM reads)"),
-        "trace_size_d4": _with(f"{ROWS}, {sizes}", "SELECT root AS rid, size FROM sizes WHERE blocked = ''", True),
-        "amplification": _with(f"{ROWS}, {sizes}", ", means AS (SELECT blocked, avg(size) AS mean FROM sizes GROUP BY blocked) SELECT m.blocked AS tbn, round(b.mean / greatest(m.mean, 1), 6) AS amplification FROM means m, means b WHERE b.blocked = '' AND m.blocked <> ''", True),
+        "policy_decide": _with(learned, "SELECT tbn, pk, CASE WHEN (tbn, pk) IN (SELECT tbn, pk FROM cr WHERE verdict <> 'keep') OR tbn IN (SELECT tbn FROM ct WHERE block) THEN 'gray' ELSE 'keep' END AS decision FROM (SELECT DISTINCT tbn, pk FROM reads)", True),
+        "trace_size_d4": _with(f"{ROWS}, {every}", "SELECT root AS rid, size FROM sizes WHERE blocked = ''", True),
+        "amplification": _with(f"{ROWS}, {every}, {means}", "SELECT tbn, round(amplification, 6) AS amplification FROM amp", True),
         "basic_trace_links": _with(TRACE, f"SELECT {link} FROM trace_links", True),
         "basic_trace_requests": _with(TRACE, "SELECT rid FROM reach", True),
         "pruned_trace_links": _with(f"{SNAPSHOT}, {GRAY}, {gray_reach.format(links='links', certain='AND l.certain')}", f"SELECT {link} FROM links WHERE child IN (SELECT rid FROM greach)", True),

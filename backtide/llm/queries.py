@@ -54,7 +54,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page holds the document that its path numbers; that document's labels are the page's."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    number = F.expr("try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') as bigint)")
+    number = F.regexp_extract(urlrules.url_path(F.col("url")), "/([0-9]+)", 1).try_cast("bigint")
     labelled = pages.withColumn("doc_id", number).join(labels, "doc_id").select(
         urlrules.url_tokens(F.col("url")).alias("tokens"),
         F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").otherwise("allow").alias("label"),

@@ -66,6 +66,29 @@ def test_pruned_jaccard(spark):
     assert [r[0] for r in rows.select(spotsigs.pruned_jaccard(F.col("a"), F.col("b"), 0.5)).collect()] == [0.5, 1.0, 0.0, 0.0]
 
 
+def test_fingerprints_and_likenesses_of_real_pairs(spark):
+    dice, base = random.Random(3), None
+    texts = []
+    for i in range(30):
+        words = [dice.choice(["the", "of", "and", *"kilo lima mike november oscar papa".split()]) if dice.random() < 0.4 else prose(dice, 1) for _ in range(60)]
+        base = words if base is None or i % 3 == 0 else base
+        texts.append(" ".join([*base[: 60 - 4 * (i % 3)], *words[60 - 4 * (i % 3) :]]))
+    rows = {r.doc_id: r for r in spotsigs.fingerprint_with_edits(docs(spark, *texts)).withColumn("fingerprint", spotsigs.fingerprint(F.col("spots"))).collect()}
+    sets = [spots(t) for t in texts]
+    digits = {}
+    for i, own in enumerate(sets):
+        printed = rows[i].fingerprint
+        assert len(printed) == 16 * len(own) and [int(printed[k : k + 16], 16) for k in range(0, len(printed), 16)] == [s & (1 << 64) - 1 for s in rows[i].spots]
+        digits.setdefault(frozenset(own), printed)
+        assert digits[frozenset(own)] == printed
+        other = sets[i - 1]  # the next document in descending order; the last one before the first
+        likeness = len(own & other) / len(own | other)
+        assert rows[i].near_next == pytest.approx(likeness) or likeness < spotsigs.LEAST and rows[i].near_next == 0
+    pairs = {(r.a, r.b): r.likeness for r in spotsigs.spot_matches(docs(spark, *texts, texts[0], None, ""), least=0.5).collect()}
+    exact = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(30) for j in range(i) if sets[i] != sets[j] and sets.index(sets[i]) == i and sets.index(sets[j]) == j}
+    assert pairs == pytest.approx({k: v for k, v in exact.items() if v >= 0.5}) and len(pairs) > 5
+
+
 # Near copies
 
 

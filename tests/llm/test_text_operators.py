@@ -1,5 +1,7 @@
 """Encoding, shards, planes, decontamination and URL rules against plain Python versions."""
 
+import hashlib
+import itertools
 import random
 import zlib
 
@@ -62,11 +64,39 @@ def test_byte_shards(spark):
     assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
     for s in range(8):
         assert [r.slot for r in rows if r.shard == s] == list(range(sum(r.shard == s for r in rows)))
-    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    runs = [[r.doc_id for r in run] for _, run in itertools.groupby(rows, key=lambda r: r.text_crc32)]
+    assert len(runs) == len({r.text_crc32 for r in rows})  # equal texts lie together
+    assert runs == sorted(runs, key=lambda run: run[0]) and all(run == sorted(run) for run in runs)
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows if r.doc_id > 1)
     assert shards.shard_by_bytes(docs(spark), 8).count() == 0
 
 
+def test_byte_shards_against_brute_force(spark):
+    """Null and large keys, a group of more than a shard, small groups that are never cut."""
+    dice, big = random.Random(17), 9007199254740993
+    rows = [(None, "n"), (None, "n"), (big, "b"), (big + 2, "c" * 9), (big + 2, "c" * 9)] + [(i, "hot " * 5) for i in range(0, 400, 2)]
+    rows += [(i, "word " * dice.randrange(1, 60) + str(dice.randrange(90))) for i in range(1, 400, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    size, digest = lambda t: len(t) + 16, lambda t: hashlib.sha256(t.encode()).digest()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    small = lambda i: -1 if i is None else i
+    key = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    order = sorted(rows, key=lambda r: (small(key[r[1]]), digest(r[1]), small(r[0])))
+    total, at, begun, expected, slots = sum(size(t) for _, t in rows), 0, {}, [], {}
+    for i, t in order:
+        begun.setdefault(t, at)
+        whole = size(t) * len(groups[t])
+        twice = 2 * begun[t] + whole if whole <= int(shards.WHOLE * total / 12) else 2 * at + size(t)
+        shard = min(11, twice * 12 // (2 * total))
+        expected.append((i, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        at += size(t)
+    got = sorted(((r.doc_id, r.shard, r.slot) for r in shards.shard_by_bytes(table, 12).collect()), key=lambda r: (r[1], r[2]))
+    assert got == expected
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for n in (0, 1, 7, 64, 1000):
@@ -174,6 +204,28 @@ def test_leaks_of_odd_tables(spark):
     assert [(r.doc_id, r.item_id) for r in kept.collect()] == [(None, 5)]
 
 
+def test_mined_rules_against_brute_force(spark):
+    """All rules of up to three tokens by counting combinations; URLs with very many tokens in common mine in bounded time."""
+    dice, rows = random.Random(21), []
+    for _ in range(300):
+        tokens = sorted(t for t in "abcdef" if dice.random() < 0.5)
+        rows.append((tokens, "block" if {"a", "b"} <= set(tokens) or dice.random() < 0.1 else "allow"))
+    rows += [([f"s{i:02}" for i in range(40)], "block")] * 30 + [([], "block"), (["a"], None)]
+    got = urlrules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), support=0.05, confidence=0.7).collect()
+    used = [(set(t), label) for t, label in rows if t and label]
+    rules = {}
+    for n in (1, 2, 3):
+        for part in itertools.combinations("abcdef", n):
+            for label in ("allow", "block"):
+                has, both = sum(set(part) <= t for t, _ in used), sum(set(part) <= t and x == label for t, x in used)
+                if both >= 0.05 * len(used) and both / has >= 0.7:
+                    rules[part, label] = both / has
+    kept = {k: c for k, c in rules.items() if not any(x == k[1] and set(p) < set(k[0]) and c2 >= c for (p, x), c2 in rules.items())}
+    own = {(tuple(r.tokens), r.label): r.confidence for r in got if not r.tokens[0].startswith("s")}
+    assert own == pytest.approx(kept) and kept
+    assert {len(r.tokens) for r in got if r.tokens[0].startswith("s")} == {1} and len(got) < 100
+
+
 def test_listed_url_rules(spark):
     urls = ["http://a.Example.ORG/es/1", "https://example.org/en/12", "http://x.org", "http://x.org/", "http://fr.com/fr/9?x#y", "http://www.z.com/de/", "nothing", None, "a://b://c/d", "http://notorg/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))

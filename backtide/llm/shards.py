@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop_stash, stash
 
 #: Groups of equal texts up to this share of a shard's bytes are never cut.
 WHOLE = 0.1
@@ -53,7 +53,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text:
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"),
     )
-    groups = sized.groupBy("digest").agg(F.min("doc_id").alias("group_key"), F.sum("size").alias("group_bytes"))
+    # Written before it is joined: a join of two shuffles is split where a digest is hot, one on top of a grouping is not.
+    groups = stash(sized.groupBy("digest").agg(F.min("doc_id").alias("group_key"), F.sum("size").alias("group_bytes")), "groups")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Equal rows are dealt by their place in the input, so that no key is one range.
@@ -62,6 +63,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, *, key: str = "doc_id", text:
     laid = laid.select("doc_id", "size", "text_crc32", "digest", "group_bytes")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema) + ", part int, row long, before long, begun long"
     placed = stash(laid.mapInArrow(_running, schema), "shards")
+    drop_stash(groups)
 
     # One row for each partition: totals, and where the group that it begins with has begun.
     ends = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min_by("digest", "row").alias("first"), F.max_by("digest", "row").alias("last"), F.max("begun").alias("begun"))

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from .common import within_bytes
 from .quality import held_out
-from .subwords import WordScores, slices, word_features
+from .subwords import FeatureRows, WordScores, slices
 
 #: Rows of each language, and bytes of all their texts, that a model is fitted on at most.
 SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 600, 24 << 20
@@ -63,15 +63,12 @@ def train(texts: list[str], languages: list[str], *, buckets: int = 1 << 16, low
     names = sorted(set(languages))
     codes = codewords(len(names))
     random, model = np.random.default_rng(seed), CodeModel(names, codes, np.zeros((buckets, codes.shape[1])), np.zeros(codes.shape[1]), low, high)
-    rows = []
+    rows = FeatureRows()
     for text in texts:
         own: dict[str, int] = {}
         for word in text.lower().split() or [""]:
             own[word] = own.get(word, 0) + 1
-        owner, bucket = word_features(list(own), buckets, low, high)
-        features, where = np.unique(bucket, return_inverse=True)
-        share = np.bincount(where, np.fromiter(own.values(), "f8", len(own))[owner], len(features))
-        rows.append((features.astype("i4"), (share / max(1, share.sum())).astype("f4")[:, None]))
+        rows.add(own, buckets, low, high)
     steps, total = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for i in random.permutation(len(rows)):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, within_bytes
-from .subwords import WordScores, slices, word_features
+from .subwords import FeatureRows, WordScores, slices
 
 #: How many labelled rows, and bytes of their texts, a model is fitted on at most; scoring covers all rows.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 24 << 20
@@ -53,15 +53,12 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 17, dim: i
     """Fit on the given texts. The same texts in the same order give the same model; without any, all scores are 0.5."""
     random = np.random.default_rng(seed)
     model = SubwordModel(random.uniform(-1 / dim, 1 / dim, (buckets, dim)), np.zeros((dim, 2)), np.zeros(2), low, high)
-    rows = []
+    rows = FeatureRows()
     for text in texts:
         own: dict[str, int] = {}
         for word in words_of(text):
             own[word] = own.get(word, 0) + 1
-        owner, bucket = word_features(list(own), buckets, low, high)
-        features, where = np.unique(bucket, return_inverse=True)
-        share = np.bincount(where, np.fromiter(own.values(), "f8", len(own))[owner], len(features))
-        rows.append((features.astype("i4"), (share / max(1, share.sum())).astype("f4")[:, None]))
+        rows.add(own, buckets, low, high)
     steps, total = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for i in random.permutation(len(rows)):

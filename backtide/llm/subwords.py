@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -42,6 +44,30 @@ def word_features(words: list[str], buckets: int, low: int, high: int, whole: bo
     return np.concatenate(owners), (np.concatenate(hashes) % np.uint64(buckets)).astype("i8")
 
 
+class FeatureRows:
+    """Features and their shares of many texts, one behind the other in two flat buffers: compact while a model is
+    trained on them, and given back whole afterwards."""
+
+    def __init__(self) -> None:
+        self.features, self.shares, self.ends = array("i"), array("f"), [0]
+
+    def add(self, counts: dict[str, int], buckets: int, low: int, high: int) -> None:
+        """The features of a text with these words."""
+        owner, bucket = word_features(list(counts), buckets, low, high)
+        features, where = np.unique(bucket, return_inverse=True)
+        share = np.bincount(where, np.fromiter(counts.values(), "f8", len(counts))[owner], len(features))
+        self.features.frombytes(features.astype("i4").tobytes())
+        self.shares.frombytes((share / max(1, share.sum())).astype("f4").tobytes())
+        self.ends.append(len(self.features))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.ends[i], self.ends[i + 1])
+        return np.frombuffer(self.features, "i4")[own], np.frombuffer(self.shares, "f4")[own, None]
+
+
 class WordScores:
     """For each word, its features' summed rows of a weight matrix and their number. Known words are remembered until
     they come to about `budget` bytes; then the table begins anew. One belongs to a task and goes with it."""

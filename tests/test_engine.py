@@ -140,3 +140,23 @@ def test_change_stream(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps({"xid": 5, "change": CHANGE}) + "\n")
     cdc.start_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), {"public.Items": "id"}).awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).count() == len(EXPECTED)
+
+
+def test_even_sample_over_many_ranges(spark):
+    items = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("at"), "id")
+    wanted = sorted(r["at"] for r in items.collect())
+    got = sorted(r["at"] for r in selection.sample_evenly(items, "at", 16).collect())
+    assert got == [wanted[round(i * 4999 / 15)] for i in range(16)]
+
+
+def test_judge_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "k string, n int")
+    got = taint.judge_batches(rows, ["k"], lambda batch: [k == "a" for k in batch["k"]])
+    assert sorted((r.n, r.tainted) for r in got.collect()) == [(1, False), (2, True), (3, False)]
+
+
+def test_repeated_columns_and_escaped_keys_of_a_change(spark):
+    change = {"kind": "insert", "schema": "public", "table": "t", "columnnames": ["ID", "v", " V"], "columnvalues": ['a"b', 1, 2]}
+    message = {"kind": "message", "prefix": "request", "content": json.dumps({"request_id": "R"})}
+    row = cdc.cell_changes(cdc.parse(lines(spark, {"xid": 1, "timestamp": "2026-01-01 00:00:00+00", "change": [message, change]})), {"public.t": "id"}).first()
+    assert row.pk == 'a"b' and row.cells == {"id": json.dumps('a"b'), "v": "2"}

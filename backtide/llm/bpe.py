@@ -48,13 +48,14 @@ class TreeBpe:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self._whole: dict[bytes, bool] = {}
-        self._merged = Memo(self.merge, 16 << 20)
-        self._short = Memo(self._tree, 12 << 20)
+        self._merged = Memo(self.merge, 64 << 20)
+        self._short = Memo(self._tree, 48 << 20)
         self._units = Memo(self._unit, 64 << 20)
+        self._words = Memo(self._spaced, 64 << 20)
 
     def forget(self) -> None:
         """Give back what was remembered: workers outlive their tasks."""
-        for memo in (self._merged, self._short, self._units):
+        for memo in (self._merged, self._short, self._units, self._words):
             memo.forget()
 
     def merge(self, text: bytes) -> tuple[int, ...]:
@@ -128,7 +129,10 @@ class TreeBpe:
         if len(text) == 1 or (text in self.ranks and self.is_token(text)):
             return (self.ranks[text],)
         half = len(text) // 2
-        return self.join(self._reduce(text[:half]), self._reduce(text[half:]))
+        left, right = text[:half], text[half:]
+        if len(right) <= 12:
+            return self.join(self._short[left], self._short[right])
+        return self.join(self._reduce(left), self._reduce(right))
 
     def _reduce(self, text: bytes) -> tuple[int, ...]:
         return self._short[text] if len(text) <= 12 else self._tree(text)
@@ -154,12 +158,14 @@ class TreeBpe:
         word = unit.removeprefix(" ")
         return UNSURE if not word or _SPACE.match(word[0]) or _SPACE.match(word[-1]) else self._matches(unit)
 
+    def _spaced(self, word: str) -> bytes:
+        return self._unit(" " + word)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, as packed little-endian 32-bit integers. Single spaces between other characters are always
         borders between matches, so the words between them are encoded once and remembered."""
         first, *rest = text.split(" ")
-        units = [first, *[" " + word for word in rest]]
-        found = list(map(self._units.__getitem__, units))
+        found = [self._units[first], *map(self._words.__getitem__, rest)]
         return self._matches(text) if UNSURE in found else b"".join(found)
 
     def decode(self, ids: list[int]) -> bytes:

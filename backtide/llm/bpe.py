@@ -29,6 +29,8 @@ _SPACE = regex.compile(r"\p{White_Space}")
 _LATIN = regex.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks that begin no match of the pattern with the letters before them; the apostrophe may.
 _MARKS = ".,;:!?|%&*#$"
+#: What an ASCII match of _LATIN of two characters or more may begin with.
+_BEGINS = frozenset(" ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 UNSURE = b"?"
 #: Above every rank.
 NO_RANK = 1 << 40
@@ -51,7 +53,7 @@ class TreeBpe:
         self._merged = Memo(self.merge, 64 << 20)
         self._short = Memo(self._tree, 48 << 20)
         self._units = Memo(self._unit, 64 << 20)
-        self._words = Memo(self._spaced, 64 << 20)
+        self._words = Memo(self._spaced, 128 << 20)
 
     def forget(self) -> None:
         """Give back what was remembered: workers outlive their tasks."""
@@ -113,8 +115,9 @@ class TreeBpe:
         """The encoding of two neighbours that are not empty. Borders inside either of them are stable already, so only
         those beside tokens that the window changes are looked at."""
         bytes_of, a, b = self.bytes_of, 1, 1
-        window = self._merged[bytes_of[left[-1]] + bytes_of[right[0]]]
-        if window == (left[-1], right[0]):
+        inner = left[-1], right[0]
+        window = self._merged[bytes_of[inner[0]] + bytes_of[inner[1]]]
+        if window == inner:
             return left + right
         while True:
             ok_left = a == len(left) or window[0] == left[-a] or self._stable(left[-a - 1], window[0])
@@ -152,8 +155,10 @@ class TreeBpe:
         """The ids of a space and what follows up to the next one; UNSURE if white space at its ends may match beyond it.
         Latin letters after it are one match, and marks behind them another, if both are all there is."""
         core = unit.rstrip(_MARKS)
-        if _LATIN.fullmatch(core):
-            ids = array("i", self.encode_piece(core.encode())).tobytes()
+        if core.isascii() and core[1:].isalpha() and core[0] in _BEGINS or _LATIN.fullmatch(core):
+            piece = core.encode()
+            whole = self.ranks.get(piece)
+            ids = (array("i", (whole,) if whole is not None else self._short[piece] if len(piece) <= 12 else self._tree(piece))).tobytes()
             return ids if len(core) == len(unit) else ids + self._units[unit[len(core) :]]
         word = unit.removeprefix(" ")
         return UNSURE if not word or _SPACE.match(word[0]) or _SPACE.match(word[-1]) else self._matches(unit)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, neardup, pii, planes, quality, shards, spotsigs, urlrules
+from . import bpe, decontaminate, hamerly, language, neardup, negatives, pii, planes, quality, shards, spotsigs, urlrules
 from .common import scratch_path, stash
 
 
@@ -100,6 +100,15 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_score_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_byte_shards": op2_byte_shards,
@@ -111,7 +120,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_output_codes": op8_output_codes,
     "op9_qgram_leaks": op9_qgram_leaks,
     "op10_weak_pii": op10_weak_pii,
+    "op12_hamerly": op12_hamerly,
+    "op13_score_sort": op13_score_sort,
 }
 
-#: Sizes and sums that DuckDB can express; the others are held against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+_COMPONENTS = """
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE {usable} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)"""
+
+_ASSIGN = """
+, near{n} AS (
+  SELECT vec_id, v, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d
+  FROM (SELECT k.vec_id, k.v, m.c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(k.v, m.v)])::BIGINT AS d FROM kept k CROSS JOIN centre{n} m)
+  GROUP BY vec_id, v
+)"""
+
+_MOVE = """
+, mean{n} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+  FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM near{n}) GROUP BY c, i) GROUP BY c
+), centre{after} AS (SELECT o.c, coalesce(m.v, o.v) AS v FROM centre{n} o LEFT JOIN mean{n} m ON m.c = o.c)"""
+
+_KMEANS = (
+    _COMPONENTS.format(factor=64, usable="len(embedding) = 64")
+    + """
+, centre0 AS (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 16))"""
+    + "".join(_ASSIGN.format(n=n) + _MOVE.format(n=n, after=n + 1) for n in range(3))
+    + _ASSIGN.format(n=3)
+    + """
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM near3 a JOIN centre3 m ON m.c = a.c"""
+)
+
+_NEGATIVES = (
+    _COMPONENTS.format(factor=256, usable="label IS NOT NULL")
+    + """
+, r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM kept)
+, s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v)])::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INT AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
+)
+
+#: The others are held against brute force, round trips or held-out accuracy in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op12_hamerly": _KMEANS, "op13_score_sort": _NEGATIVES}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hamerly, language, neardup, negatives, pii, planes, quality, shards, spotsigs, urlrules
+from . import bpe, decontaminate, hamerly, language, neardup, negatives, pii, pitmanyor, planes, quality, shards, spotsigs, urlrules
 from .common import scratch_path, stash
 
 
@@ -100,6 +100,10 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_texts(_table(spark, sf_dir, "documents"), quality.held_out("doc_id", 7, 2))
+
+
 def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_output_codes": op8_output_codes,
     "op9_qgram_leaks": op9_qgram_leaks,
     "op10_weak_pii": op10_weak_pii,
+    "op11_pitman_yor": op11_pitman_yor,
     "op12_hamerly": op12_hamerly,
     "op13_score_sort": op13_score_sort,
 }

@@ -11,11 +11,8 @@ Documents with equal sets are one vertex. Those that share a key with another on
 of SKETCH one-bit MinHash values, whose distance screens pairs more sharply than the signature could (at most
 SKETCH_DISTANCE; a pair at the link threshold of 0.85 differs in more places once in twenty million times). First every
 member of a bucket is held against its smallest and its largest one, two stars of as many rows as members; those links
-make components. Where members of a bucket lie in different components, their pairs are looked at: in a bucket of
-PAIRWISE members those of each member outside the main component with all others, and in larger ones those that share a
-shingle among their rarest. (Sets of similarity s share one of the n - ceil(s n) + 1 shingles that come first in any one
-order, so nothing is lost; in order of how many members hold a shingle, rarest first, a passage that many documents
-share makes no pairs, and where the first shared one comes says how many more can be shared.) Full sets decide
+make components. Members of buckets in which components still meet are then held against those that share a shingle among
+their rarest (`rarest`): a passage that many documents share makes a large bucket, but no pairs. Full sets decide
 on every link. MAX_DISTANCE says what the chunks guarantee; no filter uses it, as pairs beyond it that share a key count
 too.
 """
@@ -33,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, drop_stash, stash
+from .rarest import rarest_members
 from .subwords import slices
 
 CHUNKS, WIDTH, MAX_DISTANCE = 11, 6, 21
@@ -40,20 +38,13 @@ SYMBOLS = CHUNKS * WIDTH
 SKETCH, SKETCH_DISTANCE = 1024, 125
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SYMBOLS, "u8") * np.uint64(2) + np.uint64(1)
-#: Mixed buckets of more members are cut up by rare shingles before their pairs are looked at. Up to here comparing
-#: sketches (some 16 million times, about a second) costs less than listing and counting all shingles of the members.
-PAIRWISE = 4096
-#: Shingles of a prefix that are sent along, to tell the first shared one.
-LISTED = 64
 #: Rows of one hub are dealt to this many tasks.
 SALTS = 32
 #: A pair at the link threshold may be missed this often by the chunk keys, and by the sketches.
 CHUNK_MISS, SKETCH_MISS = 1e-7, 5e-8
 #: A lower threshold would take more than 140 chunks.
 LEAST_PERCENT = 50
-#: Ten-bit lanes with nine-bit values: adding CARRY to the exclusive or of two chunks sets the MARK of lanes that differ.
 _LANES = np.arange(WIDTH, dtype="u8") * np.uint64(10)
-_CARRY, _MARK = sum(0x1FF << 10 * i for i in range(WIDTH)), sum(0x200 << 10 * i for i in range(WIDTH))
 _SHIFTS = _RANDOM.integers(0, 1 << 63, SYMBOLS, "u8")
 _PLACES = _RANDOM.integers(1, 1 << 63, 64, "u8") * np.uint64(2) + np.uint64(1)
 _WIDE = _RANDOM.integers(1, 1 << 31, SKETCH, "u4") * np.uint32(2) + np.uint32(1)
@@ -166,17 +157,6 @@ def _keyed(vertices: DataFrame) -> DataFrame:
     return vertices.select("id", "sig").mapInArrow(keyed, "id long, bucket long")
 
 
-def _own_bucket(chunks: int) -> Column:
-    """Whether of the keys that a pair (sig_a, sig_b) shares this bucket's is the first: in the first chunk with one error
-    at most, the place of the error, or the first place if there is none."""
-    out, place = F.lit(False), F.col("bucket").bitwiseAND(F.lit(1023))
-    for c in reversed(range(chunks)):
-        errors = F.bit_count((F.col("sig_a")[c].bitwiseXOR(F.col("sig_b")[c]) + F.lit(_CARRY)).bitwiseAND(F.lit(_MARK)))
-        here = F.when(errors == 0, place == c * WIDTH).otherwise(place.between(c * WIDTH, c * WIDTH + WIDTH - 1))
-        out = F.when(errors <= 1, here).otherwise(out)
-    return out
-
-
 def _near(percent: int) -> Column:
     """Sketches within the distance and set sizes that allow the similarity."""
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH // 64)])
@@ -217,29 +197,14 @@ def _pairs_across(rows: DataFrame, by: str, own: Column, *also: str) -> DataFram
     return found.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
 
 
-def _across(rows: DataFrame, vertices: DataFrame, signatures: DataFrame, percent: int, chunks: int) -> DataFrame:
-    """(a, b), a > b, of rows (bucket, id, component) in one bucket but in different components that may be links."""
-    rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
-    ends = vertices.select("id", "n", "bits")
-    small = rows.filter(F.col("members") <= PAIRWISE).select("bucket", "id", "component").join(ends, "id").join(signatures, "id")
-    in_bucket = _pairs_across(small, "bucket", _near(percent) & _own_bucket(chunks), "n", "bits", "sig")
-
-    large = rows.filter(F.col("members") > PAIRWISE).select("id", "component").distinct()
-    shingles = vertices.join(large, "id", "left_semi").select("id", "n", F.explode("hashes").alias("shingle"))
-    held = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
-    # A shingle of one holder comes first, but pairs nothing: only how many such there are matters.
-    ordered = shingles.join(held, "shingle").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("order"))
-    single = F.col("n") - F.size("order")
-    wanted = F.greatest(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - single, F.lit(0)).cast("int")
-    listed = ordered.select("id", F.transform(F.slice("order", F.lit(1), wanted), lambda s: s["shingle"]).alias("prefix"), single.alias("single"))
-    placed = listed.select("id", F.posexplode("prefix").alias("at", "shingle"), F.when(F.size("prefix") <= LISTED, F.col("prefix")).alias("prefix"), "single")
-    placed = placed.withColumn("before", F.col("at") + F.col("single")).join(large, "id").join(ends, "id")
+def _across(open_rows: DataFrame, vertices: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b), a > b, of vertices (id, component) in different components that may be links; the table it is found in)."""
+    placed = rarest_members(vertices.select("id", "bits", "hashes").join(open_rows, "id"), percent)
     # Of the first shared shingle on, what is left of either set bounds what they share; a pair comes out there only.
     most = F.least(F.col("n_a") - F.col("before_a"), F.col("n_b") - F.col("before_b"))
     enough = most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
     first = F.coalesce(F.get(F.array_intersect("prefix_a", "prefix_b"), 0) == F.col("shingle"), F.lit(True))
-    by_shingle = _pairs_across(placed, "shingle", enough & _near(percent) & first, "n", "bits", "prefix", "before")
-    return in_bucket.union(by_shingle).distinct()
+    return _pairs_across(placed, "shingle", enough & _near(percent) & first, "n", "bits", "prefix", "before").distinct(), placed
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -309,13 +274,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     of_hub = part.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
     off = seen.select("id", "hub").distinct().join(part, "id", "left").join(of_hub, "hub", "left").filter(F.coalesce("component", "id") != F.coalesce("of_hub", "hub"))
     mixed = shared.join(off.select("id", "hub"), ["id", "hub"], "left_semi").select("bucket").distinct()
-    open_rows = shared.join(mixed, "bucket", "left_semi").select("bucket", "id").join(part, "id", "left")
-    open_rows = stash(open_rows.select("bucket", "id", F.coalesce("component", "id").alias("component")), "open")
+    open_rows = shared.join(mixed, "bucket", "left_semi").select("id").distinct().join(part, "id", "left")
+    open_rows = stash(open_rows.select("id", F.coalesce("component", "id").alias("component")), "open")
     drop_stash(shared)
-    rest = stash(_across(open_rows, vertices, heads.select("id", "sig"), percent, chunks).join(pairs, ["a", "b"], "left_anti"), "rest")
+    across, placed = _across(open_rows, vertices, percent)
+    rest = stash(across.join(pairs, ["a", "b"], "left_anti"), "rest")
     links = stash(star.union(_linked(rest, vertices, percent)).union(same), "links")
     components = stash(connected(links), "components")
-    for done in (heads, seen, vertices, pairs, star, part, open_rows, rest, links):
+    for done in (heads, seen, vertices, pairs, star, part, open_rows, placed, rest, links):
         drop_stash(done)
     return (
         whole.join(components, "id", "left")

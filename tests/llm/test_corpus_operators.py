@@ -125,7 +125,7 @@ def test_near_duplicates(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-def test_large_mixed_buckets(spark, monkeypatch):
+def test_mixed_buckets(spark):
     """Documents that share most of their words, some of them links, cut up by rare shingles in every mixed bucket."""
     dice, texts = random.Random(8), []
     shared = prose(dice, 70)
@@ -133,7 +133,6 @@ def test_large_mixed_buckets(spark, monkeypatch):
         own = prose(dice, dice.randrange(4, 12)).split()
         texts.append(shared + " " + " ".join(own))
         texts.append(shared + " " + " ".join([*own[:-1], "other"]))
-    monkeypatch.setattr(neardup, "PAIRWISE", 2)
     rows = neardup.near_duplicates(docs(spark, *texts), percent=90).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components(texts, 90)
 

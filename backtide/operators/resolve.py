@@ -6,16 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from backtide.session import discard, materialise
+
 from .versions import CELL, ROW, as_of, known_cells, versions
 
 _PICK = ("rid", "time", "op", "xid", "seq", "pos", "raw_run", "vtype", "vtext", "origin", "next_delete")
 
 
+#: Positions of a history that lie in one bucket of the window join.
+WINDOW = 256
+_SEEN = "map<string,struct<vtype:string,vtext:string>>"
+
+
 def read_cells(reads: DataFrame, writes: DataFrame) -> DataFrame:
     """Each read with each known cell of its row; col is null if the row has none."""
     return reads.join(known_cells(writes), list(ROW), "left")
 
 
+def observed_cells(reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """As read_cells(), but a read that tells what it saw (`seen`, a map of column to typed value) has the cells of that
+    map, whether anything is known of them or not, with the value in seen_type and seen_text."""
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("seen_type", "seen_text")]
+    blind = read_cells(reads.filter("seen is null").drop("seen"), writes).select("*", *nothing)
+    told = reads.filter("seen is not null").select("*", F.explode("seen").alias("col", "value")).select("*", F.col("value.vtype").alias("seen_type"), F.col("value.vtext").alias("seen_text"))
+    return blind.unionByName(told.drop("seen", "value"))
+
+
 def resolve_by_time(read_cells_: DataFrame, history: DataFrame) -> DataFrame:
     """The latest version written not after the read, unless a delete not before it and not after the read killed it."""
     found = as_of(read_cells_, history.select(*CELL, *_PICK), CELL, "time", "time", inclusive=True)
@@ -37,9 +53,14 @@ def eligible_cells(writes: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def snapshot_bounds(read_cells_: DataFrame, history: DataFrame) -> DataFrame:
-    """Reads of cells with `low` and `high`, the versions before xmin and before xmax (null where there is none)."""
-    low = resolve_before_xid(read_cells_, history, "xmin").withColumnRenamed("found", "low")
-    return resolve_before_xid(low, history, "xmax").withColumnRenamed("found", "high")
+    """Reads of cells with `low` and `high`, the versions before xmin and before xmax (null where there is none), and
+    `window_start` and `window_end`, the positions of the writes between the bounds, which deletes do not change."""
+    out = read_cells_
+    for side, bound, place in (("low", "xmin", "window_start"), ("high", "xmax", "window_end")):
+        found = as_of(out, history.select(*CELL, *_PICK), CELL, bound, "xid", inclusive=False)
+        dead = F.col("found.next_delete") < F.col(bound)
+        out = found.withColumn(place, F.coalesce("found.pos", F.lit(0)) + (1 if side == "low" else 0)).withColumn(side, F.when(~F.coalesce(dead, F.lit(False)), F.col("found"))).drop("found")
+    return out
 
 
 def snapshot_rules(bounds: DataFrame) -> DataFrame:
@@ -73,23 +94,61 @@ def _shape(v: str, origin_is_itself: bool = False):
 
 
 def window_writers(ruled: DataFrame, history: DataFrame) -> DataFrame:
-    """For reads under rules 1w and 4, the last version of each transaction with xmin <= xid < xmax. Equi-join on the
-    cell; only reads with an open window take part."""
-    own = history.filter("is_last_in_xid").select(*CELL, _shape("", True).alias("version"))
-    return ruled.filter(F.col("rule").isin("1w", "4")).join(own, list(CELL)).filter((F.col("version.xid") >= F.col("xmin")) & (F.col("version.xid") < F.col("xmax")))
+    """For reads under rules 1w and 4, the last version of each transaction with xmin <= xid < xmax.
+
+    A window is a range of positions in the cell's history. It is cut into buckets of WINDOW positions and joined by cell
+    and bucket, so a window meets no more writes than it has, but for two buckets, and a hot cell is spread over all of
+    its buckets."""
+    bucket = F.floor(F.col("pos") / WINDOW)
+    own = history.filter("is_last_in_xid").select(*CELL, bucket.alias("bucket"), F.col("pos").alias("at"), _shape("", True).alias("version"))
+    ends = [F.floor(F.col(c) / WINDOW) for c in ("window_start", "window_end")]
+    open_ = ruled.filter(F.col("rule").isin("1w", "4") & (F.col("window_start") <= F.col("window_end"))).withColumn("bucket", F.explode(F.sequence(*ends)))
+    return open_.join(own, [*CELL, "bucket"]).filter(F.col("at").between(F.col("window_start"), F.col("window_end"))).drop("bucket", "at")
+
+
+#: The values of reasons are fixed.
+NO_HISTORY = "row has no available cell write history"
+NOT_BEFORE_SNAPSHOT = "no traceable version for this cell before the snapshot upper bound"
+NOT_BEFORE_READ = "no traceable version for this cell before the read time"
+NO_MATCH = "cell value in the read log does not match any snapshot candidate"
 
+_READ = ("rid", *CELL, "read_seq", "read_time", "xmin", "xmax", "seen_type", "seen_text")
 
-def snapshot_candidates(reads_of_cells: DataFrame, history: DataFrame) -> DataFrame:
-    """(rid, cell, read_seq, read_time, version, certain, rule): one row for each version a read may have seen."""
+
+def _head() -> list:
+    """The columns of _READ, of a read as it is logged."""
+    return ["rid", *CELL, F.col("seq").alias("read_seq"), F.col("time").alias("read_time"), "xmin", "xmax", "seen_type", "seen_text"]
+
+
+def snapshot_attempts(reads_of_cells: DataFrame, history: DataFrame) -> DataFrame:
+    """(read, version, certain, rule): one row for each version a read may have seen; one without a version if there is none."""
     ruled = snapshot_rules(snapshot_bounds(reads_of_cells, history))
-    head = ["rid", *CELL, F.col("seq").alias("read_seq"), F.col("time").alias("read_time")]
-    one = ruled.filter(F.col("rule").isin("0", "1", "2", "3", "4")).select(
-        *head, F.when(F.col("rule").isin("2", "4"), _shape("low")).otherwise(_shape("high")).alias("version"), (F.col("rule") != "4").alias("certain"), "rule"
+    one = ruled.filter(F.col("rule") != "1w").select(
+        *_head(), F.when(F.col("rule").isin("2", "4"), _shape("low")).when(F.col("rule") != "none", _shape("high")).alias("version"), (F.col("rule") != "4").alias("certain"), "rule"
     )
-    many = window_writers(ruled, history).select(*head, "version", F.lit(False).alias("certain"), "rule")
+    many = window_writers(ruled, history).select(*_head(), "version", F.lit(False).alias("certain"), "rule")
     return one.unionByName(many)
 
 
+def match_read(attempts: DataFrame) -> DataFrame:
+    """Attempts of reads that tell what they saw (seen_type): those whose version has that typed value. If one uncertain
+    version is left, it is certain and its rule "observed"; if none is, one row without a version and the reason NO_MATCH."""
+    own = Window.partitionBy(*_READ)
+    fits = F.col("version").isNotNull() & F.col("version.vtype").eqNullSafe(F.col("seen_type")) & F.col("version.vtext").eqNullSafe(F.col("seen_text"))
+    at = F.when(F.col("fits"), F.col("version.pos"))
+    counted = attempts.withColumn("fits", fits).withColumn("low_at", F.min(at).over(own)).withColumn("high_at", F.max(at).over(own))
+    some = F.col("low_at").isNotNull()
+    settled = ~F.col("certain") & (F.col("low_at") == F.col("high_at"))
+    kept = counted.filter(F.col("fits") | ~some | F.col("version").isNull())
+    return kept.select(
+        *_READ,
+        F.when(F.col("fits"), F.col("version")).alias("version"),
+        (F.col("certain") | F.coalesce(settled, F.lit(False))).alias("certain"),
+        F.when(settled, "observed").otherwise(F.col("rule")).alias("rule"),
+        F.when(F.col("version").isNotNull() & ~some, NO_MATCH).alias("reason"),
+    )
+
+
 def match_observed(candidates: DataFrame) -> DataFrame:
     """Keep versions that equal an observed value (columns seen_type, seen_text; null: nothing observed); if a read is
     left with one uncertain version, that one is certain."""
@@ -105,14 +164,58 @@ def dedupe_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
 
 
+def resolve_reads(reads: DataFrame, writes: DataFrame, deletes: DataFrame, by_xid_history: DataFrame | None = None) -> DataFrame:
+    """(read, version, certain, rule, reason) for every cell of every read, all requests at once: the versions it may have
+    seen, or a row without a version and the reason for it.
+
+    Snapshot rules hold where a read has bounds and its cell is eligible, else the time. `seen`, an optional column of
+    reads (a map of column to (vtype, vtext)), names the cells and the values that a read saw itself: only versions with
+    an equal typed value are left of those. What is written on the way (cells of reads, histories) is written once and
+    deleted; histories by time only if a read needs them. A written history by transaction may be given.
+    """
+    if "seen" not in reads.columns:
+        reads = reads.withColumn("seen", F.lit(None).cast(_SEEN))
+    cells = observed_cells(reads, writes).join(eligible_cells(writes, deletes).withColumn("eligible", F.lit(True)), list(CELL), "left")
+    both = F.col("xmin").isNotNull() & F.col("xmax").isNotNull()
+    cells = materialise(cells.withColumn("by_xid", both & F.coalesce("eligible", F.lit(False))).drop("eligible"), "read-cells")
+    done = [cells]
+    by_xid = cells.filter("col is not null and by_xid").drop("by_xid")
+    history = by_xid_history
+    if history is None:
+        history = materialise(versions(writes.filter("xid is not null"), deletes.filter("xid is not null"), "xid"), "history")
+        done.append(history)
+    attempts = snapshot_attempts(by_xid, history)
+    timed = cells.filter("col is not null and not by_xid").drop("by_xid")
+    if not timed.isEmpty():
+        history = materialise(versions(writes, deletes, "time"), "history")
+        done.append(history)
+        found = resolve_by_time(timed, history)
+        attempts = attempts.unionByName(found.select(*_head(), F.when(F.col("found").isNotNull(), _shape("found")).alias("version"), F.lit(True).alias("certain"), F.lit("time").alias("rule")))
+    attempts = materialise(attempts, "attempts")
+    done.append(attempts)
+    told = F.col("seen_type").isNotNull()
+    tried = attempts.filter(~told).withColumn("reason", F.lit(None).cast("string")).unionByName(match_read(attempts.filter(told)))
+    late = F.when(F.col("xmin").isNotNull() & F.col("xmax").isNotNull(), NOT_BEFORE_SNAPSHOT).otherwise(NOT_BEFORE_READ)
+    tried = tried.withColumn("reason", F.coalesce("reason", F.when(F.col("version").isNull(), late)))
+    unknown = cells.filter("col is null").select(*_head(), F.lit(None).cast(attempts.schema["version"].dataType).alias("version"), F.lit(None).cast("boolean").alias("certain"), F.lit(None).cast("string").alias("rule"), F.lit(NO_HISTORY).alias("reason"))
+    out = materialise(tried.unionByName(unknown), "resolved")
+    discard(*done)
+    return out
+
+
+def candidates_of(resolved: DataFrame) -> DataFrame:
+    """The attributions of resolved reads, each once for a request."""
+    return dedupe_candidates(resolved.filter("version is not null").drop("reason", "xmin", "xmax"))
+
+
+def unresolved_reads(resolved: DataFrame) -> DataFrame:
+    """(rid, tbn, pk, col, read_time, reason) of the cells of reads that have no version."""
+    return resolved.filter("version is null").select("rid", *CELL, "read_time", "reason").distinct()
+
+
 def request_candidates(reads: DataFrame, writes: DataFrame, deletes: DataFrame) -> DataFrame:
-    """All requests at once: snapshot rules where a read has bounds and its cell is eligible, else by time."""
-    pairs = read_cells(reads, writes).filter("col is not null").join(eligible_cells(writes, deletes).withColumn("eligible", F.lit(True)), list(CELL), "left")
-    by_xid = F.col("xmin").isNotNull() & F.col("xmax").isNotNull() & F.coalesce("eligible", F.lit(False))
-    snapshot = snapshot_candidates(pairs.filter(by_xid).drop("eligible"), versions(writes.filter("xid is not null"), deletes.filter("xid is not null"), "xid"))
-    timed = resolve_by_time(pairs.filter(~by_xid).drop("eligible"), versions(writes, deletes, "time")).filter("found is not null")
-    timed = timed.select("rid", *CELL, F.col("seq").alias("read_seq"), F.col("time").alias("read_time"), _shape("found").alias("version"), F.lit(True).alias("certain"), F.lit("time").alias("rule"))
-    return dedupe_candidates(snapshot.unionByName(timed))
+    """candidates_of() what resolve_reads() finds."""
+    return candidates_of(resolve_reads(reads, writes, deletes))
 
 
 def unresolved(reads: DataFrame, writes: DataFrame, candidates: DataFrame) -> DataFrame:

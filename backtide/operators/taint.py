@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,18 +46,21 @@ def judge_batches(candidates: DataFrame, key_columns: list[str], judge: Callable
     """candidates with tainted, by a judge that sees each distinct combination of key_columns once (a remote model, say).
     Null is a key like any other. A judge that returns another number of decisions than rows is an error."""
     distinct = candidates.select(*key_columns).distinct()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                batch = frame.iloc[at : at + batch_size]
-                decisions = judge(batch)
-                if len(decisions) != len(batch):
-                    raise ValueError(f"{len(decisions)} decisions for {len(batch)} candidates")
-                yield batch.assign(tainted=decisions)
+    whole = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrow in batches:
+            for at in range(0, arrow.num_rows, batch_size):
+                batch = arrow.slice(at, batch_size)
+                decisions = judge(batch.to_pandas(types_mapper=whole.get))
+                if len(decisions) != batch.num_rows:
+                    raise ValueError(f"{len(decisions)} decisions for {batch.num_rows} candidates")
+                # The keys go back as they came: a data frame of the judge's may have changed them.
+                tainted = pa.array([None if d is None or d is pd.NA else bool(d) for d in decisions], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*batch.columns, tainted], names=[*key_columns, "tainted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema) + ", tainted boolean"
-    judged = distinct.mapInPandas(run, schema).withColumnsRenamed({c: f"_judged_{c}" for c in key_columns})
+    judged = distinct.mapInArrow(run, schema).withColumnsRenamed({c: f"_judged_{c}" for c in key_columns})
     same = [F.col(c).eqNullSafe(F.col(f"_judged_{c}")) for c in key_columns]
     return candidates.join(judged, same).drop(*[f"_judged_{c}" for c in key_columns])
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 CELL = ("tbn", "pk", "col")
 ROW = ("tbn", "pk")
+#: Ranges of keys that histories are cut into.
+SEGMENTS = 64
+_EVENT = ("rid", "pos", "op", "time", "xid", "seq")
 
 
 def known_cells(writes: DataFrame) -> DataFrame:
@@ -18,43 +21,116 @@ def _order(key: str) -> list[str]:
     return [key, "kind", "seq", "line"]
 
 
-def versions(writes: DataFrame, deletes: DataFrame, key: str = "time") -> DataFrame:
+def _when(condition: Column, *fields: str) -> Column:
+    return F.when(condition, F.struct(*fields))
+
+
+def _cuts(writes: DataFrame, key: str, segments: int) -> list[int]:
+    """Keys that cut the writes into segments of about equal size; equal keys stay together."""
+    shares = [(i + 1) / segments for i in range(segments - 1)]
+    found = writes.agg(F.percentile_approx(_number(writes, key), shares, 1000)).first()[0] if shares else None
+    return sorted(set(found or []))
+
+
+def versions(writes: DataFrame, deletes: DataFrame, key: str = "time", *, segments: int = SEGMENTS) -> DataFrame:
     """One row for each write of a cell, in order of key ("time" or "xid"; stable on ties).
 
     Added: pos (among the cell's writes), raw_run (number of the run of equal values; a first write, an insert or a
-    typed difference begins one), origin_* (the write that began the run, or the first one after the last delete in
-    it), next_delete (the first delete key not before this version's; a delete at an equal key kills it), and
-    is_last_in_xid. Deletes of a row count for all its known cells. One shuffle by cell; frames only run forward.
+    typed difference begins one), raw_origin and origin (the write that began the run, or the first one after the last
+    delete in it), next_delete (the first delete key not before this version's; a delete at an equal key kills it), and
+    is_last_in_xid. Deletes of a row count for all its known cells.
+
+    A history is scanned in segments of the key, so that one hot cell is spread over as many tasks. Each segment first
+    counts on its own, as if nothing came before; what it needs of the others (the value, position and origins that came
+    before, the delete and the write that come next) is carried over a table with one row for each cell and segment, and
+    joined back. Only its first write may turn out differently: whether it begins a run depends on the carry.
     """
-    marked = writes.withColumn("kind", F.lit(0))
     spread = deletes.join(known_cells(writes), list(ROW)).select(
         "rid", *CELL, F.lit("delete").alias("op"), F.lit(None).cast("string").alias("vtype"), F.lit(None).cast("string").alias("vtext"), "time", "xid", "seq", "line", F.lit(1).alias("kind")
     )
-    cell = Window.partitionBy(*CELL)
-    forward = cell.orderBy(*_order(key))
-    backward = cell.orderBy(*[F.desc(c) for c in _order(key)])
-    so_far: WindowSpec = forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = (
-        marked.unionByName(spread.select(*marked.columns))
-        .withColumn("next_delete", F.last(F.when(F.col("kind") == 1, F.col(key)), ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("deleted", F.sum("kind").over(so_far))
-        .filter("kind = 0")
+    marked = writes.withColumn("kind", F.lit(0))
+    both = marked.unionByName(spread.select(*marked.columns))
+    cuts = F.array(*[F.lit(c) for c in _cuts(writes, key, segments)]).cast("array<bigint>")
+    number = _number(both, key)
+    both = both.withColumn("segment", F.coalesce(F.size(F.filter(cuts, lambda c: c <= number)), F.lit(-1)))
+
+    part = Window.partitionBy(*CELL, "segment")
+    forward, backward = part.orderBy(*_order(key)), part.orderBy(*[F.desc(c) for c in _order(key)])
+    start = Window.unboundedPreceding
+    is_write = F.col("kind") == 0
+    local = (
+        both.withColumn("pos", F.sum(F.when(is_write, 1).otherwise(0)).over(forward.rowsBetween(start, 0)))
+        .withColumn("deleted", F.sum("kind").over(forward.rowsBetween(start, 0)))
+        .withColumn("before", F.last(_when(is_write, "vtype", "vtext", "deleted"), ignorenulls=True).over(forward.rowsBetween(start, -1)))
+        .withColumn("next_delete", F.last(F.when(~is_write, F.col(key)), ignorenulls=True).over(backward.rowsBetween(start, 0)))
+        .withColumn("after", F.last(_when(is_write, "xid"), ignorenulls=True).over(backward.rowsBetween(start, -1)))
     )
-    changed = ~(F.lag("vtype").over(forward).eqNullSafe(F.col("vtype")) & F.lag("vtext").over(forward).eqNullSafe(F.col("vtext")))
-    first = F.row_number().over(forward) == 1
-    runs = (
-        both.withColumn("pos", F.row_number().over(forward).cast("long"))
-        .withColumn("raw_new", first | (F.col("op") == "insert") | changed)
-        .withColumn("life_new", F.col("raw_new") | (F.col("deleted") > F.lag("deleted", 1, 0).over(forward)))
+    later = is_write & F.col("before").isNotNull()
+    local = local.withColumn("raw_new", later & _begins("before")).withColumn("life_new", later & (F.col("raw_new") | (F.col("deleted") > F.col("before.deleted"))))
+    local = local.withColumn("raw_run", F.sum(F.col("raw_new").cast("long")).over(forward.rowsBetween(start, 0)))
+    for name in ("raw", "life"):
+        local = local.withColumn(f"{name}_event", F.last(_when(F.col(f"{name}_new"), *_EVENT), ignorenulls=True).over(forward.rowsBetween(start, 0)))
+
+    carried = _carried(local, key).repartition(*CELL, "segment")
+    out = local.filter(is_write).join(carried, [*CELL, "segment"])
+
+    def event(name: str) -> Column:
+        own = F.col(f"{name}_event")
+        moved = F.struct(*[(own["pos"] + F.col("pos_before")).alias("pos") if f == "pos" else own[f].alias(f) for f in _EVENT])
+        return F.when(own.isNotNull(), moved).otherwise(F.col(f"{name}_begun"))
+
+    follows = F.coalesce("after", "after_segment")
+    return out.select(
+        *writes.columns,
+        F.coalesce("next_delete", "delete_after").alias("next_delete"),
+        (F.col("pos") + F.col("pos_before")).alias("pos"),
+        (F.col("raw_run") + F.col("runs_before")).alias("raw_run"),
+        event("raw").alias("raw_origin"),
+        event("life").alias("origin"),
+        (follows.isNull() | ~follows["xid"].eqNullSafe(F.col("xid"))).alias("is_last_in_xid"),
     )
-    origin = F.struct("rid", "pos", "op", "time", "xid", "seq")
-    return (
-        runs.withColumn("raw_run", F.sum(F.col("raw_new").cast("long")).over(so_far))
-        .withColumn("raw_origin", F.last(F.when(F.col("raw_new"), origin), ignorenulls=True).over(so_far))
-        .withColumn("origin", F.last(F.when(F.col("life_new"), origin), ignorenulls=True).over(so_far))
-        .withColumn("is_last_in_xid", ~F.coalesce(F.lead("xid").over(forward).eqNullSafe(F.col("xid")), F.lit(False)))
-        .drop("kind", "deleted", "raw_new", "life_new")
+
+
+def _begins(before: str) -> Column:
+    """Whether a write begins a run after the one described by the struct `before`."""
+    return (F.col("op") == "insert") | ~(F.col(f"{before}.vtype").eqNullSafe(F.col("vtype")) & F.col(f"{before}.vtext").eqNullSafe(F.col("vtext")))
+
+
+def _carried(local: DataFrame, key: str) -> DataFrame:
+    """What each segment of a cell's history needs of the others: one row for each cell and segment."""
+    is_write, at = F.col("kind") == 0, F.struct(*_order(key))
+    first, last = F.when(is_write & F.col("before").isNull(), at), F.when(is_write, at)
+    whole = F.struct(*_EVENT, "vtype", "vtext", "deleted")
+    kept = {f"{name}_last": F.max_by(F.when(F.col(f"{name}_new"), F.struct(*_EVENT)), F.when(F.col(f"{name}_new"), at)) for name in ("raw", "life")}
+    sums = local.groupBy(*CELL, "segment").agg(
+        F.sum(F.when(is_write, 1).otherwise(0)).alias("writes"), F.sum("kind").alias("deletes"), F.min(F.when(~is_write, F.col(key))).alias("first_delete"),
+        F.min_by(whole, first).alias("first"), F.max_by(F.struct("vtype", "vtext", "deleted"), last).alias("last"),
+        F.sum(F.col("raw_new").cast("long")).alias("runs"), *[c.alias(name) for name, c in kept.items()],
+    )
+    earlier = Window.partitionBy(*CELL).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*CELL).orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    placed = (
+        sums.withColumn("pos_before", zero(F.sum("writes").over(earlier)))
+        .withColumn("deletes_before", zero(F.sum("deletes").over(earlier)))
+        .withColumn("delete_after", F.last("first_delete", ignorenulls=True).over(later))
+        .withColumn("after_segment", F.last(F.when(F.col("first").isNotNull(), F.struct("first.xid")), ignorenulls=True).over(later))
+        .withColumn("last", F.when(F.col("last").isNotNull(), F.struct("last.vtype", "last.vtext", (F.col("last.deleted") + F.col("deletes_before")).alias("deleted"))))
+        .withColumn("before", F.last("last", ignorenulls=True).over(earlier))
     )
+    begins = F.col("before").isNull() | (F.col("first.op") == "insert") | ~(F.col("before.vtype").eqNullSafe(F.col("first.vtype")) & F.col("before.vtext").eqNullSafe(F.col("first.vtext")))
+    placed = placed.withColumn("raw_first", F.col("first").isNotNull() & begins)
+    placed = placed.withColumn("life_first", F.col("first").isNotNull() & (F.col("raw_first") | (F.col("first.deleted") + F.col("deletes_before") > F.col("before.deleted"))))
+    placed = placed.withColumn("runs_before", zero(F.sum(F.col("runs") + F.col("raw_first").cast("long")).over(earlier)) + F.col("raw_first").cast("long"))
+
+    def moved(event: str) -> Column:
+        return F.struct(*[(F.col(f"{event}.pos") + F.col("pos_before")).alias("pos") if f == "pos" else F.col(f"{event}.{f}").alias(f) for f in _EVENT])
+
+    for name in ("raw", "life"):
+        own = F.when(F.col(f"{name}_last").isNotNull(), moved(f"{name}_last")).when(F.col(f"{name}_first"), moved("first"))
+        placed = placed.withColumn(f"{name}_end", own)
+        placed = placed.withColumn(f"{name}_begun", F.when(F.col(f"{name}_first"), moved("first")).otherwise(F.last(f"{name}_end", ignorenulls=True).over(earlier)))
+    return placed.select(*CELL, "segment", "pos_before", "runs_before", "delete_after", "after_segment", "raw_begun", "life_begun")
 
 
 def as_of(probes: DataFrame, history: DataFrame, by: tuple[str, ...], bound: str, key: str, *, inclusive: bool, tie: tuple[str, ...] = ("pos",), buckets: int = 32) -> DataFrame:

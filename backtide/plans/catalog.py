@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from backtide.functions import normalize
 from backtide.operators import evaluate, policy, priority, resolve, selection, taint
 from backtide.operators.versions import CELL, ROW, versions
-from backtide.plans import search, trace
-from backtide.sources.bridge import Logs, from_events
+from backtide.plans import images, search, trace, variants
+from backtide.session import materialise, shared_dir
+from backtide.sources import logs as sources
+from backtide.sources.bridge import Logs, from_events, read_lines, write_lines, written
 from backtide.streaming import cdc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +157,54 @@ def next_alternate(logs: Logs) -> DataFrame:
     return selection.next_in_ring(found, ["rid", *CELL, "read_seq"], ["xid"], "xid").select("rid", *CELL, "read_seq", "xid", F.coalesce("alternate", F.lit(-1)).alias("alternate"))
 
 
+# Logs as JSON lines
+
+
+@_on_tables
+def loaded_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = sources.read_log(written(read_lines(spark, sf_dir), "read-log"), mode="quarantine")[0]
+    seen = F.array_join(F.transform(F.map_entries("seen"), lambda e: F.concat_ws(":", e["key"], e["value"]["vtype"], e["value"]["vtext"])), ",")
+    return reads.select("rid", "tbn", "pk", "seq", F.col("time").cast("string").alias("time"), F.coalesce("xmin", F.lit(-1)).alias("xmin"), F.coalesce("xmax", F.lit(-1)).alias("xmax"), F.coalesce(seen, F.lit("")).alias("seen"), "line")
+
+
+@_on_tables
+def loaded_read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.read_log(written(read_lines(spark, sf_dir), "read-log"), mode="quarantine")[1].select("line", "error")
+
+
+@_on_tables
+def loaded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.write_log(written(write_lines(spark, sf_dir), "write-log"), mode="quarantine")[0].select("rid", *CELL, "op", "vtype", "vtext", "xid", "seq", "line")
+
+
+@_on_tables
+def loaded_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.write_log(written(write_lines(spark, sf_dir), "write-log"), mode="quarantine")[1].select("rid", *ROW, "xid", "seq", "line")
+
+
+@_on_tables
+def loaded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row accesses of records that have an array of keys."""
+    return sources.row_accesses(written(read_lines(spark, sf_dir), "read-log"), arrays_only=True, mode="quarantine")[0].select("rid", *ROW, "event", "line")
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = from_events(spark, sf_dir)
+    return resolve.resolve_reads(sources.read_log(written(read_lines(spark, sf_dir), "read-log"), mode="quarantine")[0], logs.writes, logs.deletes)
+
+
+@_on_tables
+def observed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions of logged reads, some of which tell the values they saw."""
+    found = resolve.candidates_of(_observed(spark, sf_dir))
+    return found.select("rid", *CELL, "read_seq", F.col("version.xid").alias("latest_xid"), F.col("version.origin_rid").alias("origin_rid"), "certain", "rule")
+
+
+@_on_tables
+def unresolved_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.unresolved_reads(_observed(spark, sf_dir)).withColumn("read_time", F.col("read_time").cast("string"))
+
+
 # Selections
 
 
@@ -221,8 +272,9 @@ def child_breadth(logs: Logs) -> DataFrame:
 
 
 def _tasks(logs: Logs) -> tuple[DataFrame, DataFrame]:
-    found = _candidates(logs)
-    return found, priority.score_tasks(found, versions(logs.writes, logs.deletes, "xid"), logs.reads, logs.writes, logs.contexts)
+    history = materialise(versions(logs.writes, logs.deletes, "xid"), "history")
+    found = resolve.candidates_of(resolve.resolve_reads(logs.reads, logs.writes, logs.deletes, history))
+    return found, priority.score_tasks(found, history, logs.reads, logs.writes, logs.contexts)
 
 
 @_on_logs
@@ -360,6 +412,29 @@ def simple_paths_bounded(logs: Logs) -> DataFrame:
     return trace.simple_paths(edges, logs.root, 4).select(F.array_join("path", ">").alias("path"))
 
 
+@_on_logs
+def cycle_paths(logs: Logs) -> DataFrame:
+    """Paths of certain links with how each ends; those that return to a request show it."""
+    found = trace.paths_with_ends(trace.links(_candidates(logs)).filter("certain"), logs.root, 3)
+    return found.select(F.array_join("path", ">").alias("path"), "ended")
+
+
+@_on_logs
+def predecessor_requests(logs: Logs) -> DataFrame:
+    return trace.predecessors(trace.links(_candidates(logs)).filter("certain").select("child", "parent"), logs.root)
+
+
+@_on_logs
+def image_trace_links(logs: Logs) -> DataFrame:
+    """A trace over row images that follows rows without a zero; each image is judged once."""
+    cells = F.create_map("col", "vtext")
+    gone = logs.deletes.select("rid", *ROW, F.lit("delete").alias("event"), "time", "line", F.create_map().cast("map<string,string>").alias("cells"))
+    rows = logs.writes.select("rid", *ROW, F.col("op").alias("event"), "time", "line", cells.alias("cells")).unionByName(gone)
+    memo = f"{shared_dir(logs.reads.sparkSession)}/memo-{uuid.uuid4().hex}"
+    _, found = images.image_trace(logs.reads, rows, logs.root, lambda batch: [": 0}" not in row for row in batch["row"]], memo)
+    return found.select("child", *ROW, "parent", "event", "row", "tainted")
+
+
 @_on_logs
 def collapsed_dag(logs: Logs) -> DataFrame:
     return evaluate.collapsed_dag(_trace(logs)[1])
@@ -370,6 +445,66 @@ def graph_counts(logs: Logs) -> DataFrame:
     return evaluate.graph_counts(_trace(logs)[1])
 
 
+# Policies against each other
+
+
+def _variant_policy(logs: Logs) -> tuple[DataFrame, DataFrame]:
+    """Tables of high coverage are blocked, rows of many writers blocked or gray: a policy with all kinds of rules."""
+    tables, rows, limits = _learned(logs)
+    tables = tables.join(F.broadcast(limits.select("tc"))).withColumn("block", F.col("request_coverage") >= F.col("tc"))
+    return tables, rows.withColumn("verdict", F.when(F.col("write_fanout") >= 9, "block").when(F.col("write_fanout") >= 6, "gray").otherwise("keep"))
+
+
+def _variant_columns(scored: DataFrame) -> DataFrame:
+    return scored.select("variant", "tp", "fp", "fn", *map(_r6, ("precision", "recall", "f1")), "links", "uncertain_no_recurse", "gray_no_recurse")
+
+
+def _variants(logs: Logs, table_masks: DataFrame, row_masks: DataFrame, names: list[str]) -> DataFrame:
+    found = variants.trace_variants(trace.links(_candidates(logs)), logs.root, table_masks, row_masks, len(names))
+    return _variant_columns(variants.variant_scores(*found, logs.root, logs.gold, names))
+
+
+@_on_logs
+def ablation(logs: Logs) -> DataFrame:
+    return _variants(logs, *variants.ablation_masks(*_variant_policy(logs)), list(variants.ABLATION))
+
+
+@_on_logs
+def sensitivity(logs: Logs) -> DataFrame:
+    """All parameter variants of a policy, one at a time and in pairs, over the same metrics."""
+    scan = variants.scan_parameters()
+    tables, rows, _ = _learned(logs)
+    grown = tables.join(policy.amplification(policy.row_links(logs.reads, _row_writes(logs)), _size_roots(logs), tables.select("tbn")), "tbn", "left").fillna(0.0, ["amplification"])
+    tables, rows = materialise(grown, "table-metrics"), materialise(rows, "row-metrics")
+    return _variants(logs, *variants.parameter_masks(tables, rows, list(scan.values())), list(scan))
+
+
+def _raw_and_pruned(logs: Logs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    links = materialise(policy.row_links(logs.reads, _row_writes(logs)), "row-links")
+    return variants.raw_against_pruned(links.select("child", *ROW, "parent"), logs.root, _gray(logs), selection.seed_writers(_row_writes(logs), 3))
+
+
+@_on_logs
+def raw_against_pruned(logs: Logs) -> DataFrame:
+    sizes = _raw_and_pruned(logs)[0]
+    return sizes.withColumn("graph_reduction", F.round("graph_reduction", 6))
+
+
+@_on_logs
+def raw_only_links(logs: Logs) -> DataFrame:
+    return _raw_and_pruned(logs)[2]
+
+
+@_on_logs
+def suppressed_examples(logs: Logs) -> DataFrame:
+    return variants.suppressed_examples(_raw_and_pruned(logs)[1])
+
+
+@_on_logs
+def suppression_ledger(logs: Logs) -> DataFrame:
+    return variants.suppression_ledger(_trace(logs, policy=_gray(logs))[1], logs.root)
+
+
 # Judgement and evaluation
 
 
@@ -463,6 +598,13 @@ def cdc_row_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.row_changes(cdc.parse(_transactions(spark, sf_dir)), _TABLES).select("rid", "xid", "tbn", "event", F.array_join("pks", ",").alias("pks"))
 
 
+@_on_tables
+def cdc_row_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cdc.row_stream(cdc.parse(_transactions(spark, sf_dir)), _TABLES)
+    moves = F.transform("pk_changes", lambda m: F.concat_ws(">", m["before"], m["after"]))
+    return found.select("rid", "event", "tbn", F.array_join("pks", ",").alias("pks"), F.array_join(moves, ",").alias("pk_changes"))
+
+
 @_on_tables
 def cdc_table_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cdc.table_changes(cdc.parse(_transactions(spark, sf_dir)), "public.t1", "id")

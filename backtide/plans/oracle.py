@@ -81,6 +81,42 @@ cr AS (SELECT tbn, pk, CASE WHEN request_coverage >= rc AND endpoint_coverage >=
               (least(request_coverage / rc, 1) + least(endpoint_coverage / re, 1)) / 2 AS noise_score FROM rm, lim)
 """
 
+#: JSON records as the loaders are to read them: line numbers, keys, numbers that are missing.
+LOADED = """
+rl AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS line, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END AS keys, CASE WHEN event_id % 8 <> 1 THEN event_id - (k % 50) * 20 END AS lower,
+       CASE WHEN event_id % 8 <> 1 AND event_id % 17 <> 0 THEN event_id END AS upper FROM e WHERE event_type IN ('view', 'click')),
+rg AS (SELECT *, coalesce(CASE WHEN event_id % 3 <> 0 THEN event_id END, sum(keys) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq FROM rl WHERE (lower IS NULL) = (upper IS NULL)),
+both_keys AS (SELECT unnest([0, 1]) AS i),
+loaded AS (SELECT rid, tbn, CAST(user_id + i AS VARCHAR) AS pk, CAST(seq AS BIGINT) AS seq, time, lower AS xmin, upper AS xmax, line, CAST(event_id % 5 AS VARCHAR) AS seen_text,
+           CASE WHEN event_id % 4 = 1 AND event_id % 5 <> 0 THEN 'c' || CASE WHEN event_id % 7 = 0 THEN 9 ELSE k % 3 END END AS seen_col FROM rg, both_keys WHERE i < keys),
+wl AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS line, 1 + event_id % 2 AS n FROM e WHERE event_type IN ('signup', 'purchase', 'error')),
+wg AS (SELECT *, CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN event_id END, sum(n) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS number FROM wl)
+"""
+
+#: What logged reads may have seen: by snapshot where they have bounds, else by time; some tell the value they saw.
+OBSERVED = HISTORY + ", " + LOADED + """,
+lc AS (SELECT *, row_number() OVER (ORDER BY line, pk, col) AS id FROM (
+  SELECT l.rid, l.tbn, l.pk, l.seq, l.time, l.xmin, l.xmax, l.line, c.col, NULL AS seen FROM loaded l LEFT JOIN cells c ON c.tbn = l.tbn AND c.pk = l.pk WHERE l.seen_col IS NULL
+  UNION ALL SELECT rid, tbn, pk, seq, time, xmin, xmax, line, seen_col, seen_text FROM loaded WHERE seen_col IS NOT NULL)),
+b AS (SELECT r.id, max(v.pos) FILTER (v.xid < r.xmax) AS high, max(v.pos) FILTER (v.xid < r.xmin) AS low, max(v.pos) FILTER (v.time <= r.time) AS latest
+      FROM lc r JOIN v ON v.tbn = r.tbn AND v.pk = r.pk AND v.col = r.col GROUP BY r.id),
+x AS (
+  SELECT r.*, h.xid AS h_xid, h.origin_rid AS h_origin, h.vtext AS h_text, l.xid AS l_xid, l.origin_rid AS l_origin, l.vtext AS l_text, t.xid AS t_xid, t.origin_rid AS t_origin, t.vtext AS t_text,
+    CASE WHEN r.xmin IS NULL AND t.xid IS NULL THEN 'none' WHEN r.xmin IS NULL THEN 'time' WHEN h.xid IS NULL THEN 'none' WHEN h.rid = r.rid THEN '0' WHEN l.xid IS NULL AND h.op = 'insert' THEN '1' WHEN l.xid IS NULL THEN '1w'
+         WHEN l.pos = h.pos THEN '2' WHEN l.raw_run = h.raw_run THEN '3' ELSE '4' END AS rule
+  FROM lc r LEFT JOIN b USING (id)
+  LEFT JOIN v h ON h.tbn = r.tbn AND h.pk = r.pk AND h.col = r.col AND h.pos = b.high AND (h.next_delete IS NULL OR h.next_delete >= r.xmax)
+  LEFT JOIN v l ON l.tbn = r.tbn AND l.pk = r.pk AND l.col = r.col AND l.pos = b.low AND (l.next_delete IS NULL OR l.next_delete >= r.xmin)
+  LEFT JOIN (SELECT v.*, (SELECT min(d.time) FROM deletes d WHERE d.tbn = v.tbn AND d.pk = v.pk AND d.time >= v.time) AS gone FROM v) t
+    ON t.tbn = r.tbn AND t.pk = r.pk AND t.col = r.col AND t.pos = b.latest AND (t.gone IS NULL OR t.gone > r.time)),
+attempts AS (
+  SELECT id, rid, tbn, pk, col, seq, time, seen, CASE WHEN rule = 'time' THEN t_xid WHEN rule IN ('2', '4') THEN l_xid ELSE h_xid END AS latest_xid, CASE WHEN rule = 'time' THEN t_origin WHEN rule IN ('2', '4') THEN l_origin ELSE h_origin END AS origin_rid,
+         CASE WHEN rule = 'time' THEN t_text WHEN rule IN ('2', '4') THEN l_text ELSE h_text END AS vtext, rule <> '4' AS certain, rule FROM x WHERE rule NOT IN ('none', '1w')
+  UNION ALL SELECT id, x.rid, x.tbn, x.pk, x.col, seq, x.time, seen, v.xid, v.rid, v.vtext, false, rule FROM x JOIN v ON v.tbn = x.tbn AND v.pk = x.pk AND v.col = x.col AND v.xid >= x.xmin AND v.xid < x.xmax WHERE rule IN ('1w', '4')),
+m AS (SELECT *, min(latest_xid) OVER (PARTITION BY id) = max(latest_xid) OVER (PARTITION BY id) AND seen IS NOT NULL AS settled FROM attempts WHERE seen IS NULL OR seen = vtext),
+c AS (SELECT rid, tbn, pk, col, seq AS read_seq, time, latest_xid, origin_rid, certain OR settled AS certain, CASE WHEN settled AND NOT certain THEN 'observed' ELSE rule END AS rule FROM m)
+"""
+
 #: Tables by their real amplification.
 CLASSES = """ct AS (SELECT tbn, request_coverage >= tc AND endpoint_coverage >= te AND coalesce(amplification, 0) >= am AND rw_balance > 0 AND write_request_coverage < 0.1 AS block,
   (least(request_coverage / tc, 1) + least(endpoint_coverage / te, 1) + least(coalesce(amplification, 0) / am, 1) + least(rw_balance * 2, 1)) / 4 AS noise_score FROM tm LEFT JOIN amp USING (tbn), lim)"""
@@ -111,6 +147,28 @@ cdc AS (
 """
 
 
+#: Requests that each variant of a policy reaches and the links that it shows; needs kinds (variant) and grayv (variant, tbn, pk).
+_VARIANTS = """
+vreach AS (
+  SELECT variant, rid, true AS is_root FROM kinds, root
+  UNION SELECT g.variant, l.parent, false FROM vreach g JOIN links l ON l.child = g.rid AND l.certain
+  WHERE g.is_root OR NOT EXISTS (SELECT 1 FROM grayv WHERE grayv.variant = g.variant AND grayv.tbn = l.tbn AND grayv.pk = l.pk)),
+shownv AS (SELECT g.variant, l.*, y.tbn IS NOT NULL AND l.child NOT IN (SELECT rid FROM root) AS context FROM (SELECT DISTINCT variant, rid FROM vreach) g JOIN links l ON l.child = g.rid
+           LEFT JOIN grayv y ON y.variant = g.variant AND y.tbn = l.tbn AND y.pk = l.pk),
+predv AS (SELECT variant, rid FROM kinds, root UNION SELECT variant, child FROM shownv WHERE certain UNION SELECT variant, parent FROM shownv WHERE certain),
+cv AS (SELECT variant, count(*) AS predicted, count(g.rid) AS tp FROM predv LEFT JOIN gold g USING (rid) GROUP BY variant),
+lv AS (SELECT variant, count(*) AS links, count(*) FILTER (NOT certain) AS uncertain_no_recurse, count(*) FILTER (context) AS gray_no_recurse FROM shownv GROUP BY variant),
+sv AS (SELECT cv.*, coalesce(links, 0) AS links, coalesce(uncertain_no_recurse, 0) AS uncertain_no_recurse, coalesce(gray_no_recurse, 0) AS gray_no_recurse, (SELECT count(*) FROM gold) AS gold,
+              tp / predicted AS p, CASE WHEN (SELECT count(*) FROM gold) > 0 THEN tp / (SELECT count(*) FROM gold) ELSE 0 END AS r FROM cv LEFT JOIN lv USING (variant))
+"""
+
+_SCORED = "SELECT variant, tp, predicted - tp AS fp, gold - tp AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, links, uncertain_no_recurse, gray_no_recurse FROM sv"
+
+
+def _after_logs(parts: str) -> str:
+    return parts.removeprefix(LOGS).lstrip().removeprefix(",")
+
+
 def _with(parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts} {select}"
 
@@ -123,6 +181,7 @@ def _markers(markers: tuple[str, ...], text: str, most: int, yes: str, no: str,
 
 def _oracle() -> dict[str, str]:
     from backtide.operators.taint import CELL_MARKERS, ROW_MARKERS
+    from backtide.plans.variants import ABLATION, scan_parameters
 
     cell = "tbn, pk, col"
     path = "regexp_extract(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^[^?#]*')"
@@ -151,7 +210,40 @@ def _oracle() -> dict[str, str]:
         "roots AS (SELECT rid FROM reading WHERE total <= 128 OR place IN (SELECT CAST(round_even(i * (total - 1) / 127.0, 0) AS BIGINT) FROM range(128) x(i)))")
     means = "means AS (SELECT blocked, avg(size) AS mean FROM sizes GROUP BY blocked), amp AS (SELECT m.blocked AS tbn, b.mean / greatest(m.mean, 1) AS amplification FROM means m, means b WHERE b.blocked = '' AND m.blocked <> '')"
     learned = f"{POLICY}, {ROWS.removeprefix(LOGS).lstrip().removeprefix(',')}, {even}, {means}, {CLASSES}"
+    ablated = ", ".join(f"('{name}', {a}, {b}, {c})" for name, (a, b, c) in ABLATION.items())
+    ablation = (
+        f"{SNAPSHOT}, {_after_logs(POLICY)}, kinds AS (SELECT * FROM (VALUES {ablated}) AS k(variant, of_tables, of_blocked, of_gray)), vt AS (SELECT tbn FROM tm, lim WHERE request_coverage >= tc), "
+        "vr AS (SELECT tbn, pk, write_fanout >= 9 AS blocked FROM rm WHERE write_fanout >= 6), grayv AS (SELECT variant, tbn, pk FROM kinds, vr WHERE (blocked AND of_blocked) OR (NOT blocked AND of_gray) "
+        f"UNION SELECT variant, tbn, pk FROM kinds, (SELECT DISTINCT tbn, pk FROM cells) JOIN vt USING (tbn) WHERE of_tables), {_VARIANTS}"
+    )
+    scan = ", ".join(f"('{name}', {v.q}, {v.table_request_floor}, {v.table_endpoint_floor}, {v.row_request_threshold}, {v.row_endpoint_floor}, {v.amplification_threshold}, {v.write_fanout_threshold}, {v.write_request_guard})" for name, v in scan_parameters().items())
+    shares = " UNION ALL ".join(
+        f"SELECT {q}::DOUBLE AS q, (SELECT quantile_cont(request_coverage, {q}) FROM tm) AS pt, (SELECT quantile_cont(endpoint_coverage, {q}) FROM tm) AS pe, (SELECT quantile_cont(endpoint_coverage, {q}) FROM rm) AS pr" for q in sorted({v.q for v in scan_parameters().values()})
+    )
+    sensitivity = (
+        f"{SNAPSHOT}, {_after_logs(POLICY)}, {_after_logs(ROWS)}, {every}, {means}, kinds AS (SELECT variant, q::DOUBLE AS q, trf::DOUBLE AS trf, tef::DOUBLE AS tef, rrt::DOUBLE AS rrt, ref::DOUBLE AS ref, amt::DOUBLE AS amt, wft::DOUBLE AS wft, guard::DOUBLE AS guard "
+        f"FROM (VALUES {scan}) AS k(variant, q, trf, tef, rrt, ref, amt, wft, guard)), shares AS ({shares}), levels AS (SELECT * FROM kinds JOIN shares USING (q)), "
+        "bt AS (SELECT variant, tbn FROM levels, (SELECT * FROM tm LEFT JOIN amp USING (tbn)) t WHERE request_coverage >= greatest(pt, trf) AND endpoint_coverage >= greatest(pe, tef) AND coalesce(amplification, 0) >= amt AND rw_balance > 0 AND write_request_coverage < guard), "
+        "grayv AS (SELECT variant, tbn, pk FROM levels, rm WHERE (request_coverage >= rrt AND endpoint_coverage >= greatest(pr, ref)) OR write_fanout >= wft "
+        f"UNION SELECT variant, tbn, pk FROM bt JOIN (SELECT DISTINCT tbn, pk FROM cells) USING (tbn)), {_VARIANTS}"
+    )
+    bulk = "bulk AS (SELECT rid FROM (SELECT DISTINCT rid, tbn, pk FROM row_writes) GROUP BY rid HAVING count(*) >= 3), kept AS (SELECT * FROM row_links WHERE parent NOT IN (SELECT rid FROM bulk))"
+    compared_rows = (
+        f"{ROWS}, {GRAY}, {bulk}, {gray_reach.format(links='kept', certain='')}, rawreach AS (SELECT rid FROM root UNION SELECT l.parent FROM rawreach g JOIN kept l ON l.child = g.rid), "
+        "rawl AS (SELECT child, tbn, pk, parent FROM kept WHERE child IN (SELECT rid FROM rawreach)), "
+        "prl AS (SELECT child, tbn, pk, parent, (tbn, pk) IN (SELECT tbn, pk FROM gray) AND child NOT IN (SELECT rid FROM root) AS context FROM kept WHERE child IN (SELECT rid FROM greach)), "
+        "dropped AS (SELECT child, tbn, pk, parent FROM row_links WHERE parent IN (SELECT rid FROM bulk) AND child IN (SELECT rid FROM greach))"
+    )
     return {
+        "ablation": _with(ablation, _SCORED, True),
+        "sensitivity": _with(sensitivity, _SCORED, True),
+        "raw_against_pruned": _with(compared_rows, ", n AS (SELECT (SELECT count(*) FROM (SELECT rid FROM root UNION SELECT child FROM rawl UNION SELECT parent FROM rawl)) AS raw_requests, (SELECT count(*) FROM rawl) AS raw_links, "
+            "(SELECT count(*) FROM (SELECT rid FROM root UNION SELECT child FROM prl UNION SELECT parent FROM prl)) AS pruned_requests, (SELECT count(*) FROM prl) AS pruned_links, (SELECT count(*) FROM prl WHERE context) AS context_only, (SELECT count(*) FROM dropped) AS bulk_suppressed) "
+            "SELECT raw_requests, raw_links, pruned_requests, pruned_links, round(1 - (pruned_requests + pruned_links) / (raw_requests + raw_links), 6) AS graph_reduction, context_only, bulk_suppressed FROM n", True),
+        "raw_only_links": _with(compared_rows, "SELECT * FROM rawl WHERE child NOT IN (SELECT rid FROM greach)", True),
+        "suppressed_examples": _with(compared_rows, "SELECT child, tbn, pk, parent, reason FROM (SELECT *, 'bulk-writer' AS reason FROM dropped UNION ALL SELECT child, tbn, pk, parent, 'gray-no-recurse' FROM prl WHERE context) QUALIFY row_number() OVER (PARTITION BY reason ORDER BY child, tbn, pk, parent) <= 20", True),
+        "suppression_ledger": _with(f"{SNAPSHOT}, {GRAY}, {gray_reach.format(links='links', certain='AND l.certain')}", f", f AS (SELECT *, NOT certain AS uncertain_no_recurse, (tbn, pk) IN (SELECT tbn, pk FROM gray) AND child NOT IN (SELECT rid FROM root) AS gray_no_recurse FROM links WHERE child IN (SELECT rid FROM greach)) "
+            f"SELECT child, {cell}, parent, read_seq, uncertain_no_recurse, gray_no_recurse FROM f WHERE uncertain_no_recurse OR gray_no_recurse", True),
         "normalize_names": "SELECT event_id, event_type AS tbn, upper(event_type[1]) || event_type[2:] AS tbn_cased, 'public.app.' || event_type AS col FROM events",
         "path_template": f"SELECT page_id, CASE WHEN t = '' THEN '/' ELSE t END AS template FROM (SELECT page_id, regexp_replace(array_to_string(list_transform(string_split({path}, '/'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN '{{id}}' "
         "WHEN regexp_full_match(p, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}') THEN '{uuid}' WHEN regexp_full_match(p, '[0-9A-Fa-f]{16,}|[0-9A-Za-z_-]{24,}') THEN '{token}' ELSE p END), '/'), '/+$', '') AS t FROM pages)",
@@ -172,6 +264,16 @@ def _oracle() -> dict[str, str]:
             f"SELECT rid, {cell}, read_seq, latest_xid, certain OR (seen IS NOT NULL AND n = 1) AS certain, seen IS NOT NULL AND NOT certain AND n = 1 AS observed FROM m"),
         "request_candidates": _with(SNAPSHOT, f"SELECT rid, {cell}, read_seq, latest_xid, origin_rid, certain, rule FROM candidates"),
         "unresolved_cells": _with(SNAPSHOT, f"SELECT DISTINCT r.rid, r.tbn, r.pk, c.col FROM reads r LEFT JOIN cells c ON c.tbn = r.tbn AND c.pk = r.pk WHERE c.col IS NULL OR (r.rid, r.tbn, r.pk, c.col) NOT IN (SELECT rid, {cell} FROM candidates)"),
+        "loaded_reads": _with(f"{LOGS}, {LOADED}", "SELECT rid, tbn, pk, seq, CAST(time AS VARCHAR) AS time, coalesce(xmin, -1) AS xmin, coalesce(xmax, -1) AS xmax, CASE WHEN seen_col IS NULL THEN '' ELSE seen_col || ':int:' || seen_text END AS seen, line FROM loaded"),
+        "loaded_read_errors": _with(f"{LOGS}, {LOADED}", "SELECT line, 'xmin and xmax go together' AS error FROM rl WHERE lower IS NOT NULL AND upper IS NULL"),
+        "loaded_writes": _with(f"{LOGS}, {LOADED}", "SELECT rid, tbn, pk, CASE i WHEN 0 THEN col ELSE 'c9' END AS col, CASE event_type WHEN 'signup' THEN 'insert' ELSE 'update' END AS op, 'int' AS vtype, CASE i WHEN 0 THEN CAST(CAST(floor(value / 25) AS INT) AS VARCHAR) ELSE pk END AS vtext, "
+            "event_id AS xid, number AS seq, line FROM wg, both_keys WHERE i < n AND event_type <> 'error'"),
+        "loaded_deletes": _with(f"{LOGS}, {LOADED}", "SELECT rid, tbn, CASE i WHEN 0 THEN pk ELSE 'x' END AS pk, event_id AS xid, number AS seq, line FROM wg, both_keys WHERE i < n AND event_type = 'error'"),
+        "loaded_rows": _with(f"{LOGS}, {LOADED}", "SELECT rid, tbn, CAST(user_id + i AS VARCHAR) AS pk, 'select' AS event, line FROM rl, both_keys WHERE keys = 2"),
+        "observed_candidates": _with(OBSERVED, f"SELECT rid, {cell}, read_seq, latest_xid, origin_rid, certain, rule FROM c QUALIFY row_number() OVER (PARTITION BY rid, {cell}, latest_xid, certain ORDER BY read_seq, time, rule) = 1"),
+        "unresolved_reasons": _with(OBSERVED, f"SELECT DISTINCT rid, {cell}, CAST(time AS VARCHAR) AS read_time, CASE WHEN col IS NULL THEN 'row has no available cell write history' WHEN rule <> 'none' THEN 'cell value in the read log does not match any snapshot candidate' "
+            "WHEN xmin IS NOT NULL THEN 'no traceable version for this cell before the snapshot upper bound' ELSE 'no traceable version for this cell before the read time' END AS reason "
+            "FROM x WHERE col IS NULL OR rule = 'none' OR (seen IS NOT NULL AND id NOT IN (SELECT id FROM m))"),
         "next_alternate": _with(SNAPSHOT, f"SELECT rid, {cell}, read_seq, latest_xid AS xid, CASE WHEN count(*) OVER g > 1 THEN coalesce(lead(latest_xid) OVER o, min(latest_xid) OVER g) ELSE -1 END AS alternate FROM candidates WHERE NOT certain "
             f"WINDOW g AS (PARTITION BY rid, {cell}, read_seq), o AS (PARTITION BY rid, {cell}, read_seq ORDER BY latest_xid)"),
         "earliest_read": _with(LOGS, "SELECT rid, tbn, pk, min(seq) AS seq FROM reads GROUP BY rid, tbn, pk"),
@@ -206,6 +308,15 @@ def _oracle() -> dict[str, str]:
         "row_trace_links": _with(f"{ROWS}, rreach AS (SELECT rid FROM root UNION SELECT l.parent FROM rreach JOIN row_links l ON l.child = rreach.rid)", "SELECT child, tbn, pk, parent FROM row_links WHERE child IN (SELECT rid FROM rreach)", True),
         "row_pruned_trace": _with(f"{ROWS}, {GRAY}, kept AS (SELECT * FROM row_links WHERE parent NOT IN (SELECT rid FROM (SELECT DISTINCT rid, tbn, pk FROM row_writes) GROUP BY rid HAVING count(*) >= 3)), {gray_reach.format(links='kept', certain='')}", "SELECT child, tbn, pk, parent FROM kept WHERE child IN (SELECT rid FROM greach)", True),
         "simple_paths_bounded": _with(f"{SNAPSHOT}, ce AS (SELECT DISTINCT child, parent FROM links WHERE certain), paths AS (SELECT [rid] AS path FROM root UNION ALL SELECT list_append(path, parent) FROM paths JOIN ce ON ce.child = path[-1] AND NOT list_contains(path, parent) WHERE len(path) < 5)", "SELECT array_to_string(path, '>') AS path FROM paths WHERE len(path) > 1", True),
+        "cycle_paths": _with(f"{SNAPSHOT}, ce AS (SELECT DISTINCT child, parent FROM links WHERE certain), paths AS (SELECT [rid] AS path, CAST(NULL AS VARCHAR) AS ended FROM root "
+            "UNION ALL SELECT CASE WHEN ce.parent IS NULL OR (len(path) = 4 AND NOT list_contains(path, ce.parent)) THEN path WHEN list_contains(path, ce.parent) THEN list_append(path, '(cycle: ' || ce.parent || ')') ELSE list_append(path, ce.parent) END, "
+            "CASE WHEN ce.parent IS NULL THEN 'leaf' WHEN list_contains(path, ce.parent) THEN 'cycle' WHEN len(path) = 4 THEN 'cut' END FROM paths LEFT JOIN ce ON ce.child = path[-1] WHERE ended IS NULL)",
+            "SELECT DISTINCT array_to_string(path, '>') AS path, ended FROM paths WHERE ended IS NOT NULL", True),
+        "predecessor_requests": _with(f"{SNAPSHOT}, ce AS (SELECT DISTINCT child, parent FROM links WHERE certain), n AS (SELECT count(*) AS most FROM requests), far AS (SELECT rid, 0 AS level FROM root UNION SELECT ce.parent, level + 1 FROM far JOIN ce ON ce.child = far.rid WHERE level < 60), "
+            "near AS (SELECT rid, min(level) AS level FROM far GROUP BY rid)", "SELECT near.rid, level, count(ce.parent) AS dependencies FROM near LEFT JOIN ce ON ce.child = near.rid WHERE level > 0 GROUP BY near.rid, level", True),
+        "image_trace_links": _with(f"{ROWS}, il AS (SELECT f.rid AS child, f.tbn, f.pk, w.rid AS parent, coalesce(x.op, 'delete') AS event, CASE WHEN x.op IS NULL THEN '{{}}' ELSE '{{\"' || x.col || '\": ' || x.vtext || '}}' END AS row, coalesce(x.vtext <> '0', true) AS tainted "
+            "FROM row_found f JOIN row_writes w ON w.tbn = f.tbn AND w.pk = f.pk AND w.line = f.line LEFT JOIN writes x ON x.line = f.line WHERE f.rid <> w.rid), ireach AS (SELECT rid FROM root UNION SELECT l.parent FROM ireach JOIN il l ON l.child = ireach.rid AND l.tainted)",
+            "SELECT child, tbn, pk, parent, event, row, tainted FROM il WHERE child IN (SELECT rid FROM ireach)", True),
         "collapsed_dag": _with(TRACE, "SELECT child, parent, n AS cells, CASE WHEN n = 1 THEN one ELSE n || ' cells' END AS label, uncertain FROM (SELECT child, parent, count(DISTINCT tbn || '.' || pk || '.' || col) AS n, min(tbn || '.' || pk || '.' || col) AS one, bool_or(NOT certain) AS uncertain FROM trace_links GROUP BY child, parent)", True),
         "graph_counts": _with(TRACE, "SELECT count(*) AS links, count(*) FILTER (certain) AS certain_links, count(*) FILTER (NOT certain) AS uncertain_links, count(DISTINCT tbn || '.' || pk || '.' || col) AS cells, count(DISTINCT tbn) AS tables, count(DISTINCT tbn || '.' || pk) AS rows, "
             "(SELECT count(*) FROM (SELECT child FROM trace_links UNION SELECT parent FROM trace_links)) AS requests FROM trace_links", True),
@@ -219,6 +330,8 @@ def _oracle() -> dict[str, str]:
         "budget_auc": _with(f"{LOGS}, {_CURVE}", "SELECT round(sum(piece) / (max(budget) - min(budget)), 6) AS area FROM (SELECT budget, (budget - lag(budget) OVER (ORDER BY budget)) * (r + lag(r) OVER (ORDER BY budget)) / 2 AS piece FROM scored)"),
         "cdc_cell_flatten": _with(_CDC, "SELECT 'R' || n AS rid, n AS xid, seq, event, tbn, CAST(pk AS VARCHAR) AS pk, cells FROM cdc"),
         "cdc_row_batch": _with(_CDC, "SELECT 'R' || n AS rid, n AS xid, tbn, event, string_agg(CAST(pk AS VARCHAR), ',' ORDER BY seq) AS pks FROM cdc GROUP BY n, tbn, event"),
+        "cdc_row_stream": _with(_CDC, ", k AS (SELECT *, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS event, CASE WHEN event_type = 'error' THEN old_id ELSE user_id END AS pk FROM raw) "
+            "SELECT 'R' || n AS rid, event, tbn, string_agg(CAST(pk AS VARCHAR), ',' ORDER BY event_id) AS pks, coalesce(string_agg(old_id || '>' || user_id, ',' ORDER BY event_id) FILTER (event = 'update' AND old_id <> user_id), '') AS pk_changes FROM k GROUP BY n, tbn, event"),
         "cdc_table_sets": _with(_CDC, ", one AS (SELECT DISTINCT n, event, CAST(pk AS VARCHAR) AS pk FROM cdc WHERE tbn = 't1') SELECT n AS xid, coalesce(string_agg(pk, ',' ORDER BY pk) FILTER (event = 'insert'), '') AS insert_ids, "
             "coalesce(string_agg(pk, ',' ORDER BY pk) FILTER (event = 'update'), '') AS update_ids, coalesce(string_agg(pk, ',' ORDER BY pk) FILTER (event = 'delete'), '') AS delete_ids FROM one GROUP BY n"),
         "run_summary": "SELECT round(avg(score), 3) AS macro, round(quantile_cont(score, 0.5), 3) AS median, round(sum(score * n) / sum(n), 3) AS weighted, round(stddev_samp(score), 3) AS deviation FROM (SELECT o_custkey, avg(o_totalprice) AS score, count(*) AS n FROM orders GROUP BY 1)",

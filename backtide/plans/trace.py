@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backtide.session import materialise
+from backtide.session import discard, materialise
 
 
 def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -49,6 +49,7 @@ def trace(all_links: DataFrame, root: DataFrame, *, policy: DataFrame | None = N
         used = used.join(policy.select("tbn", "pk", "gray"), ["tbn", "pk"], "left").withColumn("gray", F.coalesce("gray", F.lit(False)))
     else:
         used = used.withColumn("gray", F.lit(False))
+    used = materialise(used, "links")
     edges = used.filter("certain").groupBy("child", "parent").agg(F.bool_and("gray").alias("root_only"))
     visited = reach(edges, root)
     return visited, used.join(visited.select(F.col("rid").alias("child")), "child", "left_semi")
@@ -67,3 +68,36 @@ def simple_paths(edges: DataFrame, root: DataFrame, longest: int = 4) -> DataFra
         if open_.isEmpty():
             break
     return done
+
+
+def paths_with_ends(edges: DataFrame, root: DataFrame, longest: int = 12) -> DataFrame:
+    """(path, ended) of all paths from root over edges (child, parent), each until it can go no further: `leaf`, a request
+    without parents; `cycle`, where the next request is on the path already and is added as "(cycle: rid)"; or `cut` after
+    `longest` edges. Their number may grow exponentially with the length, hence the bound, which is told and not hidden.
+
+    Paths grow level by level from a table of their distinct prefixes; those that have ended are not looked at again."""
+    edges = materialise(edges.select("child", "parent").distinct(), "path-edges")
+    open_, done = root.select(F.array("rid").alias("path")).distinct(), []
+    for step in range(longest + 1):
+        last = F.element_at("path", -1)
+        grown = open_.join(edges, last == edges["child"], "left").withColumn("closes", F.array_contains("path", F.col("parent")))
+        ended = F.when(F.col("parent").isNull(), "leaf").when(F.col("closes"), "cycle").when(F.lit(step == longest), "cut")
+        path = F.when(F.col("closes"), F.concat("path", F.array(F.concat(F.lit("(cycle: "), "parent", F.lit(")"))))).when(F.col("parent").isNull() | F.lit(step == longest), F.col("path")).otherwise(F.concat("path", F.array("parent")))
+        level = materialise(grown.select(path.alias("path"), ended.alias("ended")).distinct(), "paths")
+        done.append(level.filter("ended is not null"))
+        open_ = level.filter("ended is null").select("path")
+        if open_.isEmpty():
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    discard(edges)
+    return out
+
+
+def predecessors(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """(rid, level, dependencies): the requests that lead to root over edges (child, parent), how far they are at least and
+    how many edges each adds. Found by reaching, never by listing paths."""
+    reached = reach(edges.withColumn("root_only", F.lit(False)), root)
+    counts = edges.select("child", "parent").distinct().groupBy(F.col("child").alias("rid")).agg(F.count("*").alias("dependencies"))
+    return reached.join(counts, "rid", "left").filter("level > 0").select("rid", "level", F.coalesce("dependencies", F.lit(0)).alias("dependencies"))

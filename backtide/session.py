@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     tasks would write to folders of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="backtide-"))
         folder = spark.sparkContext.getCheckpointDir()

@@ -1,7 +1,8 @@
 """JSON-line logs as tables, with the errors of each line as a column.
 
 Readers come in two modes: `quarantine` returns (good rows, bad lines with their reason), `strict` raises ValueError
-with the first bad line. Lines keep their order in a file by the number zipWithIndex gives them.
+with the first bad line. Lines are numbered in file order, and records without a sequence number get the number of
+events before them, both by sums over splits and ranges of lines: no task sees a whole log.
 """
 
 from __future__ import annotations
@@ -11,14 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from backtide.functions.normalize import column_name, table_name, value_text, value_type
+from backtide.session import materialise
+
+#: Lines of a range whose events one task adds up.
+RANGE = 1 << 16
 
 _READ = "time string, timestamp string, rid string, request_id string, tbn string, table_name string, `table` string, event string, op string, pk variant, pks variant, seq bigint, xmin bigint, xmax bigint, xid bigint, cells variant"
 
 
+def _before(totals: DataFrame, order: list[str], total: str) -> Column:
+    """Sum of `total` over the rows before, of a table with one row for each split or range."""
+    return F.coalesce(F.sum(total).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of the lines that are not blank, numbered in file order."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(lines, "line bigint, value string").filter(F.trim("value") != "")
+    """(line, value) of the lines that are not blank, numbered in file order: a line's number is its place in its split and
+    the lines of the splits before it, by file name and offset. The lines are written to the shared folder."""
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = materialise(spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("at"), "value"), "lines")
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    shift = splits.select("file", "start", (_before(splits, ["file", "start"], "n") - F.col("first")).alias("shift"))
+    return lines.join(shift, ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line"), "value").filter(F.trim("value") != "")
 
 
 def _first(*names: str) -> Column:
@@ -55,9 +69,14 @@ def _split(checked: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     return checked.filter("error is null"), bad
 
 
-def _default_seq(events: Column) -> Column:
-    """For records without a seq: the number of events that the records before it make."""
-    return F.coalesce(F.col("j.seq"), F.sum(events).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def _with_seq(records: DataFrame, events: Column) -> DataFrame:
+    """records with `seq`: their own, or the number of events that the records before them make. Events are added up in
+    ranges of RANGE lines; what comes before a range is a sum over ranges."""
+    marked = records.withColumn("range", F.floor(F.col("line") / RANGE)).withColumn("events", events)
+    totals = marked.groupBy("range").agg(F.sum("events").alias("total"))
+    before = totals.select("range", _before(totals, ["range"], "total").alias("before"))
+    inside = F.coalesce(F.sum("events").over(Window.partitionBy("range").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("inside", inside).join(before, "range").withColumn("seq", F.coalesce("j.seq", F.col("before") + F.col("inside"))).drop("range", "events", "inside", "before")
 
 
 def read_log(lines: DataFrame, *, case_sensitive: bool = False, mode: str = "strict") -> tuple[DataFrame, DataFrame]:
@@ -70,7 +89,7 @@ def read_log(lines: DataFrame, *, case_sensitive: bool = False, mode: str = "str
     )
     good, bad = _split(parsed.withColumn("error", error), mode)
     seen = F.when(F.col("j.cells").isNotNull(), F.map_from_entries(_cells(case_sensitive)))
-    rows = good.withColumn("seq", _default_seq(F.size("keys"))).select("rid", "tbn", F.explode("keys").alias("pk"), "seq", "time", F.col("j.xmin").alias("xmin"), F.col("j.xmax").alias("xmax"), seen.alias("seen"), "line")
+    rows = _with_seq(good, F.size("keys")).select("rid", "tbn", F.explode("keys").alias("pk"), "seq", "time", F.col("j.xmin").alias("xmin"), F.col("j.xmax").alias("xmax"), seen.alias("seen"), "line")
     return rows, bad
 
 
@@ -99,7 +118,7 @@ def write_log(lines: DataFrame, *, case_sensitive: bool = False, mode: str = "st
     )
     good, bad = _split(parsed.withColumn("error", error), mode)
     cells = _cells(case_sensitive)
-    sized = good.withColumn("entries", F.when(written, cells)).withColumn("seq", _default_seq(F.when(written, F.size("entries")).otherwise(F.size("keys"))))
+    sized = _with_seq(good.withColumn("entries", F.when(written, cells)), F.when(written, F.size("entries")).otherwise(F.size("keys")))
     head = ["rid", "tbn", "time", F.col("j.xid").alias("xid"), "seq", "line"]
     writes = sized.filter(written).select(*head, F.get("keys", 0).alias("pk"), "op", F.explode("entries").alias("e")).select("rid", "tbn", "pk", F.col("e.key").alias("col"), "op", "e.value.vtype", "e.value.vtext", "time", "xid", "seq", "line")
     deletes = sized.filter(~written).select(*head, F.explode("keys").alias("pk")).select("rid", "tbn", "pk", "time", "xid", "seq", "line")
@@ -122,10 +141,20 @@ def context_log(lines: DataFrame, mode: str = "strict") -> tuple[DataFrame, Data
     return good.groupBy("rid").agg(F.max_by(F.struct("user_id", "api_id"), "line").alias("c")).select("rid", "c.user_id", "c.api_id"), bad
 
 
+def row_accesses(lines: DataFrame, default_event: str = "select", *, arrays_only: bool = False, mode: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """Row accesses (rid, tbn, pk, event, time, line), one for each key, and the bad lines. arrays_only: keys must come as
+    the array pks, as older logs have them."""
+    parsed = _parsed(lines, False)
+    error = _missing()
+    if arrays_only:
+        error = F.coalesce(F.when(F.call_function("try_variant_get", F.col("j.pks"), F.lit("$"), F.lit("array<variant>")).isNull(), "pks is no array"), error)
+    good, bad = _split(parsed.withColumn("error", error), mode)
+    return good.select("rid", "tbn", F.explode("keys").alias("pk"), F.coalesce("event", F.lit(default_event)).alias("event"), "time", "line"), bad
+
+
 def row_log(lines: DataFrame, default_event: str = "select") -> DataFrame:
-    """Row accesses (rid, tbn, pk, event, time, line); records that lack a part are left out."""
-    parsed = _parsed(lines, False).filter(_missing().isNull())
-    return parsed.select("rid", "tbn", F.explode("keys").alias("pk"), F.coalesce("event", F.lit(default_event)).alias("event"), "time", "line")
+    """The row accesses of row_accesses() without its bad lines."""
+    return row_accesses(lines, default_event, mode="quarantine")[0]
 
 
 def request_log(lines: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Change-stream transactions (one JSON object for each commit) as write logs.
 
 Every rule of cell_changes looks at one transaction at a time, so the same transform serves batch tables and streams
-(append mode, no state). row_changes does so too, within each record; table_changes groups and is for batch tables. A transaction: {xid, timestamp, change: [{kind, schema, table, columnnames, columnvalues, oldkeys:{keynames,
+(append mode, no state). row_stream does so too, within each record; row_changes and table_changes group and are for batch
+tables. A transaction: {xid, timestamp, change: [{kind, schema, table, columnnames, columnvalues, oldkeys:{keynames,
 keyvalues}} | {kind: "message", prefix, content}]}.
 """
 
@@ -28,11 +29,21 @@ def request_id(changes: Column) -> Column:
 
 
 def _values(names: Column, values: Column) -> Column:
-    """Folded column name -> JSON text; of names that are equal once folded the last one counts."""
-    folded = F.transform(names, lambda n: F.lower(F.trim(n)))
-    entries = F.zip_with(folded, F.transform(values, lambda v: F.to_json(v)), lambda n, v: F.struct(n.alias("key"), v.alias("value")))
-    last = F.transform(F.array_distinct(folded), lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1))
-    return F.map_from_entries(F.filter(last, lambda e: e["key"].isNotNull()))
+    """Folded column name -> JSON text; of names that are equal once folded the last one counts. The names are only looked
+    through one by one where some are equal."""
+    entries = F.zip_with(F.transform(names, lambda n: F.lower(F.trim(n))), F.transform(values, lambda v: F.to_json(v)), lambda n, v: F.struct(n.alias("key"), v.alias("value")))
+
+    def mapped(named: Column) -> Column:
+        keys = F.transform(named, lambda e: e["key"])
+        last = F.transform(F.array_distinct(keys), lambda n: F.element_at(F.filter(named, lambda e: e["key"] == n), -1))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(named), named).otherwise(last))
+
+    return _bound(F.filter(entries, lambda e: e["key"].isNotNull()), mapped)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value found once however often it is used: it becomes a lambda's argument."""
+    return F.get(F.transform(F.array(F.struct(value.alias("v"))), lambda s: use(s["v"])), 0)
 
 
 def _plain(json: Column) -> Column:
@@ -50,14 +61,18 @@ def cell_changes(transactions: DataFrame, tables: dict[str, str], now: Column |
     """
     keys = F.create_map(*[F.lit(x) for pair in tables.items() for x in pair]) if tables else F.lit(None).cast("map<string,string>")
 
-    def shaped(c: Column) -> Column:
-        pk = F.lower(F.element_at(keys, F.concat_ws(".", c["schema"], c["table"])))
+    def read(c: Column) -> Column:
         new = F.when(c["columnnames"].isNotNull(), _values(c["columnnames"], c["columnvalues"]))
         old = F.when(c["oldkeys"].isNotNull(), _values(c["oldkeys"]["keynames"], c["oldkeys"]["keyvalues"]))
+        return F.struct(c["kind"].alias("kind"), c["table"].alias("table"), F.lower(F.element_at(keys, F.concat_ws(".", c["schema"], c["table"]))).alias("key"), new.alias("new"), old.alias("old"))
+
+    def shaped(c: Column) -> Column:
+        pk, new, old = c["key"], c["new"], c["old"]
         old_pk = _plain(F.element_at(old, pk))
         new_pk = F.when(F.map_contains_key(new, pk), _plain(F.element_at(new, pk))).when(c["kind"] == "update", old_pk)
         moved = (c["kind"] == "update") & old_pk.isNotNull() & (old_pk != new_pk)
-        changed = F.map_filter(new, lambda k, v: F.coalesce(F.element_at(old, k), F.lit("null")) != v)
+        known = F.coalesce(old, F.create_map().cast("map<string,string>"))
+        changed = F.map_filter(F.map_zip_with(new, known, lambda k, v, o: F.when(F.coalesce(o, F.lit("null")) != v, v)), lambda k, v: v.isNotNull())
         return F.struct(
             F.when(moved, "move").otherwise(c["kind"]).alias("event"), c["table"].alias("tbn"), F.when(c["kind"] == "delete", old_pk).otherwise(new_pk).alias("pk"), old_pk.alias("old_pk"),
             F.when(c["kind"] == "delete", F.create_map().cast("map<string,string>")).when((c["kind"] == "insert") | moved, new).otherwise(changed).alias("cells"),
@@ -67,7 +82,7 @@ def cell_changes(transactions: DataFrame, tables: dict[str, str], now: Column |
     found = transactions.select(
         request_id(F.col("txn.change")).alias("rid"), F.expr("try_cast(txn.xid as bigint)").alias("xid"),
         F.coalesce(F.expr("try_to_timestamp(txn.timestamp)"), now if now is not None else F.current_timestamp()).alias("time"),
-        F.filter(F.transform(wanted, shaped), lambda c: c["pk"].isNotNull()).alias("changes"),
+        F.filter(F.transform(F.transform(wanted, read), shaped), lambda c: c["pk"].isNotNull()).alias("changes"),
     ).filter("rid is not null")
     rows = found.select("rid", "xid", "time", F.posexplode("changes").alias("seq", "c"))
     parts = F.when(F.col("c.event") == "move", F.array(
@@ -84,6 +99,42 @@ def row_changes(transactions: DataFrame, tables: dict[str, str]) -> DataFrame:
     return grouped.select("rid", "xid", "tbn", "event", F.transform("keys", lambda k: k["pk"]).alias("pks"))
 
 
+def row_stream(transactions: DataFrame, tables: dict[str, str], now: Column | None = None) -> DataFrame:
+    """(rid, time, event, tbn, pks, pk_changes array<struct<before, after>>): the keys that each transaction wrote, grouped by
+    table and event in order of appearance, within the record, so a stream appends them without state.
+
+    An update counts under its new key, or the old one if it has none; if both are there and differ, the pair is a key
+    change. A delete's key is the first of its old values. Changes without a key, messages, truncations, other tables and
+    transactions without a request id are left out; names and keys are matched as they are written.
+    """
+    keys = F.create_map(*[F.lit(x) for pair in tables.items() for x in pair]) if tables else F.lit(None).cast("map<string,string>")
+
+    def entry(c: Column) -> Column:
+        pk = F.element_at(keys, F.concat_ws(".", c["schema"], c["table"]))
+        text = lambda v: _plain(F.to_json(v))
+        place = lambda names: F.nullif(F.coalesce(F.array_position(names, pk), F.lit(0)), F.lit(0)).cast("int")
+        new = text(F.get(c["columnvalues"], place(c["columnnames"]) - 1))
+        old = text(F.get(c["oldkeys"]["keyvalues"], place(c["oldkeys"]["keynames"]) - 1))
+        first = F.when(place(c["oldkeys"]["keynames"]).isNotNull(), text(F.get(c["oldkeys"]["keyvalues"], 0)))
+        key = F.when(c["kind"] == "insert", new).when(c["kind"] == "update", F.coalesce(new, old)).otherwise(first)
+        return F.struct(c["table"].alias("tbn"), c["kind"].alias("event"), key.alias("pk"), F.when((c["kind"] == "update") & (old != new), F.struct(old.alias("before"), new.alias("after"))).alias("moved"))
+
+    def grouped(entries: Column) -> Column:
+        kinds = F.array_distinct(F.transform(entries, lambda e: F.struct(e["tbn"].alias("tbn"), e["event"].alias("event"))))
+
+        def group(k: Column) -> Column:
+            mine = F.filter(entries, lambda e: (e["tbn"] == k["tbn"]) & (e["event"] == k["event"]))
+            moves = F.filter(F.transform(mine, lambda e: e["moved"]), lambda m: m.isNotNull())
+            return F.struct(k["tbn"].alias("tbn"), k["event"].alias("event"), F.transform(mine, lambda e: e["pk"]).alias("pks"), moves.alias("pk_changes"))
+
+        return F.transform(kinds, group)
+
+    wanted = F.filter(F.col("txn.change"), lambda c: c["kind"].isin("insert", "update", "delete") & F.map_contains_key(keys, F.concat_ws(".", c["schema"], c["table"])))
+    entries = F.filter(F.transform(wanted, entry), lambda e: e["pk"].isNotNull())
+    found = transactions.select(request_id(F.col("txn.change")).alias("rid"), (now if now is not None else F.current_timestamp()).alias("time"), _bound(entries, grouped).alias("groups"))
+    return found.filter("rid is not null").select("rid", "time", F.explode("groups").alias("g")).select("rid", "time", "g.event", "g.tbn", "g.pks", "g.pk_changes")
+
+
 def table_changes(transactions: DataFrame, table: str, key: str) -> DataFrame:
     """(xid, inserted, updated, deleted): per transaction the sets of keys of one table."""
     cells = cell_changes(transactions, {table: key})

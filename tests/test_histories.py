@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from backtide.operators import resolve
 from backtide.operators.resolve import dedupe_candidates, match_observed, request_candidates, unresolved
 from backtide.operators.versions import versions
 from backtide.plans.trace import links, trace
@@ -140,3 +141,76 @@ def test_runs_number_raw_changes(spark):
     rows = spark.createDataFrame([W(1, "B", "p", "a", "insert", 1), W(2, "C", "p", "a", xid=2), W(3, "D", "p", "a", "insert", 3)], WRITES)
     none = spark.createDataFrame([], DELETES)
     assert [r.raw_run for r in versions(rows, none, "xid").orderBy("xid").collect()] == [1, 1, 2]
+
+
+def brute_history(writes, deletes, key):
+    """(rid, pos, raw_run, raw origin, origin, next delete, last in its transaction) of every write, one cell at a time."""
+    out = {}
+    for pk, col in {(w[2], w[3]) for w in writes}:
+        mine = sorted((w for w in writes if (w[2], w[3]) == (pk, col)), key=lambda w: (w[key], w[9], w[10]))
+        dead = sorted(d[key - 4] for d in deletes if d[2] == pk)
+        run, raw, life = 0, None, None
+        for i, w in enumerate(mine):
+            before = mine[i - 1] if i else None
+            begins = before is None or w[4] == "insert" or before[5:7] != w[5:7]
+            run += begins
+            raw = w[0] if begins else raw
+            life = w[0] if begins or any(before[key] <= d < w[key] for d in dead) else life
+            after = mine[i + 1][8] if i + 1 < len(mine) else None
+            out[w[0], col] = (i + 1, run, raw, life, next((d for d in dead if d >= w[key]), None), i + 1 == len(mine) or after != w[8])
+    return out
+
+
+@pytest.mark.parametrize(("key", "segments"), [("time", 64), ("time", 5), ("xid", 64), ("xid", 3), ("xid", 1)])
+def test_segments_of_a_hot_cell(spark, key, segments):
+    dice = random.Random(segments)
+    writes, deletes = [], []
+    for i in range(500):
+        pk, at = "hot" if dice.random() < 0.8 else str(dice.randrange(5)), dice.randrange(160)
+        if dice.random() < 0.85:
+            writes.append((f"w{i}", "items", pk, "p" if dice.random() < 0.9 else "q", dice.choice(["insert"] + ["update"] * 9), dice.choice(["int", "str"]), str(dice.randrange(2)), START + timedelta(seconds=at), at, i % 3, i))
+        else:
+            deletes.append((f"d{i}", "items", pk, START + timedelta(seconds=at), at, i % 3, i))
+    rows = versions(spark.createDataFrame(writes, WRITES), spark.createDataFrame(deletes, DELETES), key, segments=segments).collect()
+    got = {(r.rid, r.col): (r.pos, r.raw_run, r.raw_origin.rid, r.origin.rid, r.next_delete, r.is_last_in_xid) for r in rows}
+    assert got == brute_history(writes, deletes, 7 if key == "time" else 8)
+    by_pos = {(r.pk, r.col, r.pos): r.rid for r in rows}
+    assert all(by_pos[r.pk, r.col, r.origin.pos] == r.origin.rid and by_pos[r.pk, r.col, r.raw_origin.pos] == r.raw_origin.rid for r in rows)
+
+
+def test_windows_of_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "WINDOW", 4)
+    writes = [W(i, f"w{i}", "p", str(i % 3), "update", xid=i // 2, seq=i % 2) for i in range(120)]
+    reads = [R(500 + i, f"r{i}", lower, lower + wide, seq=i) for i, (lower, wide) in enumerate([(1, 7), (0, 60), (10, 11), (59, 90), (30, 0), (7, 25)])]
+    _, c = found(spark, reads, writes, [D(31, "d", xid=15)])
+    got = {(r.rid, r.version.rid) for r in c.collect() if r.rule in ("4", "1w") and r.version.rid == r.version.origin_rid and reads[int(r.rid[1:])][5] <= r.version.xid}
+    assert got == {(r[0], f"w{2 * x + 1}") for r in reads for x in range(60) if r[5] <= x < r[6] and r[6] - r[5] > 1}
+
+
+SEEN = READS + ", seen map<string,struct<vtype:string,vtext:string>>"
+
+
+def test_reads_that_tell_what_they_saw(spark):
+    writes = [W(1, "B", "p", "a", "insert", 90), W(2, "C", "p", "b", xid=120), W(3, "D", "p", "b", xid=130, kind="int"), W(2, "C", "q", "z", xid=121)]
+    see = lambda text, col="p", kind="str": {col: (kind, text)}
+    reads = [
+        (*R(9, "one", 100, 150), see("b")), (*R(9, "typed", 100, 150), see("b", kind="int")), (*R(9, "low", 100, 150), see("a")), (*R(9, "none", 100, 150), see("x")),
+        (*R(9, "unknown", 100, 150), see("x", "elsewhere")), (*R(0, "early"), see("a")), (*R(9, "timed"), see("b", kind="int")), (*R(9, "timed_no"), see("a")), (*R(9, "blind", 100, 150), None),
+        ("lost", "other", "7", 0, START, None, None, None), (*R(9, "empty", 100, 150), {}),
+    ]
+    resolved = resolve.resolve_reads(spark.createDataFrame(reads, SEEN), spark.createDataFrame(writes, WRITES), spark.createDataFrame([], DELETES))
+    got = {(r.rid, r.col, r.version.rid, r.certain, r.rule) for r in resolve.candidates_of(resolved).collect()}
+    assert got == {
+        ("one", "p", "C", True, "observed"), ("typed", "p", "D", True, "observed"), ("low", "p", "B", True, "observed"), ("timed", "p", "D", True, "time"),
+        *[("blind", "p", w, False, "4") for w in "BCD"], ("blind", "q", "C", False, "1w"),
+    }
+    assert {(r.rid, r.col, r.reason) for r in resolve.unresolved_reads(resolved).collect()} == {
+        ("none", "p", resolve.NO_MATCH), ("unknown", "elsewhere", resolve.NOT_BEFORE_SNAPSHOT), ("early", "p", resolve.NOT_BEFORE_READ), ("timed_no", "p", resolve.NO_MATCH), ("lost", None, resolve.NO_HISTORY),
+    }
+
+
+def test_a_read_repeated_with_another_value_is_another_read(spark):
+    writes = [W(1, "B", "p", "a", "insert", 90), W(2, "C", "p", "b", xid=120)]
+    reads = [(*R(9, "A", 100, 150), {"p": ("str", t)}) for t in "abb"]
+    c = request_candidates(spark.createDataFrame(reads, SEEN), spark.createDataFrame(writes, WRITES), spark.createDataFrame([], DELETES))
+    assert {(r.version.rid, r.certain) for r in c.collect()} == {("B", True), ("C", True)} and c.count() == 2

@@ -16,6 +16,7 @@ def column_name(name: Column, case_sensitive: bool = False) -> Column:
     return F.trim(name) if case_sensitive else F.lower(F.trim(name))
 
 
+#: What counts as a UUID (versions 1 to 5) and as a token.
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 TOKEN = r"^(?:[0-9A-Fa-f]{16,}|[0-9A-Za-z_-]{24,})$"
 

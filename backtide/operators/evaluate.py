@@ -102,3 +102,21 @@ def graph_counts(links: DataFrame) -> DataFrame:
         F.count("*").alias("links"), F.count_if("certain").alias("certain_links"), F.count_if(~F.col("certain")).alias("uncertain_links"),
         F.count_distinct("tbn", "pk", "col").alias("cells"), F.count_distinct("tbn").alias("tables"), F.count_distinct("tbn", "pk").alias("rows"),
     ).join(F.broadcast(ends))
+
+
+def compare_strategies(runs: DataFrame, first: str, second: str) -> DataFrame:
+    """One row first_wins, ties, second_wins, macro_delta, weighted_reduction over runs (run, strategy, budget, total): who
+    needs the smaller budget in each run that both have. Reductions are of the first one's budget from the whole."""
+    own = runs.groupBy("run", "strategy").agg(F.min("budget").alias("budget"), F.max("total").alias("total"))
+    pair = own.filter(F.col("strategy") == first).select("run", F.col("budget").alias("a"), "total").join(own.filter(F.col("strategy") == second).select("run", F.col("budget").alias("b")), "run")
+    return pair.agg(
+        F.count_if(F.col("a") < F.col("b")).alias("first_wins"), F.count_if(F.col("a") == F.col("b")).alias("ties"), F.count_if(F.col("a") > F.col("b")).alias("second_wins"),
+        F.coalesce(F.avg(F.col("a") - F.col("b")), F.lit(0.0)).alias("macro_delta"),
+        F.when(F.sum("total") > 0, 1 - F.sum("a") / F.sum("total")).otherwise(0.0).alias("weighted_reduction"),
+    )
+
+
+def links_curve(links: DataFrame, root: str, gold: DataFrame, budgets: list[int]) -> DataFrame:
+    """budget_curve() of the requests that links (child, parent, certain, rank) show within each budget: both ends of
+    certain links of that rank at most."""
+    return budget_curve(first_ranks(links, root), gold, budgets)

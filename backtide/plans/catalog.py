@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from backtide.functions import normalize
-from backtide.operators import evaluate, policy, priority, resolve, selection, taint
+from backtide.operators import evaluate, export, policy, priority, resolve, selection, taint
 from backtide.operators.versions import CELL, ROW, versions
 from backtide.plans import images, search, trace, variants
 from backtide.session import materialise, shared_dir
@@ -230,8 +231,6 @@ def seed_writers(logs: Logs) -> DataFrame:
 
 @_on_logs
 def read_sequence(logs: Logs) -> DataFrame:
-    from pyspark.sql.window import Window
-
     return logs.reads.select("rid", F.col("seq").alias("event"), (F.row_number().over(Window.partitionBy("rid").orderBy("seq")) - 1).cast("long").alias("position"))
 
 
@@ -569,6 +568,25 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summarise_runs(runs, "score", "n").select(*[F.round(c, 3).alias(c) for c in ("macro", "median", "weighted", "deviation")])
 
 
+@_on_tables
+def strategy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as runs: how many orders until the last closed one, against that until the last open one."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_orderstatus").isin("F", "O"))
+    placed = orders.withColumn("budget", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).withColumn("total", F.count("*").over(Window.partitionBy("o_custkey")))
+    runs = placed.groupBy(F.col("o_custkey").alias("run"), F.col("o_orderstatus").alias("strategy")).agg(F.max("budget").alias("budget"), F.max("total").alias("total"))
+    return evaluate.compare_strategies(runs, "F", "O").select("first_wins", "ties", "second_wins", _r6("macro_delta"), _r6("weighted_reduction"))
+
+
+@_on_logs
+def request_times(logs: Logs) -> DataFrame:
+    return export.request_times(policy.row_links(logs.reads, _row_writes(logs))).select("rid", F.col("time").cast("string").alias("time"))
+
+
+@_on_logs
+def policy_profile(logs: Logs) -> DataFrame:
+    return export.policy_profile(logs.reads, _row_writes(logs), logs.requests)
+
+
 # Change streams
 
 _TABLES = {"public.t0": "id", "public.t1": "id", "public.t2": "id"}

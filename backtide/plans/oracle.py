@@ -334,6 +334,12 @@ def _oracle() -> dict[str, str]:
             "SELECT 'R' || n AS rid, event, tbn, string_agg(CAST(pk AS VARCHAR), ',' ORDER BY event_id) AS pks, coalesce(string_agg(old_id || '>' || user_id, ',' ORDER BY event_id) FILTER (event = 'update' AND old_id <> user_id), '') AS pk_changes FROM k GROUP BY n, tbn, event"),
         "cdc_table_sets": _with(_CDC, ", one AS (SELECT DISTINCT n, event, CAST(pk AS VARCHAR) AS pk FROM cdc WHERE tbn = 't1') SELECT n AS xid, coalesce(string_agg(pk, ',' ORDER BY pk) FILTER (event = 'insert'), '') AS insert_ids, "
             "coalesce(string_agg(pk, ',' ORDER BY pk) FILTER (event = 'update'), '') AS update_ids, coalesce(string_agg(pk, ',' ORDER BY pk) FILTER (event = 'delete'), '') AS delete_ids FROM one GROUP BY n"),
+        "strategy_comparison": "WITH o AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS budget, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders WHERE o_orderstatus IN ('F', 'O')), "
+            "r AS (SELECT o_custkey, o_orderstatus, max(budget) AS budget, max(total) AS total FROM o GROUP BY ALL), p AS (SELECT a.budget AS a, b.budget AS b, a.total FROM r a JOIN r b USING (o_custkey) WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O') "
+            "SELECT count(*) FILTER (a < b) AS first_wins, count(*) FILTER (a = b) AS ties, count(*) FILTER (a > b) AS second_wins, round(avg(a - b), 6) AS macro_delta, round(1 - sum(a) / sum(total), 6) AS weighted_reduction FROM p",
+        "request_times": _with(ROWS, "SELECT rid, CAST(min(time) AS VARCHAR) AS time FROM (SELECT parent AS rid, write_time AS time FROM row_links UNION ALL SELECT child, read_time FROM row_links) GROUP BY rid"),
+        "policy_profile": _with(POLICY, "SELECT n AS request_count, m AS endpoint_template_count, (SELECT count(*) FROM reads WHERE rid IN (SELECT rid FROM requests)) AS read_event_count, (SELECT least(128, count(DISTINCT rid)) FROM reads WHERE rid IN (SELECT rid FROM requests)) AS sampled_root_count, "
+            "(SELECT count(*) FROM row_writes) AS write_event_count, 4 AS trace_depth FROM size"),
         "run_summary": "SELECT round(avg(score), 3) AS macro, round(quantile_cont(score, 0.5), 3) AS median, round(sum(score * n) / sum(n), 3) AS weighted, round(stddev_samp(score), 3) AS deviation FROM (SELECT o_custkey, avg(o_totalprice) AS score, count(*) AS n FROM orders GROUP BY 1)",
     }
 

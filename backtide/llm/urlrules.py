@@ -12,9 +12,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_stash, stash
+
 #: (host, path) -> verdict.
 LISTED = {("org", "/"): "allow", ("example.org", "/es/"): "block", ("example.org", "/en/1"): "block", ("com", "/fr/"): "allow", ("com", "/de/"): "block"}
-#: Tokens of a labelled URL that take part in mining.
+#: Labelled URLs with more frequent tokens are counted by length instead of by FP-growth.
 BASKET = 12
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,34 +58,67 @@ def url_tokens(url: Column) -> Column:
     ), F.array().cast("array<string>")))
 
 
-def mine_rules(labelled: DataFrame, *, support: float = 0.01, confidence: float = 0.6, longest: int = 3, basket: int = BASKET) -> DataFrame:
-    """Rules (rule_id, tokens, key_token, label, confidence, support) from (tokens array<string>, label string).
+def _counted_sets(rows: DataFrame, least: float) -> DataFrame:
+    """(tokens) of the sets of up to three tokens that `least` rows (items, label) of one label hold, counted by length: pairs
+    out of frequent tokens, triples out of frequent pairs of one row."""
+    own = stash(rows.withColumn("row", F.monotonically_increasing_id()), "wide")
+    often = lambda sets: sets.groupBy("tokens", "label").count().filter(F.col("count") >= least).select("tokens", "label")
+    singles = own.select("row", "label", F.explode("items").alias("a"))
+    one = often(singles.withColumn("tokens", F.array("a")))
+    singles = singles.join(one.select(F.col("tokens")[0].alias("a"), "label"), ["a", "label"], "left_semi")
+    both = singles.join(singles.select("row", F.col("a").alias("b")), "row").filter("a < b").withColumn("tokens", F.array("a", "b"))
+    two = often(both)
+    pairs = stash(both.join(two, ["tokens", "label"], "left_semi").select("row", "label", "a", "b"), "pairs")
+    triples = pairs.join(pairs.select("row", "a", F.col("b").alias("c")), ["row", "a"]).filter("b < c").withColumn("tokens", F.array("a", "b", "c"))
+    out = stash(one.unionByName(two).unionByName(often(triples)).select("tokens").distinct(), "wide-sets")
+    drop_stash(own)
+    drop_stash(pairs)
+    return out
+
 
-    FP-growth has no bound on the length of its sets, and n tokens that go together make 2^n of them. So a labelled URL
-    takes part with its `basket` rarest frequent tokens (ties by name), a bound of this fit alone; matching looks at all
-    tokens. Frequent tokens number (mean tokens of a URL) / support at most, and sets 2^basket / support, whatever the
-    number of URLs. Without labelled URLs or rules the table is empty; null labels and URLs without tokens are left out.
+def mine_rules(labelled: DataFrame, *, support: float = 0.01, confidence: float = 0.6, longest: int = 3, basket: int = BASKET) -> DataFrame:
+    """Rules (rule_id, tokens, key_token, label, confidence, support) of up to `longest` (three at most) tokens from
+    (tokens array<string>, label string).
+
+    FP-growth mines the labelled URLs with up to `basket` frequent tokens. As it has no bound on the length of its sets,
+    and n tokens that go together make 2^n of them, sets of the URLs with more are counted by length. A set that is frequent
+    over all URLs is so in one of the two parts, so what either finds is then counted over all URLs, by an index of each
+    set's rarest token: no rule is lost, and figures are those of all URLs. Frequent tokens number (mean tokens of a URL)
+    / support at most. Without labelled URLs or rules the table is empty; null labels and URLs without tokens are left out.
     """
-    rows = labelled.filter((F.size("tokens") > 0) & F.col("label").isNotNull())
-    least = support * rows.count()
-    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= least)
+    if not 1 <= longest <= 3:
+        raise ValueError("rules have one to three tokens")
+    rows = stash(labelled.filter((F.size("tokens") > 0) & F.col("label").isNotNull()).select("tokens", "label"), "labelled")
+    total = rows.count()
+    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= support * total)
     frequent = [r["token"] for r in sorted(counts.collect(), key=lambda r: (r["count"], r["token"]))]
     known = F.array(*map(F.lit, frequent)) if frequent else F.array().cast("array<string>")
-    baskets = rows.select(F.concat(F.slice(F.array_intersect(known, "tokens"), 1, basket), F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    all_rules = sets.associationRules.filter(F.col("consequent")[0].startswith("label:") & (F.size("antecedent") <= longest))
-    rules = all_rules.filter(~F.exists("antecedent", lambda t: t.startswith("label:"))).select(
-        F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 100).alias("label"), "confidence", "support", "lift"
-    )
-    single = sets.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("frequency"))
-    rarest = rules.select("tokens", "label", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "label").agg(F.min_by("token", F.struct("frequency", "token")).alias("key_token"))
-    # A longer rule goes if a part of it says as much with as much confidence.
-    short = rules.select(F.col("tokens").alias("part"), F.col("label").alias("part_label"), F.col("confidence").alias("part_confidence"), F.explode("tokens").alias("token"))
-    inside = rules.withColumn("token", F.explode("tokens")).join(short, "token").filter(
-        (F.size("part") < F.size("tokens")) & (F.col("part_label") == F.col("label")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0)
-    )
-    kept = rules.join(inside.select("tokens", "label").distinct(), ["tokens", "label"], "left_anti").join(rarest, ["tokens", "label"])
-    return kept.withColumn("rule_id", F.xxhash64(F.array_join("tokens", "\n"), "label"))
+    kept = stash(rows.select(F.array_intersect(known, "tokens").alias("items"), "label"), "baskets")
+    narrow, wide = kept.filter(F.size("items") <= basket), kept.filter(F.size("items") > basket)
+    baskets = narrow.select(F.concat("items", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
+    is_label = lambda t: t.startswith("label:")
+    found = sets.filter(F.exists("items", is_label) & F.size("items").between(2, longest + 1)).select(F.array_sort(F.filter("items", lambda t: ~is_label(t))).alias("tokens")).distinct()
+    if n := wide.count():
+        found = found.unionByName(_counted_sets(wide, support * n).filter(F.size("tokens") <= longest)).distinct()
+
+    rarest = F.get(F.array_intersect(known, "tokens"), 0)
+    found = found.withColumn("key_token", rarest)
+    looked = kept.withColumn("key_token", F.explode("items")).join(found, "key_token").filter(F.size(F.array_except("tokens", "items")) == 0)
+    held = looked.groupBy("tokens", "key_token").agg(F.count("*").alias("rows"))
+    by_label = looked.groupBy("tokens", "label").agg(F.count("*").alias("hits")).join(held, "tokens")
+    rules = by_label.select("tokens", "key_token", "label", (F.col("hits") / F.col("rows")).alias("confidence"), (F.col("hits") / max(1, total)).alias("support"))
+    rules = stash(rules.filter((F.col("confidence") >= confidence) & (F.col("support") >= support)), "all-rules")
+
+    # A longer rule goes if a part of it says as much with as much confidence: each rule looks up its own parts.
+    at = lambda *places: F.array(*[F.col("tokens")[i] for i in places])
+    parts = F.when(F.size("tokens") == 2, F.array(at(0), at(1))).when(F.size("tokens") == 3, F.array(at(0), at(1), at(2), at(0, 1), at(0, 2), at(1, 2)))
+    short = rules.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("part_confidence"))
+    said = rules.select("tokens", "label", "confidence", F.explode(parts).alias("part")).join(short, ["part", "label"]).filter("part_confidence >= confidence")
+    out = rules.join(said.select("tokens", "label").distinct(), ["tokens", "label"], "left_anti").withColumn("rule_id", F.xxhash64(F.array_join("tokens", "\n"), "label"))
+    for done in (rows, kept):
+        drop_stash(done)
+    return out
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, *, tokens: str = "tokens") -> DataFrame:
@@ -93,12 +128,13 @@ def match_rules(urls: DataFrame, rules: DataFrame, *, tokens: str = "tokens") ->
     Each token looks up the rules of which it is the rarest; those whose other tokens are there too match. The rules
     are a table of bounded size (see mine_rules), so they are broadcast, and a row is put together again by a number of
     its own: no token, URL or host gathers rows."""
-    index = F.broadcast(rules.withColumnRenamed("tokens", "rule_tokens"))
-    own = urls.withColumn("_row", F.monotonically_increasing_id())
-    looked = own.withColumn("key_token", F.explode_outer(tokens)).join(index, "key_token", "left")
-    fits = F.size(F.array_except("rule_tokens", tokens)) == 0
-    best = F.max_by(F.when(fits, F.struct("label", "confidence", F.array_join("rule_tokens", " ").alias("matched"))), F.when(fits, F.struct("confidence", "support", "rule_id")))
-    return looked.groupBy("_row").agg(*[F.first(c).alias(c) for c in urls.columns], best.alias("best")).drop("_row")
+    index = F.broadcast(rules.select("key_token", F.struct("tokens", "label", "confidence", "support", "rule_id").alias("_rule")))
+    own = urls.select(F.struct("*").alias("_url"), F.col(tokens).alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
+    looked = own.withColumn("key_token", F.explode_outer("_tokens")).join(index, "key_token", "left")
+    fits = F.size(F.array_except("_rule.tokens", "_tokens")) == 0
+    told = F.struct("_rule.label", "_rule.confidence", F.array_join("_rule.tokens", " ").alias("matched"))
+    best = F.max_by(F.when(fits, told), F.when(fits, F.struct("_rule.confidence", "_rule.support", "_rule.rule_id")))
+    return looked.groupBy("_row").agg(F.first("_url").alias("_url"), best.alias("best")).select("_url.*", "best")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, *, listed: dict[tuple[str, str], str] = LISTED, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:

@@ -212,18 +212,41 @@ def test_mined_rules_against_brute_force(spark):
         rows.append((tokens, "block" if {"a", "b"} <= set(tokens) or dice.random() < 0.1 else "allow"))
     rows += [([f"s{i:02}" for i in range(40)], "block")] * 30 + [([], "block"), (["a"], None)]
     got = urlrules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), support=0.05, confidence=0.7).collect()
+    kept = brute_rules(rows, "abcdef", 0.05, 0.7)
+    own = {(tuple(r.tokens), r.label): r.confidence for r in got if not r.tokens[0].startswith("s")}
+    assert own == pytest.approx(kept) and kept
+    assert {len(r.tokens) for r in got if r.tokens[0].startswith("s")} == {1} and len(got) < 100
+
+
+def brute_rules(rows, tokens, support, confidence):
     used = [(set(t), label) for t, label in rows if t and label]
     rules = {}
     for n in (1, 2, 3):
-        for part in itertools.combinations("abcdef", n):
+        for part in itertools.combinations(tokens, n):
             for label in ("allow", "block"):
                 has, both = sum(set(part) <= t for t, _ in used), sum(set(part) <= t and x == label for t, x in used)
-                if both >= 0.05 * len(used) and both / has >= 0.7:
+                if both >= support * len(used) and both / has >= confidence:
                     rules[part, label] = both / has
-    kept = {k: c for k, c in rules.items() if not any(x == k[1] and set(p) < set(k[0]) and c2 >= c for (p, x), c2 in rules.items())}
-    own = {(tuple(r.tokens), r.label): r.confidence for r in got if not r.tokens[0].startswith("s")}
-    assert own == pytest.approx(kept) and kept
-    assert {len(r.tokens) for r in got if r.tokens[0].startswith("s")} == {1} and len(got) < 100
+    return {k: c for k, c in rules.items() if not any(x == k[1] and set(p) < set(k[0]) and c2 >= c for (p, x), c2 in rules.items())}
+
+
+def test_rules_of_urls_with_many_frequent_tokens(spark):
+    """Most URLs have more frequent tokens than FP-growth is given; what tells may be any of them."""
+    dice, rows, names = random.Random(4), [], [f"t{i:02}" for i in range(18)]
+    for i in range(400):
+        tokens = [t for t in names if dice.random() < (0.85 if i % 4 else 0.4)]
+        evil = {"t03", "t17"} <= set(tokens) and "t09" not in tokens
+        rows.append((tokens, "block" if evil or dice.random() < 0.05 else "allow"))
+    rows += [([*names, "evil"], "block")] * 60
+    assert sum(len(t) > urlrules.BASKET for t, _ in rows) > 200
+    table = spark.createDataFrame(rows, "tokens array<string>, label string").repartition(3)
+    got = {(tuple(r.tokens), r.label): (r.confidence, r.support) for r in urlrules.mine_rules(table, support=0.05, confidence=0.7).collect()}
+    want = brute_rules(rows, ["evil", *names], 0.05, 0.7)
+    assert {k: c for k, (c, _) in got.items()} == pytest.approx(want) and (("evil",), "block") in got
+    assert got[("evil",), "block"][1] == pytest.approx(60 / 460)
+    clash = spark.createDataFrame([(1, ["evil", "x"], "mine", "k"), (2, None, "own", "k")], "rank int, tokens array<string>, label string, key_token string")
+    rules = urlrules.mine_rules(table, support=0.05, confidence=0.7)
+    assert [(r.rank, r.label, r.key_token, r.best and r.best.label) for r in urlrules.match_rules(clash, rules).orderBy("rank").collect()] == [(1, "mine", "k", "block"), (2, "own", "k", None)]
 
 
 def test_listed_url_rules(spark):

@@ -5,10 +5,11 @@ common words (ANCHORS); the words between are content words. Each anchor with th
 begins at it is a spot. A document's fingerprint is the set of its spots' 64-bit hashes, sorted, sixteen hexadecimal
 digits each. A text without a spot has one signature of all it holds; a null or empty text has none.
 
-Sets are compared within partitions by length: of a similarity of LEAST or more the sizes differ by a factor of 1 / LEAST
-at most, so two sets lie in one partition or in neighbouring ones; others have a likeness of 0, as have those of one
-partition whose sizes rule out LEAST, and nobody looks at their members. `spot_matches` finds the similar pairs of a whole
-table that way, through an index of each set's first spots.
+Sets are searched within partitions by length: of a similarity of `least` or more the sizes differ by a factor of 1 / least
+at most, so two sets lie in one partition or in neighbouring ones; others are apart, as are those of one partition whose
+sizes rule it out, and nobody looks at their members. `spot_matches` finds the similar pairs of a whole table that way,
+through an index of each set's first spots. The likeness of a document to its edit and its neighbour is exact, however
+small: only sets without members are told apart without a look.
 
 Everything is made of built-in functions. `let` binds a value to a lambda variable, so that it is computed once.
 """
@@ -31,8 +32,6 @@ ANCHORS = sorted(set(
     "el los las y en por con para una su del al lo como más o pero sus le ya".split()
 ))
 CHAIN = 3
-#: The least similarity that the comparison of a document with its edit and its neighbour tells from none.
-LEAST = 0.05
 _BREAK = r"[\x00-/:-@\[-`{-\x7f]+"
 
 
@@ -112,12 +111,12 @@ def _followers(docs: DataFrame, key: str, text: str) -> DataFrame:
     return inside.join(F.broadcast(edges), "part").select("id", "take", F.coalesce("next_id", "next_first").alias("next_id"))
 
 
-def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = 0.0) -> DataFrame:
     """One row for each row of docs: (key, n_chars, spots, edited, edited_spots, near_edited, near_next).
 
     The edited text has its last third replaced by the first characters of the next document (descending key; after the
     last the first). A null text counts as empty. A null key has no next document: nothing takes the third's place and
-    near_next is 0. Likenesses below `least` may be told as 0 (see pruned_jaccard). Under repeated keys the least text stands for the next document. Texts are shuffled once by key,
+    near_next is 0. With `least`, likenesses below it may be told as 0 (see pruned_jaccard). Under repeated keys the least text stands for the next document. Texts are shuffled once by key,
     and the next document's first characters and spots once more; other columns of docs are left out.
     """
     base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("spots", spot_set(F.col("text")))

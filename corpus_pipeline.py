@@ -14,21 +14,25 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the subword classifier predicts to be of class 1; the labels are those of the rows given."""
+    """Documents that the subword classifier predicts to be of class 1; the labels are those of the rows given. Null and
+    empty texts are scored as empty ones, null ids and repeated rows each on their own; an empty table gives an empty one;
+    other columns of docs are left out."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(docs, model).filter("quality_predicted = 1").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity of 0.8 or more): that of the smallest id. Of rows that repeat an id one stays; rows
-    without an id stay."""
+    """One document of each group of near copies (similarity of 0.8 or more): that of the smallest id. Of rows that repeat an id the
+    smallest stays (by text, then the other columns); rows without an id stay. An empty table gives an empty one; texts
+    without words are nobody's copies; other columns of docs are left out."""
     kept = neardup.near_duplicates(docs.select("doc_id", "text"), percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    one = docs.join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
     return one.union(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts and null ids stay, all rows of an id with a passage
+    go; an empty table gives an empty one; other columns of docs are left out."""
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.without_leaks(docs, found).select(*COLUMNS)
 
@@ -41,7 +45,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they decode to it."""
+    """Token ids of every text, and whether they decode to it: one row for each row of docs, null texts as empty ones, with
+    the columns named here only."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = docs.select("doc_id", "lang", "source", "text", bpe.round_trip(F.col("text"), path, pattern).alias("coded")).select("*", "coded.ids", "coded.decoded")
     return coded.select(

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Without one, a local session gets a temporary
-    folder; on a cluster that is an error, as tasks would write to folders of their own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="backtide-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+from backtide.session import discard, materialise, shared_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -28,17 +17,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was done."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise(df, name)
 
 
 def drop_stash(df: DataFrame) -> None:
     """Delete the files of a stash that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(df)
 
 
 def run_length_prefix(totals: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:

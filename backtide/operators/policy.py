@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtide.functions.normalize import path_template
-from backtide.session import materialise
+from backtide.session import discard, materialise
 
 from .selection import one_read_per_row, sample_evenly
 from .versions import ROW, as_of
@@ -99,25 +99,54 @@ def row_links(reads: DataFrame, row_writes: DataFrame) -> DataFrame:
     return out.filter("child <> parent")
 
 
+#: Searches that one long tells apart, and blocked tables that one call may try.
+BITS, MOST_TABLES = 62, 10_000
+
+
 def trace_sizes(links: DataFrame, roots: DataFrame, depth: int = 4, tables: DataFrame | None = None) -> DataFrame:
     """(blocked, rid, size): nodes (other requests and rows) of bounded traces from each root, without a blocked table
-    ('' for none). All (blocked, root) pairs are searched in one loop."""
-    blocked = roots.select(F.lit("").alias("blocked"), "rid")
-    if tables is not None:
-        blocked = blocked.union(roots.select("rid").join(F.broadcast(tables.select(F.col("tbn").alias("blocked")))).select("blocked", "rid"))
-    start = materialise(blocked.withColumn("root", F.col("rid")), "size-roots")
-    edges = materialise(links.select("child", "parent", *ROW).distinct(), "size-edges")
-    visited = start.select("blocked", "root", "rid")
-    frontier, used = visited, None
+    ('' for none).
+
+    All are searched in one loop with one row for each root and request, whatever the number of tables: which of the
+    searches have come to it is kept as bits of longs, and a link passes on all but that of its own table. More than
+    MOST_TABLES tables are an error."""
+    names = [""] + sorted(r["tbn"] for r in (tables.select("tbn").distinct().limit(MOST_TABLES + 1).collect() if tables is not None else []))
+    if len(names) > MOST_TABLES + 1:
+        raise ValueError(f"more than {MOST_TABLES} tables to block")
+    words = range(-(-len(names) // BITS))
+    bits, own = [f"bits{w}" for w in words], [f"own{w}" for w in words]
+    start = materialise(roots.select(F.col("rid").alias("root")).distinct(), "size-roots")
+    blocked = [(name, *[1 << i % BITS if w == i // BITS else 0 for w in words]) for i, name in enumerate(names)]
+    known = links.sparkSession.createDataFrame(blocked, "tbn string, " + ", ".join(f"{o} long" for o in own))
+    edges = links.select("child", "parent", *ROW).distinct().join(known, "tbn", "left").fillna(0, own)
+    edges = materialise(edges, "size-edges")
+    whole = [F.lit((1 << min(BITS, len(names) - w * BITS)) - 1).cast("long").alias(b) for w, b in zip(words, bits, strict=True)]
+    frontier = materialise(start.select("root", F.col("root").alias("rid"), *whole), "size-frontier")
+    some = F.greatest(F.lit(0), *[(F.col(b) != 0).cast("int") for b in bits]) > 0
+    either = [F.bit_or(b).alias(b) for b in bits]
+    visited, levels, used = frontier, [frontier], []
     for _ in range(depth):
-        steps = frontier.join(edges, (frontier["rid"] == edges["child"]) & (frontier["blocked"] != edges["tbn"])).select("blocked", "root", "parent", *ROW)
-        steps = materialise(steps.distinct(), "size-steps")
-        used = steps if used is None else used.union(steps)
-        frontier = materialise(steps.select("blocked", "root", F.col("parent").alias("rid")).distinct().join(visited, ["blocked", "root", "rid"], "left_anti"), "size-frontier")
-        visited = visited.union(frontier)
-    nodes = used.select("blocked", "root", F.concat(F.lit("q:"), "parent").alias("node")).union(used.select("blocked", "root", F.concat_ws("\x00", F.lit("d"), *ROW))).distinct()
-    sizes = nodes.groupBy("blocked", "root").agg(F.count("*").alias("size"))
-    return start.join(sizes, ["blocked", "root"], "left").select("blocked", "rid", F.coalesce("size", F.lit(0)).alias("size"))
+        passed = [F.col(b).bitwiseAND(F.bitwise_not(F.col(o))).alias(b) for b, o in zip(bits, own, strict=True)]
+        steps = frontier.join(edges, frontier["rid"] == edges["child"]).select("root", "parent", *ROW, *passed).filter(some)
+        used.append(materialise(steps.groupBy("root", "parent", *ROW).agg(*either), "size-steps"))
+        reached = used[-1].groupBy("root", F.col("parent").alias("rid")).agg(*either)
+        seen = visited.groupBy("root", "rid").agg(*[F.bit_or(b).alias(f"seen_{b}") for b in bits])
+        fresh = [F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"seen_{b}"), F.lit(0)))).alias(b) for b in bits]
+        frontier = materialise(reached.join(seen, ["root", "rid"], "left").select("root", "rid", *fresh).filter(some), "size-frontier")
+        levels.append(frontier)
+        visited = visited.unionByName(frontier)
+    all_used = used[0]
+    for part in used[1:]:
+        all_used = all_used.unionByName(part)
+    named = [F.concat(F.lit("q:"), "parent"), F.concat_ws("\x00", F.lit("d"), *ROW)]
+    nodes = all_used.select("root", F.explode(F.array(*named)).alias("node"), *bits).groupBy("root", "node").agg(*either)
+    has = lambda i: F.shiftright(F.col(f"bits{i // BITS}"), i % BITS).bitwiseAND(F.lit(1)) == 1
+    sizes = nodes.groupBy("root").agg(F.array(*[F.count_if(has(i)) for i in range(len(names))]).alias("sizes"))
+    nothing = F.array(*[F.lit(0).cast("long")] * len(names))
+    listed = F.arrays_zip(F.array(*map(F.lit, names)).alias("blocked"), F.coalesce("sizes", nothing).alias("size"))
+    out = materialise(start.join(sizes, "root", "left").select(F.col("root").alias("rid"), F.explode(listed).alias("s")).select("s.blocked", "rid", "s.size"), "sizes")
+    discard(start, edges, *levels, *used)
+    return out
 
 
 def amplification(links: DataFrame, roots: DataFrame, tables: DataFrame, depth: int = 4) -> DataFrame:

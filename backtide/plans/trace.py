@@ -17,7 +17,7 @@ def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: t
     edges = materialise(edges.select("child", "parent", "root_only").distinct(), "trace-edges")
     keys = [*by, "rid"]
     frontier = materialise(roots.select(*keys).distinct().withColumn("level", F.lit(0)), "trace-frontier")
-    visited, level = frontier, 0
+    visited, level, levels = frontier, 0, [frontier]
     while depth is None or level < depth:
         level += 1
         steps = frontier.join(edges, frontier["rid"] == edges["child"])
@@ -26,9 +26,13 @@ def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: t
         new = steps.select(*by, F.col("parent").alias("rid")).distinct().join(visited, keys, "left_anti")
         frontier = materialise(new.withColumn("level", F.lit(level)), "trace-frontier")
         if frontier.isEmpty():
+            discard(frontier)
             break
         visited = visited.unionByName(frontier)
-    return visited
+        levels.append(frontier)
+    out = materialise(visited, "trace-visited")
+    discard(edges, *levels)
+    return out
 
 
 def links(candidates: DataFrame, *, keep_self: bool = False) -> DataFrame:

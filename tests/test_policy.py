@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from backtide.operators import policy
 from backtide.plans.catalog import QUERIES
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -120,3 +121,28 @@ def test_budgets_reach_the_last_request(spark, folder, tmp_path):
         x = sorted(budgets)
         area = sum((b - a) * (recall[a] + recall[b]) / 2 for a, b in zip(x, x[1:])) / n
         assert QUERIES["budget_auc"](spark, path).first().area == pytest.approx(area, abs=1e-6)
+
+
+def test_sizes_without_each_of_many_tables(spark):
+    """More tables than bits of a long, against a search for each."""
+    dice = random.Random(12)
+    rows = sorted({(f"r{dice.randrange(14)}", f"r{dice.randrange(14)}", f"t{dice.randrange(70):02}", str(dice.randrange(3))) for _ in range(220)})
+    rows = [r for r in rows if r[0] != r[1]]
+    roots = ["r0", "r3", "r99"]
+
+    def size(root, blocked):
+        seen, level, nodes = {root}, {root}, set()
+        for _ in range(4):
+            after = set()
+            for child, parent, table, key in rows:
+                if child in level and table != blocked:
+                    nodes |= {parent, (table, key)}
+                    after.add(parent)
+            level = after - seen
+            seen |= after
+        return len(nodes)
+
+    names = [f"t{i:02}" for i in range(70)]
+    links = spark.createDataFrame(rows, "child string, parent string, tbn string, pk string")
+    got = policy.trace_sizes(links, spark.createDataFrame([(r,) for r in roots], "rid string"), 4, spark.createDataFrame([(n,) for n in names], "tbn string"))
+    assert {(r.blocked, r.rid): r.size for r in got.collect()} == {(b, r): size(r, b) for b in ["", *names] for r in roots}

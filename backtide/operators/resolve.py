@@ -208,6 +208,12 @@ def candidates_of(resolved: DataFrame) -> DataFrame:
     return dedupe_candidates(resolved.filter("version is not null").drop("reason", "xmin", "xmax"))
 
 
+def numbered_candidates(candidates: DataFrame) -> DataFrame:
+    """candidates with `place`, from 0 in each request: by read time, cell, sequence of the version, certain ones first."""
+    order = Window.partitionBy("rid").orderBy("read_time", *CELL, "version.seq", F.desc("certain"), "version.xid", "version.time")
+    return candidates.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+
+
 def unresolved_reads(resolved: DataFrame) -> DataFrame:
     """(rid, tbn, pk, col, read_time, reason) of the cells of reads that have no version."""
     return resolved.filter("version is null").select("rid", *CELL, "read_time", "reason").distinct()

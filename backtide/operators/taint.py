@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -65,6 +66,50 @@ def judge_batches(candidates: DataFrame, key_columns: list[str], judge: Callable
     return candidates.join(judged, same).drop(*[f"_judged_{c}" for c in key_columns])
 
 
+def _results(reply: str) -> list:
+    """The list `results` of the JSON object in a model's reply, with or without a code fence."""
+    start, end = reply.find("{"), reply.rfind("}")
+    if start < 0 or end < start:
+        raise ValueError("the reply holds no JSON object")
+    return json.loads(reply[start : end + 1]).get("results")
+
+
+def strict_decisions(reply: str, count: int) -> list[bool]:
+    """Decisions of a reply whose results name each index from 0 to count - 1 once, each with a JSON boolean `tainted`, in
+    any order. Anything else is a ValueError."""
+    results = _results(reply)
+    if not isinstance(results, list) or not all(isinstance(r, dict) for r in results):
+        raise ValueError("results is no list of objects")
+    by_index = {r.get("index"): r.get("tainted") for r in results if type(r.get("index")) is int}
+    if len(results) != count or set(by_index) != set(range(count)):
+        raise ValueError(f"results do not name each index below {count} once")
+    if not all(isinstance(v, bool) for v in by_index.values()):
+        raise ValueError("tainted is no JSON boolean")
+    return [by_index[i] for i in range(count)]
+
+
+def lenient_decisions(reply: str, count: int) -> list[bool]:
+    """Decisions of a reply by place; what is missing is not tainted."""
+    results = _results(reply)
+    given = results if isinstance(results, list) else []
+    return [bool(r.get("tainted")) if isinstance(r, dict) else False for r in (given + [None] * count)[:count]]
+
+
+def asking(ask: Callable[[pd.DataFrame], str], parse: Callable[[str, int], list[bool]] = strict_decisions, retries: int = 2) -> Callable[[pd.DataFrame], list[bool]]:
+    """A judge for judge_batches() that asks a model for a reply and parses it; what fails is asked again, `retries` times."""
+
+    def judge(batch: pd.DataFrame) -> list[bool]:
+        failed: Exception | None = None
+        for _ in range(retries + 1):
+            try:
+                return parse(ask(batch), len(batch))
+            except (KeyError, TypeError, ValueError, RuntimeError) as error:
+                failed = error
+        raise RuntimeError(f"no usable reply after {retries + 1} attempts: {failed}")
+
+    return judge
+
+
 def fenced_json(reply: Column) -> Column:
     """The JSON object in a model's reply, with or without a code fence; null if there is none."""
     body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)

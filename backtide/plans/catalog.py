@@ -147,6 +147,11 @@ def request_candidates(logs: Logs) -> DataFrame:
     return _candidates(logs).select("rid", *CELL, "read_seq", F.col("version.xid").alias("latest_xid"), F.col("version.origin_rid").alias("origin_rid"), "certain", "rule")
 
 
+@_on_logs
+def candidate_order(logs: Logs) -> DataFrame:
+    return resolve.numbered_candidates(_candidates(logs)).select("rid", "place", *CELL, "read_seq", F.col("version.xid").alias("latest_xid"))
+
+
 @_on_logs
 def unresolved_cells(logs: Logs) -> DataFrame:
     return resolve.unresolved(logs.reads, logs.writes, _candidates(logs))

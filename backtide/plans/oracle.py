@@ -263,6 +263,7 @@ def _oracle() -> dict[str, str]:
         "observed_disambiguation": _with(SNAPSHOT, f", k AS (SELECT *, CASE WHEN read_seq % 3 = 0 THEN CAST(read_seq % 4 AS VARCHAR) END AS seen FROM candidates), m AS (SELECT *, count(*) OVER (PARTITION BY rid, {cell}, read_seq) AS n FROM k WHERE seen IS NULL OR seen = vtext) "
             f"SELECT rid, {cell}, read_seq, latest_xid, certain OR (seen IS NOT NULL AND n = 1) AS certain, seen IS NOT NULL AND NOT certain AND n = 1 AS observed FROM m"),
         "request_candidates": _with(SNAPSHOT, f"SELECT rid, {cell}, read_seq, latest_xid, origin_rid, certain, rule FROM candidates"),
+        "candidate_order": _with(SNAPSHOT, f"SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY time, {cell}, certain DESC, latest_xid) - 1 AS place, {cell}, read_seq, latest_xid FROM (SELECT c.*, r.time FROM candidates c JOIN reads r ON r.seq = c.read_seq)"),
         "unresolved_cells": _with(SNAPSHOT, f"SELECT DISTINCT r.rid, r.tbn, r.pk, c.col FROM reads r LEFT JOIN cells c ON c.tbn = r.tbn AND c.pk = r.pk WHERE c.col IS NULL OR (r.rid, r.tbn, r.pk, c.col) NOT IN (SELECT rid, {cell} FROM candidates)"),
         "loaded_reads": _with(f"{LOGS}, {LOADED}", "SELECT rid, tbn, pk, seq, CAST(time AS VARCHAR) AS time, coalesce(xmin, -1) AS xmin, coalesce(xmax, -1) AS xmax, CASE WHEN seen_col IS NULL THEN '' ELSE seen_col || ':int:' || seen_text END AS seen, line FROM loaded"),
         "loaded_read_errors": _with(f"{LOGS}, {LOADED}", "SELECT line, 'xmin and xmax go together' AS error FROM rl WHERE lower IS NOT NULL AND upper IS NULL"),

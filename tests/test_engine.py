@@ -198,3 +198,27 @@ def test_changes_of_wide_tables_take_linear_time(spark):
     rows = cdc.cell_changes(cdc.parse(lines(spark, *txns)), {"public.t": "id"}).collect()
     assert time.monotonic() - began < 60
     assert len(rows) == 400 and {(r.seq, tuple(sorted(r.cells.items()))) for r in rows} == {(0, (("c499", "499"),)), (1, (("c0", '"last"'), ("c499", "499")))}
+
+
+def test_replies_of_a_model(spark):
+    good = json.dumps({"results": [{"index": 1, "tainted": False}, {"index": 0, "tainted": True}]})
+    assert taint.strict_decisions(f"```json\n{good}\n```", 2) == [True, False]
+    for bad in ("none", "{}", '{"results": [{"index": 0, "tainted": 1}, {"index": 1, "tainted": true}]}', '{"results": [{"index": 0, "tainted": true}, {"index": 0, "tainted": true}]}', '{"results": [{"index": true, "tainted": true}, {"index": 0, "tainted": true}]}'):
+        with pytest.raises(ValueError):
+            taint.strict_decisions(bad, 2)
+    assert taint.lenient_decisions('{"results": [{"tainted": true}, 5]}', 3) == [True, False, False] and taint.lenient_decisions("{}", 1) == [False]
+    calls = []
+
+    def ask(batch):
+        calls.append(len(batch))
+        return "garbled" if len(calls) < 3 else good
+
+    assert taint.asking(ask)(pd.DataFrame({"k": [1, 2]})) == [True, False] and len(calls) == 3
+    with pytest.raises(RuntimeError, match="2 attempts"):
+        taint.asking(lambda batch: "garbled", retries=1)(pd.DataFrame({"k": [1]}))
+    rows = spark.createDataFrame([(i,) for i in range(5)], "k long")
+
+    def model(batch):
+        return json.dumps({"results": [{"index": n, "tainted": bool(k % 2)} for n, k in enumerate(batch["k"])]})
+
+    assert {(r.k, r.tainted) for r in taint.judge_batches(rows, ["k"], taint.asking(model), 2).collect()} == {(k, k % 2 == 1) for k in range(5)}

@@ -147,10 +147,10 @@ def variant_scores(visited: DataFrame, shown: DataFrame, root: DataFrame, gold:
     # One pass adds up all variants; the sums are a row of some numbers for each variant.
     predicted, hits = [F.count_if(has("reached", i)) for i in range(len(names))], [F.count_if(has("reached", i) & F.col("hit")) for i in range(len(names))]
     found = marked.agg(F.array(*predicted).alias("predicted"), F.array(*hits).alias("tp"))
-    at_root = F.col("child").isin([r["rid"] for r in root.select("rid").distinct().limit(2).collect()])
+    shown = shown.join(root.select(F.col("rid").alias("child"), F.lit(True).alias("at_root")).distinct(), "child", "left")
     kinds = {"links": F.lit(True), "uncertain_no_recurse": ~F.col("certain")}
     sums = [F.array(*[F.count_if(has("reached", i) & c) for i in range(len(names))]).alias(k) for k, c in kinds.items()]
-    gray = F.array(*[F.count_if(has("reached", i) & has("gray", i) & ~at_root) for i in range(len(names))]).alias("gray_no_recurse")
+    gray = F.array(*[F.count_if(has("reached", i) & has("gray", i) & F.col("at_root").isNull()) for i in range(len(names))]).alias("gray_no_recurse")
     whole = found.join(F.broadcast(shown.agg(*sums, gray))).join(F.broadcast(gold.agg(F.count_distinct("rid").alias("gold"))))
     listed = F.arrays_zip(F.array(*map(F.lit, names)).alias("variant"), "predicted", "tp", *kinds, "gray_no_recurse")
     rows = whole.select(F.explode(listed).alias("v"), "gold").select("v.*", "gold")

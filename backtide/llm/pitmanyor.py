@@ -17,6 +17,8 @@ its distinct pairs only, and gets their probabilities back in its own order. Bet
 from __future__ import annotations
 
 import gc
+import random
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -180,44 +182,95 @@ def opening(customers: np.ndarray, fresh: np.ndarray, discount: float, dice: np.
     return tables
 
 
+#: With fewer dishes than this left to move, each is moved on its own.
+TOGETHER = 80
+
+
 def reseat(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, fresh: np.ndarray, discount: float, dice: np.random.Generator, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
     """(tables, sizes) of dishes after Gibbs moves. Dishes have two customers or more each; `sizes` holds the customers at
-    their tables, dish after dish; `fresh` is the weight of a new table. Each move takes one customer of every dish;
-    dishes of up to 16 customers make as many moves a sweep, larger ones 16 for each doubling besides."""
-    if not len(customers):
+    their tables, dish after dish; `fresh` is the weight of a new table. A sweep makes a move for each customer of a dish,
+    whatever their number; a step takes one customer of every dish that has moves left.
+
+    A customer that has left draws one of the others, whose table it joins with probability 1 - discount / its customers,
+    or a new table by its weight, and draws again if it does not join: the chance of a table is its customers less the
+    discount, and a move takes the same time in a dish of any size."""
+    if not len(customers) or not sweeps:
         return tables, sizes
-    moves = np.where(customers <= 16, customers, 16 + 16 * np.log2(np.maximum(customers, 16) / 16)).astype("i8") * sweeps
-    order = np.argsort(-moves, kind="stable")
-    moves, c, t, new = moves[order], customers[order], tables[order].copy(), fresh[order]
-    room = t + moves
-    end = np.cumsum(room)
-    start, slots = end - room, np.zeros(end[-1], "i8")
-    from_ = (np.cumsum(tables) - tables)[order]
+    order = np.argsort(-customers, kind="stable")
+    c, t, new = customers[order], tables[order], fresh[order]
+    start, moves = np.cumsum(c) - c, c * sweeps
     within = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-    slots[np.repeat(start, t) + within] = sizes[np.repeat(from_, t) + within]
-    top = start + t
-    for move in range(moves[0]):
-        n = np.searchsorted(-moves, -move)
-        some, at = slots[: end[n - 1]], start[:n]
-        upto = np.cumsum(some)
-        leaves = np.searchsorted(upto, upto[at] - some[at] + (dice.random(n) * c[:n]).astype("i8"), "right")
-        some[leaves] -= 1
-        gone = some[leaves] == 0
-        t[:n] -= gone
-        mass = c[:n] - 1 - discount * t[:n]
-        draw = dice.random(n) * (mass + new[:n]) - new[:n]
-        weights = np.cumsum(some - discount * (some > 0))
-        joins = np.searchsorted(weights, weights[at] - some[at] + discount * (some[at] > 0) + draw, "right")
-        joins = np.clip(joins, at, end[:n] - 1)
-        opens = (draw < 0) | (some[joins] == 0)
-        free = np.where(gone, leaves, top[:n])
-        top[:n] += opens & ~gone
-        t[:n] += opens
-        some[np.where(opens, free, joins)] += 1
-    after, filled = np.empty(len(t), "i8"), slots > 0
-    after[order] = t
-    ranked = np.repeat(order, room)[filled]
-    return after, slots[filled][np.argsort(ranked, kind="stable")]
+    slot, filled = np.repeat(start, t) + within, sizes[np.repeat((np.cumsum(tables) - tables)[order], t) + within]
+    # A dish has a slot for each customer: `held` are the customers at a table, `at` the table of a customer; the tables
+    # without customers are a stack, `free` from the dish's start up to `top`.
+    held, at = np.zeros(int(c.sum()), "i8"), np.repeat(slot, filled)
+    held[slot] = filled
+    free, top = np.repeat(2 * start + c - 1, c) - np.arange(len(held)), start + c - t
+    steps_ = int(moves[TOGETHER - 1]) if len(c) >= TOGETHER else 0
+    alive = np.searchsorted(-moves, -np.arange(steps_), "left")
+    for n in alive.tolist():
+        base, others, weight = start[:n], c[:n] - 1, new[:n]
+        leaver = base + (dice.random(n) * c[:n]).astype("i8")
+        left = at[leaver]
+        rest = held[left] - 1
+        held[left] = rest
+        draw = dice.random(n) * (weight + others) - weight
+        opens = draw < 0
+        near = base + np.minimum(np.maximum(draw, 0).astype("i8"), others - 1)
+        to = at[near + (near >= leaver)]
+        again = np.flatnonzero(~opens & (dice.random(n) * held[to] < discount))
+        while len(again):
+            draw = dice.random(len(again)) * (weight[again] + others[again]) - weight[again]
+            opened = draw < 0
+            near = base[again] + np.minimum(np.maximum(draw, 0).astype("i8"), others[again] - 1)
+            joined = at[near + (near >= leaver[again])]
+            opens[again], to[again] = opened, joined
+            again = again[~opened & (dice.random(len(again)) * held[joined] < discount)]
+        gone = rest == 0
+        both = opens & gone
+        to[both] = left[both]
+        push, pop = np.flatnonzero(gone & ~opens), np.flatnonzero(opens & ~gone)
+        free[top[push]] = left[push]
+        top[push] += 1
+        top[pop] -= 1
+        to[pop] = free[top[pop]]
+        at[leaver] = to
+        held[to] += 1
+    for dish in np.flatnonzero(moves > steps_):
+        part = slice(start[dish], start[dish] + c[dish])
+        spare = free[start[dish] : top[dish]] - start[dish]
+        held[part] = _move_alone(at[part] - start[dish], held[part], spare, float(new[dish]), discount, random.Random(int(dice.integers(1 << 62))), int(moves[dish]) - steps_)
+    filled = held > 0
+    after, owner = np.empty(len(c), "i8"), np.repeat(order, c)[filled]
+    after[order] = np.add.reduceat(filled.astype("i8"), start)
+    return after, held[filled][np.argsort(owner, kind="stable")]
+
+
+def _move_alone(at: np.ndarray, held: np.ndarray, free: np.ndarray, weight: float, discount: float, dice: random.Random, moves: int) -> array:
+    """The moves of a single dish: customers at its tables afterwards."""
+    at, held, free, draw = array("q", at.tobytes()), array("q", held.tobytes()), free.tolist(), dice.random
+    customers = len(at)
+    whole = weight + customers - 1
+    for _ in range(moves):
+        leaver = int(draw() * customers)
+        left = at[leaver]
+        held[left] -= 1
+        if not held[left]:
+            free.append(left)
+        while True:
+            x = draw() * whole - weight
+            if x < 0:
+                to = free.pop()
+                break
+            near = int(x)
+            if near >= customers - 1:
+                near = customers - 2
+            to = at[near + (near >= leaver)]
+            if draw() * held[to] >= discount:
+                break
+        at[leaver] = to
+        held[to] += 1
+    return held
 
 
 def _sends(words: np.ndarray, first: np.ndarray, second: np.ndarray, seen: np.ndarray, tables: np.ndarray, buckets: int, numbers: int) -> list[dict]:

@@ -97,6 +97,26 @@ def test_moves_keep_the_exact_distribution_of_tables(customers, fresh, discount)
         assert (t == tables).mean() == pytest.approx(w / sum(weight.values()), abs=0.015)
 
 
+@pytest.mark.parametrize("together", [1, 10**9])
+def test_a_sweep_moves_every_customer_of_a_large_dish(monkeypatch, together):
+    """Where nearly nobody opens a table, two sweeps leave few of 3,000 customers alone; dishes moved together or alone."""
+    monkeypatch.setattr(pitmanyor, "TOGETHER", together)
+    n, customers = 5, 3000
+    t, sizes = pitmanyor.reseat(np.full(n, customers), np.full(n, customers), np.ones(n * customers, "i8"), np.full(n, 0.001), 0.0, np.random.default_rng(4), 2)
+    assert (np.add.reduceat(sizes, np.cumsum(t) - t) == customers).all() and (sizes > 0).all()
+    assert (t < customers / 2).all()
+
+
+def test_moves_of_single_dishes_keep_the_exact_distribution(monkeypatch):
+    monkeypatch.setattr(pitmanyor, "TOGETHER", 10**9)
+    customers, fresh, discount, n = 4, 2.5, 0.3, 20000
+    weight = np.array([0, fresh, 0, 0, 0])
+    for c in range(1, customers):
+        weight = np.concatenate([[0], weight[:-1]]) * fresh + weight * np.maximum(c - discount * np.arange(5), 0)
+    t, _ = pitmanyor.reseat(np.full(n, customers), np.ones(n, "i8"), np.full(n, customers), np.full(n, fresh), discount, np.random.default_rng(1), 12)
+    assert np.bincount(t, minlength=5) / n == pytest.approx(weight / weight.sum(), abs=0.015)
+
+
 def test_moves_keep_customers_of_dishes_of_all_sizes():
     dice = np.random.default_rng(2)
     c = np.array([2, 3, 5000, 17, 2, 90000, 16, 40])

@@ -9,7 +9,7 @@ from backtide.functions.normalize import path_template
 from backtide.session import discard, materialise
 
 from .selection import one_read_per_row, sample_evenly
-from .versions import ROW, as_of
+from .versions import ROW, as_of, crowded
 
 #: Fixed values of the policy: floors of the learned thresholds, constants, and the guard on writer spread.
 FLOORS = {"tc": 0.2, "te": 0.3, "re": 0.3}
@@ -94,7 +94,7 @@ def row_links(reads: DataFrame, row_writes: DataFrame) -> DataFrame:
     """Row generation: each request's earliest read of a row, and the last write of that row not after it. Deletes are
     ordinary writes here; self links are left out. (child, tbn, pk, parent, read_time, write_time)."""
     history = row_writes.select(*ROW, "rid", "time", "line")
-    found = as_of(one_read_per_row(reads).select("rid", *ROW, "time", "seq"), history, ROW, "time", "time", inclusive=True, tie=("line",))
+    found = as_of(one_read_per_row(reads).select("rid", *ROW, "time", "seq"), history, ROW, "time", "time", inclusive=True, tie=("line",), hot=crowded(ROW, reads, history))
     out = found.filter("found is not null").select(F.col("rid").alias("child"), *ROW, F.col("found.rid").alias("parent"), F.col("time").alias("read_time"), F.col("found.time").alias("write_time"))
     return out.filter("child <> parent")
 

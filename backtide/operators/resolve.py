@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from backtide.session import discard, materialise
 
-from .versions import CELL, ROW, as_of, known_cells, versions
+from .versions import CELL, CROWDED, ROW, as_of, crowded, known_cells, versions
 
 _PICK = ("rid", "time", "op", "xid", "seq", "pos", "raw_run", "vtype", "vtext", "origin", "next_delete")
 
@@ -34,14 +34,14 @@ def observed_cells(reads: DataFrame, writes: DataFrame) -> DataFrame:
 
 def resolve_by_time(read_cells_: DataFrame, history: DataFrame) -> DataFrame:
     """The latest version written not after the read, unless a delete not before it and not after the read killed it."""
-    found = as_of(read_cells_, history.select(*CELL, *_PICK), CELL, "time", "time", inclusive=True)
+    found = as_of(read_cells_, history.select(*CELL, *_PICK), CELL, "time", "time", inclusive=True, hot=crowded(CELL, read_cells_, history))
     dead = F.col("found.next_delete") <= F.col("time")
     return found.withColumn("found", F.when(~F.coalesce(dead, F.lit(False)), F.col("found")))
 
 
 def resolve_before_xid(read_cells_: DataFrame, history: DataFrame, bound: str) -> DataFrame:
     """The latest version of a smaller transaction than bound, unless a delete below the bound killed it."""
-    found = as_of(read_cells_, history.select(*CELL, *_PICK), CELL, bound, "xid", inclusive=False)
+    found = as_of(read_cells_, history.select(*CELL, *_PICK), CELL, bound, "xid", inclusive=False, hot=crowded(CELL, read_cells_, history))
     dead = F.col("found.next_delete") < F.col(bound)
     return found.withColumn("found", F.when(~F.coalesce(dead, F.lit(False)), F.col("found")))
 
@@ -52,12 +52,12 @@ def eligible_cells(writes: DataFrame, deletes: DataFrame) -> DataFrame:
     return whole.join(deletes.filter("xid is null").select(*ROW).distinct(), list(ROW), "left_anti")
 
 
-def snapshot_bounds(read_cells_: DataFrame, history: DataFrame) -> DataFrame:
+def snapshot_bounds(read_cells_: DataFrame, history: DataFrame, most: int = CROWDED) -> DataFrame:
     """Reads of cells with `low` and `high`, the versions before xmin and before xmax (null where there is none), and
     `window_start` and `window_end`, the positions of the writes between the bounds, which deletes do not change."""
-    out = read_cells_
+    out, hot = read_cells_, crowded(CELL, read_cells_, history, most=most)
     for side, bound, place in (("low", "xmin", "window_start"), ("high", "xmax", "window_end")):
-        found = as_of(out, history.select(*CELL, *_PICK), CELL, bound, "xid", inclusive=False)
+        found = as_of(out, history.select(*CELL, *_PICK), CELL, bound, "xid", inclusive=False, hot=hot)
         dead = F.col("found.next_delete") < F.col(bound)
         out = found.withColumn(place, F.coalesce("found.pos", F.lit(0)) + (1 if side == "low" else 0)).withColumn(side, F.when(~F.coalesce(dead, F.lit(False)), F.col("found"))).drop("found")
     return out

@@ -45,7 +45,12 @@ def _candidates(logs: Logs) -> DataFrame:
 
 
 def _pairs(logs: Logs) -> DataFrame:
-    return resolve.read_cells(logs.reads, logs.writes).filter("col is not null")
+    return materialise(resolve.read_cells(logs.reads, logs.writes).filter("col is not null"), "read-cells")
+
+
+def _history(logs: Logs, key: str) -> DataFrame:
+    """versions(), written once for all that reads them."""
+    return materialise(versions(logs.writes, logs.deletes, key), "history")
 
 
 # Names and values
@@ -107,7 +112,7 @@ def last_write_per_xid(logs: Logs) -> DataFrame:
 
 @_on_logs
 def asof_time_cell(logs: Logs) -> DataFrame:
-    found = resolve.resolve_by_time(_pairs(logs), versions(logs.writes, logs.deletes))
+    found = resolve.resolve_by_time(_pairs(logs), _history(logs, "time"))
     return found.filter("found is not null").select("rid", *CELL, F.col("seq").alias("read_seq"), F.col("found.xid").alias("latest_xid"), F.col("found.rid").alias("latest_rid"), F.col("found.origin.rid").alias("origin_rid"))
 
 
@@ -118,19 +123,19 @@ def asof_time_row(logs: Logs) -> DataFrame:
 
 @_on_logs
 def asof_xid_low_high(logs: Logs) -> DataFrame:
-    found = resolve.snapshot_bounds(_pairs(logs), versions(logs.writes, logs.deletes, "xid"))
+    found = resolve.snapshot_bounds(_pairs(logs), _history(logs, "xid"))
     return found.select("rid", *CELL, F.col("seq").alias("read_seq"), F.coalesce("low.xid", F.lit(-1)).alias("low_xid"), F.coalesce("high.xid", F.lit(-1)).alias("high_xid"))
 
 
 @_on_logs
 def snapshot_rules(logs: Logs) -> DataFrame:
-    ruled = resolve.snapshot_rules(resolve.snapshot_bounds(_pairs(logs), versions(logs.writes, logs.deletes, "xid")))
+    ruled = resolve.snapshot_rules(resolve.snapshot_bounds(_pairs(logs), _history(logs, "xid")))
     return ruled.groupBy("rule").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
 @_on_logs
 def snapshot_window_writers(logs: Logs) -> DataFrame:
-    history = versions(logs.writes, logs.deletes, "xid")
+    history = _history(logs, "xid")
     ruled = resolve.snapshot_rules(resolve.snapshot_bounds(_pairs(logs), history))
     return resolve.window_writers(ruled, history).select("rid", *CELL, F.col("seq").alias("read_seq"), F.col("version.xid").alias("writer_xid"), "rule")
 
@@ -276,7 +281,7 @@ def child_breadth(logs: Logs) -> DataFrame:
 
 
 def _tasks(logs: Logs) -> tuple[DataFrame, DataFrame]:
-    history = materialise(versions(logs.writes, logs.deletes, "xid"), "history")
+    history = _history(logs, "xid")
     found = resolve.candidates_of(resolve.resolve_reads(logs.reads, logs.writes, logs.deletes, history))
     return found, priority.score_tasks(found, history, logs.reads, logs.writes, logs.contexts)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from backtide.operators import resolve
 from backtide.operators.resolve import dedupe_candidates, match_observed, request_candidates, unresolved
-from backtide.operators.versions import versions
+from backtide.operators.versions import CELL, as_of, crowded, versions
 from backtide.plans.trace import links, trace
 
 START = datetime(2026, 1, 1)
@@ -178,6 +178,51 @@ def test_segments_of_a_hot_cell(spark, key, segments):
     assert all(by_pos[r.pk, r.col, r.origin.pos] == r.origin.rid and by_pos[r.pk, r.col, r.raw_origin.pos] == r.raw_origin.rid for r in rows)
 
 
+def _random_log(seed):
+    dice, writes, deletes = random.Random(seed), [], []
+    for i in range(600):
+        pk, at = "hot" if dice.random() < 0.7 else str(dice.randrange(5)), dice.randrange(160)
+        if dice.random() < 0.85:
+            writes.append((f"w{i}", "items", pk, "p" if dice.random() < 0.9 else "q", dice.choice(["insert"] + ["update"] * 9), dice.choice(["int", "str"]), str(dice.randrange(2)), START + timedelta(seconds=at), at, i % 3, i))
+        else:
+            deletes.append((f"d{i}", "items", pk, START + timedelta(seconds=at), at, i % 3, i))
+    return writes, deletes
+
+
+@pytest.mark.parametrize(("key", "most"), [("time", 0), ("xid", 0), ("xid", 100)])
+def test_only_crowded_cells_are_cut(spark, key, most):
+    writes, deletes = _random_log(most + len(key))
+    w, d = spark.createDataFrame(writes, WRITES), spark.createDataFrame(deletes, DELETES)
+    rows = versions(w, d, key, segments=7, most=most).collect()
+    got = {(r.rid, r.col): (r.pos, r.raw_run, r.raw_origin.rid, r.origin.rid, r.next_delete, r.is_last_in_xid) for r in rows}
+    assert got == brute_history(writes, deletes, 7 if key == "time" else 8) and len(rows) == len(writes)
+    assert versions(w, d, key).dtypes == versions(w, d, key, most=most).dtypes
+
+
+def test_cells_that_are_not_crowded_carry_nothing(spark):
+    """One look at each history: no segments that are summed up and joined back."""
+    writes, deletes = _random_log(3)
+    plan = versions(spark.createDataFrame(writes, WRITES), spark.createDataFrame(deletes, DELETES), "xid")._jdf.queryExecution().optimizedPlan().toString()
+    assert "segment" not in plan and "max_by" not in plan
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_lookups_in_crowded_and_other_cells(spark, inclusive):
+    writes, _ = _random_log(9)
+    dice = random.Random(4)
+    history = spark.createDataFrame(writes, WRITES).withColumn("pos", F.col("line"))
+    asked = [(i, "items", dice.choice(["hot", "0", "1", "4", "none"]), dice.choice("pq"), dice.choice([None, -5, 500] + list(range(160)))) for i in range(300)]
+    probes = spark.createDataFrame(asked, "n long, tbn string, pk string, col string, at long")
+    for most in (0, 100, 10**6):
+        hot = crowded(CELL, probes, history, most=most)
+        assert hot is None if most == 10**6 else hot.count() > 0
+        found = {r.n: r.found and r.found.rid for r in as_of(probes, history, CELL, "at", "xid", inclusive=inclusive, hot=hot).collect()}
+        assert len(found) == len(asked)
+        for n, _, pk, col, at in asked:
+            fits = [w for w in writes if (w[2], w[3]) == (pk, col) and at is not None and (w[8] <= at if inclusive else w[8] < at)]
+            assert found[n] == (max(fits, key=lambda w: (w[8], w[10]))[0] if fits else None)
+
+
 def test_windows_of_a_hot_cell(spark, monkeypatch):
     monkeypatch.setattr(resolve, "WINDOW", 4)
     writes = [W(i, f"w{i}", "p", str(i % 3), "update", xid=i // 2, seq=i % 2) for i in range(120)]

@@ -54,6 +54,12 @@ def row_metrics(reads: DataFrame, writes: DataFrame, requests: DataFrame) -> Dat
     )
 
 
+def write_fanout(writes: DataFrame, requests: DataFrame) -> DataFrame:
+    """(tbn, pk, write_fanout) as row_metrics() has it, of written rows: reads and endpoints are not looked at."""
+    known = writes.select("rid", *ROW).join(requests.select("rid"), "rid", "left_semi")
+    return known.groupBy(*ROW).agg(F.count_distinct("rid").alias("write_fanout"))
+
+
 def thresholds(tables: DataFrame, rows: DataFrame) -> DataFrame:
     """One row tc, te, rc, re, am, wf: exact 90th percentiles with floors, or constants. No tables or rows: the floors."""
     p90 = lambda c: F.coalesce(F.percentile(c, 0.9), F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from backtide.session import discard, materialise
 
-from .versions import CELL, CROWDED, ROW, as_of, crowded, known_cells, versions
+from .versions import CELL, CROWDED, ROW, as_of, crowded, hashed, known_cells, sized_cells, versions
 
 _PICK = ("rid", "time", "op", "xid", "seq", "pos", "raw_run", "vtype", "vtext", "origin", "next_delete")
 
@@ -23,13 +23,15 @@ def read_cells(reads: DataFrame, writes: DataFrame) -> DataFrame:
     return reads.join(known_cells(writes), list(ROW), "left")
 
 
-def observed_cells(reads: DataFrame, writes: DataFrame) -> DataFrame:
-    """As read_cells(), but a read that tells what it saw (`seen`, a map of column to typed value) has the cells of that
-    map, whether anything is known of them or not, with the value in seen_type and seen_text."""
+def observed_cells(reads: DataFrame, known: DataFrame) -> DataFrame:
+    """As read_cells() with `eligible` of known cells (see sized_cells), but a read that tells what it saw (`seen`, a map
+    of column to typed value) has the cells of that map, whether anything is known of them or not, with the value in
+    seen_type and seen_text."""
     nothing = [F.lit(None).cast("string").alias(c) for c in ("seen_type", "seen_text")]
-    blind = read_cells(reads.filter("seen is null").drop("seen"), writes).select("*", *nothing)
+    known = known.select(*CELL, "eligible")
+    blind = reads.filter("seen is null").drop("seen").join(known, list(ROW), "left").select("*", *nothing)
     told = reads.filter("seen is not null").select("*", F.explode("seen").alias("col", "value")).select("*", F.col("value.vtype").alias("seen_type"), F.col("value.vtext").alias("seen_text"))
-    return blind.unionByName(told.drop("seen", "value"))
+    return blind.unionByName(told.drop("seen", "value").join(known, list(CELL), "left"))
 
 
 def resolve_by_time(read_cells_: DataFrame, history: DataFrame) -> DataFrame:
@@ -46,21 +48,44 @@ def resolve_before_xid(read_cells_: DataFrame, history: DataFrame, bound: str) -
     return found.withColumn("found", F.when(~F.coalesce(dead, F.lit(False)), F.col("found")))
 
 
-def eligible_cells(writes: DataFrame, deletes: DataFrame) -> DataFrame:
-    """Cells whose writes all have a transaction and whose row has no delete without one."""
-    whole = writes.groupBy(*CELL).agg(F.bool_and(F.col("xid").isNotNull()).alias("ok")).filter("ok").drop("ok")
-    return whole.join(deletes.filter("xid is null").select(*ROW).distinct(), list(ROW), "left_anti")
-
-
 def snapshot_bounds(read_cells_: DataFrame, history: DataFrame, most: int = CROWDED) -> DataFrame:
     """Reads of cells with `low` and `high`, the versions before xmin and before xmax (null where there is none), and
     `window_start` and `window_end`, the positions of the writes between the bounds, which deletes do not change."""
-    out, hot = read_cells_, crowded(CELL, read_cells_, history, most=most)
-    for side, bound, place in (("low", "xmin", "window_start"), ("high", "xmax", "window_end")):
-        found = as_of(out, history.select(*CELL, *_PICK), CELL, bound, "xid", inclusive=False, hot=hot)
-        dead = F.col("found.next_delete") < F.col(bound)
-        out = found.withColumn(place, F.coalesce("found.pos", F.lit(0)) + (1 if side == "low" else 0)).withColumn(side, F.when(~F.coalesce(dead, F.lit(False)), F.col("found"))).drop("found")
-    return out
+    slim = F.struct("origin.rid", "origin.time").alias("origin")
+    history = history.select(*CELL, *[slim if c == "origin" else F.col(c) for c in _PICK])
+    hot = crowded(CELL, read_cells_, history, most=most)
+    if hot is None:
+        out = _both_bounds(read_cells_, history)
+    else:
+        hot = F.broadcast(hot)
+        out = _both_bounds(read_cells_.join(hot, list(CELL), "left_anti"), history.join(hot, list(CELL), "left_anti"))
+        cut, versions_of = read_cells_.join(hot, list(CELL), "left_semi"), history.join(hot, list(CELL), "left_semi")
+        for side, bound in _BOUNDS.items():
+            cut = as_of(cut, versions_of, CELL, bound, "xid", inclusive=False, hot=hot)
+            own = F.struct(*[F.col(f"found.{c}").alias(c) for c in _PICK])
+            cut = cut.withColumn(side, F.when(F.col("found").isNotNull(), own)).drop("found")
+        out = out.unionByName(cut)
+    ends = {"window_start": F.coalesce("low.pos", F.lit(0)) + 1, "window_end": F.coalesce("high.pos", F.lit(0))}
+    alive = {side: F.when(~F.coalesce(F.col(f"{side}.next_delete") < F.col(bound), F.lit(False)), F.col(side)) for side, bound in _BOUNDS.items()}
+    return out.withColumns(ends).withColumns(alive)
+
+
+_BOUNDS = {"low": "xmin", "high": "xmax"}
+
+
+def _both_bounds(probes: DataFrame, history: DataFrame) -> DataFrame:
+    """probes with the last history row below each bound. As as_of(), but both lookups share one shuffle."""
+    own = [c for c in probes.columns if c not in CELL]
+    row, probe = F.struct(*_PICK), F.struct(*own)
+    empty = lambda df, c: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+    keys = lambda low, high: [F.col(c).cast("long").alias(f"_{side}") for side, c in zip(_BOUNDS, (low, high), strict=True)]
+    left = history.select(*CELL, *keys("xid", "xid"), F.lit(1).alias("_side"), F.col("pos").alias("_pos"), row.alias("_row"), empty(probes, probe).alias("_probe"))
+    right = probes.select(*CELL, *keys(*_BOUNDS.values()), F.lit(0).alias("_side"), empty(history, F.col("pos")).alias("_pos"), empty(history, row).alias("_row"), probe.alias("_probe"))
+    both = hashed(left.unionByName(right), *CELL)
+    for side in _BOUNDS:
+        before = Window.partitionBy("_hash", *CELL).orderBy(f"_{side}", "_side", "_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn(side, F.last("_row", ignorenulls=True).over(before))
+    return both.filter("_probe is not null").select(*CELL, "_probe.*", *_BOUNDS)
 
 
 def snapshot_rules(bounds: DataFrame) -> DataFrame:
@@ -112,21 +137,26 @@ NOT_BEFORE_SNAPSHOT = "no traceable version for this cell before the snapshot up
 NOT_BEFORE_READ = "no traceable version for this cell before the read time"
 NO_MATCH = "cell value in the read log does not match any snapshot candidate"
 
-_READ = ("rid", *CELL, "read_seq", "read_time", "xmin", "xmax", "seen_type", "seen_text")
+_READ = ("rid", *CELL, "read_seq", "read_time", "xmin", "xmax", "seen_type", "seen_text", "again")
 
 
 def _head() -> list:
     """The columns of _READ, of a read as it is logged."""
-    return ["rid", *CELL, F.col("seq").alias("read_seq"), F.col("time").alias("read_time"), "xmin", "xmax", "seen_type", "seen_text"]
+    return ["rid", *CELL, F.col("seq").alias("read_seq"), F.col("time").alias("read_time"), "xmin", "xmax", "seen_type", "seen_text", "again"]
 
 
-def snapshot_attempts(reads_of_cells: DataFrame, history: DataFrame) -> DataFrame:
-    """(read, version, certain, rule): one row for each version a read may have seen; one without a version if there is none."""
+def ruled_reads(reads_of_cells: DataFrame, history: DataFrame) -> DataFrame:
+    """Reads with their rule, the window of positions and, but for rule 1w, the one version that the rule gives."""
     ruled = snapshot_rules(snapshot_bounds(reads_of_cells, history))
-    one = ruled.filter(F.col("rule") != "1w").select(
-        *_head(), F.when(F.col("rule").isin("2", "4"), _shape("low")).when(F.col("rule") != "none", _shape("high")).alias("version"), (F.col("rule") != "4").alias("certain"), "rule"
-    )
-    many = window_writers(ruled, history).select(*_head(), "version", F.lit(False).alias("certain"), "rule")
+    version = F.when(F.col("rule").isin("2", "4"), _shape("low")).when(~F.col("rule").isin("none", "1w"), _shape("high"))
+    return ruled.select(*_head(), "rule", "window_start", "window_end", version.alias("version"))
+
+
+def snapshot_attempts(ruled: DataFrame, history: DataFrame) -> DataFrame:
+    """(read, version, certain, rule): one row for each version a read may have seen; one without a version if there is none.
+    ruled: ruled_reads(), written, as it is looked at twice."""
+    one = ruled.filter(F.col("rule") != "1w").select(*_READ, "version", (F.col("rule") != "4").alias("certain"), "rule")
+    many = window_writers(ruled.drop("version"), history).select(*_READ, "version", F.lit(False).alias("certain"), "rule")
     return one.unionByName(many)
 
 
@@ -159,48 +189,50 @@ def match_observed(candidates: DataFrame) -> DataFrame:
 
 
 def dedupe_candidates(candidates: DataFrame) -> DataFrame:
-    """Of equal attributions of a request (cell, version, certainty) the one with the smallest read."""
+    """Of equal attributions of a request (cell, version, certainty) the one with the smallest read. A read gives no version
+    twice, so where `again` tells that a request has read a row once only, there is nothing to compare."""
     same = Window.partitionBy("rid", *CELL, "version.xid", "version.seq", "version.time", "certain").orderBy("read_seq", "read_time", "rule")
-    return candidates.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
+    if "again" not in candidates.columns:
+        return candidates.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
+    once, more = (candidates.filter(c).drop("again") for c in ("not again", "again"))
+    return once.unionByName(dedupe_candidates(more))
 
 
 def resolve_reads(reads: DataFrame, writes: DataFrame, deletes: DataFrame, by_xid_history: DataFrame | None = None) -> DataFrame:
     """(read, version, certain, rule, reason) for every cell of every read, all requests at once: the versions it may have
-    seen, or a row without a version and the reason for it.
+    seen, or a row without a version and the reason for it; `again` tells whether the request has more reads of the row.
 
     Snapshot rules hold where a read has bounds and its cell is eligible, else the time. `seen`, an optional column of
     reads (a map of column to (vtype, vtext)), names the cells and the values that a read saw itself: only versions with
-    an equal typed value are left of those. What is written on the way (cells of reads, histories) is written once and
-    deleted; histories by time only if a read needs them. A written history by transaction may be given.
+    an equal typed value are left of those. Cells of reads, histories and rules are written once, and the result is read
+    from them; histories by time only if a read needs them. A written history by transaction may be given.
     """
     if "seen" not in reads.columns:
         reads = reads.withColumn("seen", F.lit(None).cast(_SEEN))
-    cells = observed_cells(reads, writes).join(eligible_cells(writes, deletes).withColumn("eligible", F.lit(True)), list(CELL), "left")
+    reads = hashed(reads, "rid", *ROW).withColumn("again", F.count("*").over(Window.partitionBy("_hash", "rid", *ROW)) > 1).drop("_hash")
+    known = sized_cells(writes, deletes)
     both = F.col("xmin").isNotNull() & F.col("xmax").isNotNull()
-    cells = materialise(cells.withColumn("by_xid", both & F.coalesce("eligible", F.lit(False))).drop("eligible"), "read-cells")
-    done = [cells]
-    by_xid = cells.filter("col is not null and by_xid").drop("by_xid")
+    cells = materialise(observed_cells(reads, known).withColumn("by_xid", both & F.coalesce("eligible", F.lit(False))).drop("eligible"), "read-cells")
+    needed = [*CELL, *_PICK, "is_last_in_xid"]
     history = by_xid_history
     if history is None:
-        history = materialise(versions(writes.filter("xid is not null"), deletes.filter("xid is not null"), "xid"), "history")
-        done.append(history)
-    attempts = snapshot_attempts(by_xid, history)
+        history = materialise(versions(writes.filter("xid is not null"), deletes.filter("xid is not null"), "xid", known=known).select(*needed), "history")
+    ruled = materialise(ruled_reads(cells.filter("col is not null and by_xid").drop("by_xid"), history), "ruled-reads")
+    attempts = snapshot_attempts(ruled, history)
     timed = cells.filter("col is not null and not by_xid").drop("by_xid")
     if not timed.isEmpty():
-        history = materialise(versions(writes, deletes, "time"), "history")
-        done.append(history)
+        history = materialise(versions(writes, deletes, "time", known=known).select(*needed), "history")
         found = resolve_by_time(timed, history)
-        attempts = attempts.unionByName(found.select(*_head(), F.when(F.col("found").isNotNull(), _shape("found")).alias("version"), F.lit(True).alias("certain"), F.lit("time").alias("rule")))
-    attempts = materialise(attempts, "attempts")
-    done.append(attempts)
+        by_time = materialise(found.select(*_head(), F.when(F.col("found").isNotNull(), _shape("found")).alias("version"), F.lit(True).alias("certain"), F.lit("time").alias("rule")), "timed-reads")
+        attempts = attempts.unionByName(by_time)
+        discard(history)
+    discard(known)
     told = F.col("seen_type").isNotNull()
     tried = attempts.filter(~told).withColumn("reason", F.lit(None).cast("string")).unionByName(match_read(attempts.filter(told)))
     late = F.when(F.col("xmin").isNotNull() & F.col("xmax").isNotNull(), NOT_BEFORE_SNAPSHOT).otherwise(NOT_BEFORE_READ)
     tried = tried.withColumn("reason", F.coalesce("reason", F.when(F.col("version").isNull(), late)))
     unknown = cells.filter("col is null").select(*_head(), F.lit(None).cast(attempts.schema["version"].dataType).alias("version"), F.lit(None).cast("boolean").alias("certain"), F.lit(None).cast("string").alias("rule"), F.lit(NO_HISTORY).alias("reason"))
-    out = materialise(tried.unionByName(unknown), "resolved")
-    discard(*done)
-    return out
+    return tried.unionByName(unknown)
 
 
 def candidates_of(resolved: DataFrame) -> DataFrame:

@@ -386,7 +386,7 @@ def basic_trace_requests(logs: Logs) -> DataFrame:
 
 
 def _gray(logs: Logs) -> DataFrame:
-    return policy.row_metrics(logs.reads, _row_writes(logs), logs.requests).filter("write_fanout >= 7").select(*ROW, F.lit(True).alias("gray"))
+    return policy.write_fanout(_row_writes(logs), logs.requests).filter("write_fanout >= 7").select(*ROW, F.lit(True).alias("gray"))
 
 
 @_on_logs

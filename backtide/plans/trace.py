@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from backtide.session import discard, materialise
 
 
-def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: tuple[str, ...] = (), written: bool = False) -> DataFrame:
     """(by..., rid, level): all requests reachable from roots (by..., rid) over edges (child, parent, root_only).
 
     Level by level: a join of the frontier with the edges, then an anti-join with what was visited, so cycles end. Each
     level is written to the shared folder, which cuts the lineage. Edges with root_only lead on from roots alone;
-    of `by` there may be any columns that separate searches, all run in one loop."""
-    edges = materialise(edges.select("child", "parent", "root_only").distinct(), "trace-edges")
+    of `by` there may be any columns that separate searches, all run in one loop. Edges that come from a written table are
+    read from it at each level, else their distinct ones are written first."""
+    edges = edges.select("child", "parent", "root_only")
+    own = [] if written else [materialise(edges.distinct(), "trace-edges")]
+    edges = edges if written else own[0]
     keys = [*by, "rid"]
     frontier = materialise(roots.select(*keys).distinct().withColumn("level", F.lit(0)), "trace-frontier")
     visited, level, levels = frontier, 0, [frontier]
@@ -31,7 +34,7 @@ def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: t
         visited = visited.unionByName(frontier)
         levels.append(frontier)
     out = materialise(visited, "trace-visited")
-    discard(edges, *levels)
+    discard(*own, *levels)
     return out
 
 
@@ -54,8 +57,8 @@ def trace(all_links: DataFrame, root: DataFrame, *, policy: DataFrame | None = N
     else:
         used = used.withColumn("gray", F.lit(False))
     used = materialise(used, "links")
-    edges = used.filter("certain").groupBy("child", "parent").agg(F.bool_and("gray").alias("root_only"))
-    visited = reach(edges, root)
+    # Of several links of a pair one that is not gray is enough to be followed, so they need not be brought together.
+    visited = reach(used.filter("certain").select("child", "parent", F.col("gray").alias("root_only")), root, written=True)
     return visited, used.join(visited.select(F.col("rid").alias("child")), "child", "left_semi")
 
 

@@ -10,6 +10,7 @@ from backtide.operators import resolve
 from backtide.operators.resolve import dedupe_candidates, match_observed, request_candidates, unresolved
 from backtide.operators.versions import CELL, as_of, crowded, versions
 from backtide.plans.trace import links, trace
+from backtide.session import materialise
 
 START = datetime(2026, 1, 1)
 READS = "rid string, tbn string, pk string, seq long, time timestamp_ntz, xmin long, xmax long"
@@ -259,3 +260,35 @@ def test_a_read_repeated_with_another_value_is_another_read(spark):
     reads = [(*R(9, "A", 100, 150), {"p": ("str", t)}) for t in "abb"]
     c = request_candidates(spark.createDataFrame(reads, SEEN), spark.createDataFrame(writes, WRITES), spark.createDataFrame([], DELETES))
     assert {(r.version.rid, r.certain) for r in c.collect()} == {("B", True), ("C", True)} and c.count() == 2
+
+
+def test_both_bounds_take_one_shuffle(spark):
+    """And give the same versions whether cells count as crowded or not."""
+    writes, deletes = _random_log(5)
+    dice = random.Random(6)
+    bound = lambda: dice.choice([None, *range(-5, 170)])
+    reads = [(f"r{i}", "items", dice.choice(["hot", "0", "1", "none"]), i, START, bound(), bound()) for i in range(200)]
+    w = spark.createDataFrame(writes, WRITES)
+    history = materialise(versions(w, spark.createDataFrame(deletes, DELETES), "xid"), "history")
+    cells = materialise(resolve.read_cells(spark.createDataFrame(reads, READS), w).filter("col is not null"), "read-cells")
+    assert resolve.snapshot_bounds(cells, history)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    shown = ["rid", *CELL, "window_start", "window_end", "low", "high"]
+    found = {most: sorted(map(str, resolve.snapshot_bounds(cells, history, most).select(shown).collect())) for most in (0, 100, 10**6)}
+    assert found[0] == found[100] == found[10**6] and len(found[0]) == cells.count()
+
+
+def test_only_rows_read_again_are_compared(spark):
+    reads = spark.createDataFrame([R(4, "A", seq=1), R(5, "A", seq=2), R(4, "B", seq=3)], READS)
+    writes = spark.createDataFrame([W(1, "C", "p", "x", "insert")], WRITES)
+    resolved = resolve.resolve_reads(reads, writes, spark.createDataFrame([], DELETES))
+    assert {(r.read_seq, r.again) for r in resolved.collect()} == {(1, True), (2, True), (3, False)}
+    assert sorted((r.rid, r.read_seq) for r in resolve.candidates_of(resolved).collect()) == [("A", 1), ("B", 3)]
+
+
+def test_a_pair_with_a_link_that_is_not_gray_is_followed(spark):
+    """Links of a pair are read as they are written, not brought together first."""
+    shape = "child string, tbn string, pk string, col string, parent string, certain boolean"
+    made = [("A", "t", "1", "p", "B", True), ("B", "t", "2", "p", "C", True), ("B", "t", "3", "p", "C", True), ("C", "t", "2", "p", "D", True), ("C", "t", "3", "p", "E", False)]
+    policy, root = spark.createDataFrame([("t", "2", True)], "tbn string, pk string, gray boolean"), spark.createDataFrame([("A",)], "rid string")
+    visited, shown = trace(spark.createDataFrame(made, shape), root, policy=policy)
+    assert {(r.rid, r.level) for r in visited.collect()} == {("A", 0), ("B", 1), ("C", 2)} and shown.count() == 5

@@ -61,8 +61,9 @@ _MARKS = ".,;:!?|%&*#$"
 class WordEncoder:
     """A tokenizer of the tokenizers library that drops white space and separates letters from marks: its ids of a text
     are those of the words between spaces and line ends, one after the other, so each word is encoded once and
-    remembered. A word of Latin letters goes straight to the library's model, which is most of the work saved; marks
-    behind it are a word of their own; whatever else there is takes the whole path."""
+    remembered. A word of Latin letters goes straight to the library's model, which is most of the work saved, and only in
+    lower case, as the tokenizer makes it; with marks behind it, or capitals, it is made of words that are remembered
+    already; whatever else there is takes the whole path."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,16 +76,18 @@ class WordEncoder:
 
     def _encode(self, word: str) -> bytes:
         core = word.rstrip(_MARKS)
-        if not _LATIN.fullmatch(core):
+        if not (core.isalpha() if core.isascii() else _LATIN.fullmatch(core)):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         low = core.lower()
+        if low != word:
+            return self.known[low] + self.known[word[len(core) :]] if len(core) < len(word) else self.known[low]
         shown = low if low.isascii() else self.byte_level.pre_tokenize_str(low)[0][0]
-        ids = array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
-        return ids if len(core) == len(word) else ids + self.known[word[len(core) :]]
+        return array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str, end: int) -> bytes:
         """Packed little-endian uint32 ids of a text, with the end id after them."""
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))) + end.to_bytes(4, "little")
+        text = (text.lower() if text.isascii() else text).replace("\n", " ")
+        return b"".join(map(self.known.__getitem__, text.split(" "))) + end.to_bytes(4, "little")
 
 
 @lru_cache(maxsize=2)

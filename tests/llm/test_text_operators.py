@@ -97,6 +97,23 @@ def test_byte_shards_against_brute_force(spark):
     assert got == expected
 
 
+def test_words_reach_the_model_in_lower_case_once():
+    words, seen = planes.WordEncoder(WORDS), []
+    whole = words.tokenizer.encode
+    model = words.model
+
+    class Counted:
+        def tokenize(self, word):
+            seen.append(word)
+            return model.tokenize(word)
+
+    words.model = Counted()
+    text = "house House HOUSE. house, Élan élan! ÉLAN Straße STRASSE\nhouse;: don't Don't ."
+    for text in (text, "House house. HOUSE, hOUSE", "\u0130stanbul \u03a3\u03a3 ISTANBUL"):
+        assert words.encode(text, 1) == np.array([*whole(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+    assert len(seen) == len(set(seen)) and {"house", "strasse", "istanbul"} <= set(seen)
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for n in (0, 1, 7, 64, 1000):

@@ -24,13 +24,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stash, scratch_path
-from .packed import hash_range, loosen, squeeze, steps
+from .packed import distinct, hash_range, loosen, squeeze, stable_order, steps
 
 #: Characters of text of a block, and bytes of text for which there is one bucket of pairs and one of words.
 BLOCK_CHARS, BUCKET_BYTES = 8 << 20, 16 << 20
@@ -57,43 +58,76 @@ class Process(NamedTuple):
     sweeps: int = 2
 
 
-class _Numbers(dict):
-    """Words, numbered as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def text_words(text: str | None) -> list[bytes]:
-    """Runs of anything but the space and 0x09-0x0D, with A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+#: Bytes of a word that are hashed by table, by their place and value; the sum of random numbers over all places is as
+#: likely to be that of another word as any number. Bytes between words add nothing.
+PLACES = 64
+_BETWEEN = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.where(np.isin(np.arange(256), np.arange(0x41, 0x5B)), np.arange(256) + 32, np.arange(256)).astype("u1")
+_TABLE = np.where(_BETWEEN, np.uint64(0), np.random.default_rng(SEED).integers(0, 1 << 64, (PLACES, 256), "u8"))[:, _LOWER].ravel()
+#: Characters of texts and words that are hashed together; a longer text is taken whole.
+PIECE, _AT_ONCE = 1 << 20, 1 << 13
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of texts, one after the other; words of each text). Words are runs of anything but the space and
+    0x09-0x0D, with A-Z in lower case; null texts have none."""
+    held = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(held.buffers()[1], "i8")[held.offset : held.offset + len(held) + 1]
+    if not len(held) or offsets[0] == offsets[-1]:
+        return np.empty(0, "u8"), np.zeros(len(held), "i8")
+    raw = np.frombuffer(held.buffers()[2], "u1")[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~_BETWEEN[raw]
+    fresh, last = np.ones(len(raw) + 1, "?"), np.ones(len(raw), "?")
+    fresh[1:-1] = ~inside[:-1]
+    fresh[offsets] = True
+    last[:-1] = ~inside[1:] | fresh[1:-1]
+    starts, ends = np.flatnonzero(inside & fresh[:-1]), np.flatnonzero(inside & last) + 1
+    hashes = np.empty(len(starts), "u8")
+    for i in range(0, len(starts), _AT_ONCE):
+        own = starts[i : i + _AT_ONCE]
+        first, until = own[0], ends[min(i + _AT_ONCE, len(starts)) - 1]
+        place = np.arange(first, until) - np.repeat(own, np.diff(own, append=until))
+        np.minimum(place, PLACES - 1, out=place)
+        place <<= 8
+        place += raw[first:until]
+        hashes[i : i + _AT_ONCE] = np.add.reduceat(_TABLE[place], own - first)
+    for i in np.flatnonzero(ends - starts > PLACES):
+        hashes[i] = xxhash.xxh64_intdigest(_LOWER[raw[starts[i] : ends[i]]].tobytes())
+    return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
     """(block, keys, train, sizes, end, words, tokens): words are sorted hashes, tokens and end their places."""
     block, names = TaskContext.get().partitionId() << 24, ["block", "keys", "train", "sizes", "end", "words", "tokens"]
-    numbers, keys, train, parts, held = _Numbers(), [], [], [], 0
+    keys, train, parts, counts, held = [], [], [], [], 0
 
     def row() -> pa.RecordBatch:
-        hashes = np.fromiter([END, *map(xxhash.xxh64_intdigest, numbers)], "u8", len(numbers) + 1)
-        words, place = np.unique(hashes, return_inverse=True)
-        tokens = place[np.concatenate([x for p in parts for x in (p, [0])]).astype("i8")]
-        values = [[block], [keys], [train], [squeeze(np.array([len(p) + 1 for p in parts]))], [int(place[0])], [words.tobytes()], [squeeze(tokens)]]
+        sizes = np.concatenate(counts) + 1
+        hashes, is_end = np.full(sizes.sum(), END, "u8"), np.zeros(sizes.sum(), "?")
+        is_end[np.cumsum(sizes) - 1] = True
+        hashes[~is_end] = np.concatenate(parts)
+        words, tokens = distinct(hashes)
+        values = [[block], [keys], [train], [squeeze(sizes)], [int(np.searchsorted(words, np.uint64(END)))], [words.tobytes()], [squeeze(tokens)]]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     for batch in batches:
-        for key, own, text in zip(*batch.columns, strict=True):
-            value = text.as_py()
-            found = text_words(value)
-            keys.append(key.as_py())
-            train.append(own.as_py())
-            parts.append(np.fromiter(map(numbers.__getitem__, found), "u4", len(found)) + np.uint32(1))
-            held += 64 + len(value or "")
+        # A block ends with the text that brings it to `chars`; a batch is taken in pieces that end where a block does.
+        reach, at = np.cumsum(64 + pc.utf8_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8")), 0
+        while at < batch.num_rows:
+            before = int(reach[at - 1]) if at else 0
+            full, piece = (int(np.searchsorted(reach, before + most, "left")) + 1 for most in (max(1, chars - held), PIECE))
+            until = min(full, piece, batch.num_rows)
+            own = batch.slice(at, until - at)
+            hashes, count = word_hashes(own.column(2))
+            keys += own.column(0).to_pylist()
+            train += own.column(1).to_pylist()
+            parts.append(hashes), counts.append(count)
+            held, at = held + int(reach[until - 1]) - before, until
             if held >= chars:
                 yield row()
                 block, held = block + 1, 0
-                for x in (numbers, keys, train, parts):
+                for x in (keys, train, parts, counts):
                     x.clear()
     if keys:
         yield row()
@@ -119,7 +153,7 @@ def _ranks(key: tuple, table: pa.Table) -> pa.Table:
     """(block, to, ranks, often, distinct): the places of a block's words among all words of a range, and how often all
     training rows have them."""
     own = [np.frombuffer(x.as_py(), "u8") for x in table.column("words")]
-    words, at = np.unique(np.concatenate(own), return_inverse=True)
+    words, at = distinct(np.concatenate(own))
     often = np.bincount(at, np.concatenate([loosen(x.as_py()) for x in table.column("seen")]), len(words)).astype("i8")
     cuts = np.cumsum([0, *map(len, own)])
     parts = [at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -158,12 +192,12 @@ def _pairs(row: dict, buckets: int) -> tuple[np.ndarray, ...]:
     the bucket of each (rising), and the pair of every token."""
     words, tokens, sizes = np.cumsum(loosen(row["words"])), loosen(row["tokens"]), loosen(row["sizes"])
     before = np.concatenate([[row["end"]], tokens[:-1]])
-    pairs, of = np.unique(before * len(words) + tokens, return_inverse=True)
+    pairs, of = distinct(before * len(words) + tokens)
     del before, tokens
     first, second = np.divmod(pairs, len(words))
     seen = np.bincount(of, np.repeat(np.array(row["train"], "f8"), sizes), len(pairs)).astype("i8")
     bucket = _deal(words[first], words[second], buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = stable_order(bucket)
     back = np.empty(len(order), "i8")
     back[order] = np.arange(len(order))
     return words, first[order], second[order], seen[order], bucket[order], back[of]
@@ -196,7 +230,7 @@ def reseat(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, fresh:
     discount, and a move takes the same time in a dish of any size."""
     if not len(customers) or not sweeps:
         return tables, sizes
-    order = np.argsort(-customers, kind="stable")
+    order = stable_order(int(customers.max()) - customers)
     c, t, new = customers[order], tables[order], fresh[order]
     start, moves = np.cumsum(c) - c, c * sweeps
     within = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
@@ -243,7 +277,7 @@ def reseat(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, fresh:
     filled = held > 0
     after, owner = np.empty(len(c), "i8"), np.repeat(order, c)[filled]
     after[order] = np.add.reduceat(filled.astype("i8"), start)
-    return after, held[filled][np.argsort(owner, kind="stable")]
+    return after, held[filled][stable_order(owner)]
 
 
 def _move_alone(at: np.ndarray, held: np.ndarray, free: np.ndarray, weight: float, discount: float, dice: random.Random, moves: int) -> array:
@@ -320,7 +354,7 @@ def _slices(blocks: DataFrame, buckets: int) -> DataFrame:
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[b], cuts[b + 1])
-                    own, place = np.unique(np.concatenate([first[part], second[part]]), return_inverse=True)
+                    own, place = distinct(np.concatenate([first[part], second[part]]))
                     n = part.stop - part.start
                     values = (int(b), row["block"], steps(words[own]), steps(place[:n]), squeeze(place[n:]), squeeze(seen[part]))
                     yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["bucket", "block", "words", "first", "second", "seen"])
@@ -338,7 +372,7 @@ def _merge(buckets: int, numbers: int):
         for r, mine in zip(rows, own, strict=True):
             place = np.searchsorted(words, mine)
             keys.append(place[np.cumsum(loosen(r["first"]))] * len(words) + place[loosen(r["second"])])
-        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+        pairs, at = distinct(np.concatenate(keys))
         first, second = np.divmod(pairs, len(words))
         seen = np.bincount(at, np.concatenate([loosen(r["seen"]) for r in rows]), len(pairs)).astype("i8")
         cuts = np.cumsum([0, *map(len, keys)])
@@ -360,7 +394,7 @@ def _parent(buckets: int, turn: int, how: Process):
     def parent(key: tuple, table: pa.Table) -> pa.Table:
         rows, dice = table.to_pylist(), np.random.default_rng([SEED, turn, 1, key[0].as_py()])
         own = [np.cumsum(loosen(r["words"])) for r in rows]
-        words, at = np.unique(np.concatenate(own), return_inverse=True)
+        words, at = distinct(np.concatenate(own))
         seen, served, mine = (np.bincount(at, np.concatenate([loosen(r[c]) for r in rows]), len(words)).astype("i8") for c in ("seen", "served", "own"))
         # Numbers follow the hashes, which are even, so this bucket tells how many words and tables there are in all.
         known, tables = int((seen > 0).sum()), np.minimum(served, 1)

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from backtide.llm import pitmanyor, queries
+from backtide.llm import packed, pitmanyor, queries
 
 SCHEMA = "doc_id long, text string, train boolean, bucket long, block string, words string, score double"
 #: Never seated again, every pair has one table, so that probabilities are known.
@@ -150,3 +151,23 @@ def _brute_base(rows):
     count = Counter(w for _, text, train in rows if train for w in [*_words(text), " "])
     n, v = sum(count.values()), len(count)
     return [(key, None, None, None, None, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*_words(text), " "])) for key, text, _ in rows]
+
+
+def test_words_are_hashed_by_columns():
+    dice = random.Random(5)
+    texts = ["", None, " ", "Ab aB\x0bAB\tab", "x" * 200, ("y" * 64 + " ") * 3, "y" * 65, "\u00c9\u00c9 \u00e9\u00e9 \u65e5\u672c", "z", "z", " z ", " " * 300 + "w", *(" ".join(dice.choices("aAbBcC \n", k=dice.randrange(90))) for _ in range(300))]
+    column = pa.array(["skipped words", *texts]).slice(1)
+    hashes, counts = pitmanyor.word_hashes(column)
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    known = dict(zip((w for own in words for w in own), hashes.tolist(), strict=True))
+    assert [known[w] for own in words for w in own] == hashes.tolist() and len(set(known.values()) | {pitmanyor.END}) == len(known) + 1
+    assert [len(x) for x in pitmanyor.word_hashes(column.slice(0, 0))] == [0, 0]
+
+
+def test_sorted_places():
+    dice = np.random.default_rng(3)
+    for x in (dice.integers(0, 40, 500), dice.integers(0, 1 << 36, 500), dice.integers(0, 1 << 64, 500, "u8").repeat(2), np.empty(0, "i8"), np.array([(1 << 63) + 5, (1 << 63) + 1, (1 << 63) + 5], "u8")):
+        values, inverse = packed.distinct(x)
+        assert (values == np.unique(x)).all() and (values[inverse] == x).all() and values.dtype == x.dtype
+        assert (packed.stable_order(x) == np.argsort(x, kind="stable")).all()

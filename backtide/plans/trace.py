@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from backtide.session import discard, materialise
 
 
+#: Levels after which all that were visited are written as one table, so that a level reads few of them.
+TOGETHER = 8
+
+
 def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: tuple[str, ...] = (), written: bool = False) -> DataFrame:
     """(by..., rid, level): all requests reachable from roots (by..., rid) over edges (child, parent, root_only).
 
@@ -33,6 +37,10 @@ def reach(edges: DataFrame, roots: DataFrame, *, depth: int | None = None, by: t
             break
         visited = visited.unionByName(frontier)
         levels.append(frontier)
+        if level % TOGETHER == 0:
+            visited = materialise(visited, "trace-visited")
+            discard(*levels[:-1])
+            levels = [visited, frontier]
     out = materialise(visited, "trace-visited")
     discard(*own, *levels)
     return out

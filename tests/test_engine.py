@@ -80,6 +80,15 @@ def test_cycles_end_and_gray_rows_stop(spark):
     assert {(r.rid, r.level) for r in trace.reach(edges, root).collect()} == {("A", 0), ("B", 1), ("C", 2)}
 
 
+def test_a_long_search_reads_few_tables(spark, monkeypatch):
+    kept, sizes = trace.materialise, []
+    monkeypatch.setattr(trace, "materialise", lambda df, name: sizes.append(len({f.rsplit("/", 1)[0] for f in df.inputFiles()})) or kept(df, name))
+    edges = spark.range(30).select(F.col("id").cast("string").alias("child"), F.col("id").alias("n")).select("child", F.explode(F.array(F.col("n") + 1, F.col("n") + 2, F.col("n") - 1).cast("array<string>")).alias("parent"), F.lit(False).alias("root_only"))
+    found = trace.reach(edges, spark.createDataFrame([("29",)], "rid string"))
+    assert {(r.rid, r.level) for r in found.collect()} == {("29", 0), ("30", 1), ("31", 1), *((str(29 - n), n) for n in range(1, 31))}
+    assert max(sizes) <= trace.TOGETHER + 3
+
+
 def test_even_sample(spark):
     rows = spark.range(10).withColumnRenamed("id", "n")
     for k, expected in ((1, [9]), (4, [0, 3, 6, 9]), (20, list(range(10)))):

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from backtide.session import discard, materialise
 
+from .rows import READ, WRITE, both_bounds, cells_of_rows, crowded_rows, log_rows, of_rows
 from .versions import CELL, CROWDED, ROW, as_of, crowded, hashed, known_cells, sized_cells, versions
 
 _PICK = ("rid", "time", "op", "xid", "seq", "pos", "raw_run", "vtype", "vtext", "origin", "next_delete")
@@ -108,13 +109,12 @@ REASONS = {
 _VERSION = "struct<rid:string,time:timestamp_ntz,op:string,xid:bigint,seq:bigint,pos:bigint,vtype:string,vtext:string,origin_rid:string,origin_time:timestamp_ntz>"
 
 
-def _shape(v: str, origin_is_itself: bool = False):
+def _shape(v: str):
     """A candidate version from a version struct (or prefix) v."""
     own = lambda name: F.col(f"{v}.{name}" if v else name)
     return F.struct(
         *[own(n).alias(n) for n in ("rid", "time", "op", "xid", "seq", "pos", "vtype", "vtext")],
-        (own("rid") if origin_is_itself else own("origin.rid")).alias("origin_rid"),
-        (own("time") if origin_is_itself else own("origin.time")).alias("origin_time"),
+        own("origin.rid").alias("origin_rid"), own("origin.time").alias("origin_time"),
     )
 
 
@@ -123,9 +123,10 @@ def window_writers(ruled: DataFrame, history: DataFrame) -> DataFrame:
 
     A window is a range of positions in the cell's history. It is cut into buckets of WINDOW positions and joined by cell
     and bucket, so a window meets no more writes than it has, but for two buckets, and a hot cell is spread over all of
-    its buckets."""
-    bucket = F.floor(F.col("pos") / WINDOW)
-    own = history.filter("is_last_in_xid").select(*CELL, bucket.alias("bucket"), F.col("pos").alias("at"), _shape("", True).alias("version"))
+    its buckets. history: writes with `version`, as found_rows() has them."""
+    itself = {"origin_rid": F.col("version.rid"), "origin_time": F.col("version.time")}
+    version = F.struct(*[itself.get(c, F.col(f"version.{c}")).alias(c) for c in history.schema["version"].dataType.names])
+    own = history.filter("is_last_in_xid").select(*CELL, F.floor(F.col("version.pos") / WINDOW).alias("bucket"), F.col("version.pos").alias("at"), version.alias("version"))
     ends = [F.floor(F.col(c) / WINDOW) for c in ("window_start", "window_end")]
     open_ = ruled.filter(F.col("rule").isin("1w", "4") & (F.col("window_start") <= F.col("window_end"))).withColumn("bucket", F.explode(F.sequence(*ends)))
     return open_.join(own, [*CELL, "bucket"]).filter(F.col("at").between(F.col("window_start"), F.col("window_end"))).drop("bucket", "at")
@@ -145,16 +146,9 @@ def _head() -> list:
     return ["rid", *CELL, F.col("seq").alias("read_seq"), F.col("time").alias("read_time"), "xmin", "xmax", "seen_type", "seen_text", "again"]
 
 
-def ruled_reads(reads_of_cells: DataFrame, history: DataFrame) -> DataFrame:
-    """Reads with their rule, the window of positions and, but for rule 1w, the one version that the rule gives."""
-    ruled = snapshot_rules(snapshot_bounds(reads_of_cells, history))
-    version = F.when(F.col("rule").isin("2", "4"), _shape("low")).when(~F.col("rule").isin("none", "1w"), _shape("high"))
-    return ruled.select(*_head(), "rule", "window_start", "window_end", version.alias("version"))
-
-
 def snapshot_attempts(ruled: DataFrame, history: DataFrame) -> DataFrame:
     """(read, version, certain, rule): one row for each version a read may have seen; one without a version if there is none.
-    ruled: ruled_reads(), written, as it is looked at twice."""
+    ruled and history: from found_rows(), written, as they are looked at twice."""
     one = ruled.filter(F.col("rule") != "1w").select(*_READ, "version", (F.col("rule") != "4").alias("certain"), "rule")
     many = window_writers(ruled.drop("version"), history).select(*_READ, "version", F.lit(False).alias("certain"), "rule")
     return one.unionByName(many)
@@ -198,41 +192,95 @@ def dedupe_candidates(candidates: DataFrame) -> DataFrame:
     return once.unionByName(dedupe_candidates(more))
 
 
-def resolve_reads(reads: DataFrame, writes: DataFrame, deletes: DataFrame, by_xid_history: DataFrame | None = None) -> DataFrame:
-    """(read, version, certain, rule, reason) for every cell of every read, all requests at once: the versions it may have
-    seen, or a row without a version and the reason for it; `again` tells whether the request has more reads of the row.
+_FOUND = ("kind", *CELL, "rid", "seq", "time", "xmin", "xmax", "seen_type", "seen_text", "again", "by_xid", "rule", "window_start", "window_end", "version", "raw_rid", "is_last_in_xid")
 
-    Snapshot rules hold where a read has bounds and its cell is eligible, else the time. `seen`, an optional column of
-    reads (a map of column to (vtype, vtext)), names the cells and the values that a read saw itself: only versions with
-    an equal typed value are left of those. Cells of reads, histories and rules are written once, and the result is read
-    from them; histories by time only if a read needs them. A written history by transaction may be given.
-    """
+
+def found_rows(reads: DataFrame, writes: DataFrame, deletes: DataFrame, most: int = CROWDED) -> tuple[DataFrame, DataFrame]:
+    """(found, rows): log_rows() and, of each cell of each read (kind READ), the rule, the window of positions and, but for
+    rule 1w, the version that the rule gives, where by_xid holds; of each write (kind WRITE) the version it is.
+
+    Rows whose cells have over `most` log rows are looked up in written histories, which are cut, all others side by side."""
     if "seen" not in reads.columns:
         reads = reads.withColumn("seen", F.lit(None).cast(_SEEN))
+    rows = log_rows(reads, writes, deletes)
+    hot = crowded_rows(rows, most)
+    if hot is None:
+        return _side_by_side(rows), rows
+    hot = F.broadcast(hot)
+    return _side_by_side(rows.join(hot, list(ROW), "left_anti")).unionByName(_in_histories(rows.join(hot, list(ROW), "left_semi"), most)), rows
+
+
+def _side_by_side(rows: DataFrame) -> DataFrame:
+    both = both_bounds(cells_of_rows(rows)).select("kind", *CELL, "read.*", "by_xid", "own", "low", "high", "low_alive", "high_alive", "raw_rid", "is_last_in_xid")
+    ends = {"window_start": F.coalesce("low.pos", F.lit(0)) + 1, "window_end": F.coalesce("high.pos", F.lit(0))}
+    alive = {side: F.when(F.col("by_xid") & F.col(f"{side}_alive"), F.col(side)) for side in _BOUNDS}
+    ruled = snapshot_rules(both.withColumns(ends).withColumns(alive)).withColumn("rule", F.when(F.col("by_xid"), F.col("rule")))
+    version = F.when(F.col("kind") == WRITE, _shape("own")).when(F.col("rule").isin("2", "4"), _shape("low")).when(~F.col("rule").isin("none", "1w"), _shape("high"))
+    return ruled.withColumn("version", version).select(*_FOUND)
+
+
+def _in_histories(rows: DataFrame, most: int) -> DataFrame:
+    reads, writes, deletes = of_rows(rows)
     reads = hashed(reads, "rid", *ROW).withColumn("again", F.count("*").over(Window.partitionBy("_hash", "rid", *ROW)) > 1).drop("_hash")
     known = sized_cells(writes, deletes)
     both = F.col("xmin").isNotNull() & F.col("xmax").isNotNull()
     cells = materialise(observed_cells(reads, known).withColumn("by_xid", both & F.coalesce("eligible", F.lit(False))).drop("eligible"), "read-cells")
-    needed = [*CELL, *_PICK, "is_last_in_xid"]
-    history = by_xid_history
-    if history is None:
-        history = materialise(versions(writes.filter("xid is not null"), deletes.filter("xid is not null"), "xid", known=known).select(*needed), "history")
-    ruled = materialise(ruled_reads(cells.filter("col is not null and by_xid").drop("by_xid"), history), "ruled-reads")
-    attempts = snapshot_attempts(ruled, history)
-    timed = cells.filter("col is not null and not by_xid").drop("by_xid")
-    if not timed.isEmpty():
-        history = materialise(versions(writes, deletes, "time", known=known).select(*needed), "history")
-        found = resolve_by_time(timed, history)
-        by_time = materialise(found.select(*_head(), F.when(F.col("found").isNotNull(), _shape("found")).alias("version"), F.lit(True).alias("certain"), F.lit("time").alias("rule")), "timed-reads")
-        attempts = attempts.unionByName(by_time)
-        discard(history)
+    cut = versions(writes.filter("xid is not null"), deletes.filter("xid is not null"), "xid", most=most, known=known)
+    history = materialise(cut.select(*CELL, *_PICK, F.col("raw_origin.rid").alias("raw_rid"), "is_last_in_xid"), "history")
     discard(known)
+    ruled = snapshot_rules(snapshot_bounds(cells.filter("col is not null and by_xid"), history, most))
+    version = F.when(F.col("rule").isin("2", "4"), _shape("low")).when(~F.col("rule").isin("none", "1w"), _shape("high"))
+    parts = [
+        ruled.withColumns({"kind": F.lit(READ), "version": version}), cells.filter("col is null or not by_xid").withColumn("kind", F.lit(READ)),
+        history.select(*CELL, F.lit(WRITE).alias("kind"), _shape("").alias("version"), "raw_rid", "is_last_in_xid"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.withColumns({c: F.lit(None).cast(t) for c, t in (("raw_rid", "string"), ("is_last_in_xid", "boolean")) if c not in out.columns}).select(*_FOUND)
+
+
+def snapshot_reads(reads: DataFrame, writes: DataFrame, deletes: DataFrame, *, written: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(reads of known cells by their snapshot, with their rule; history of writes), from found_rows(), written if both are
+    looked at."""
+    found, _ = found_rows(reads, writes, deletes)
+    found = materialise(found, "found") if written else found
+    return found.filter((F.col("kind") == READ) & F.col("by_xid") & F.col("col").isNotNull()), found.filter(F.col("kind") == WRITE)
+
+
+def resolve_reads(reads: DataFrame, writes: DataFrame, deletes: DataFrame) -> DataFrame:
+    """(read, version, certain, rule, reason) for every cell of every read, all requests at once: the versions it may have
+    seen, or a row without a version and the reason for it; `again` tells whether the request has more reads of the row.
+
+    Snapshot rules hold where a read has bounds and its cell is eligible, else the time. `seen`, an optional column of
+    reads (a map of column to (vtype, vtext)), names the cells and the values that a read saw itself: only versions with
+    an equal typed value are left of those. What was found by transaction is written once, and the result is read from it;
+    histories by time only if a read needs them.
+    """
+    return resolve_with_history(reads, writes, deletes)[0]
+
+
+def resolve_with_history(reads: DataFrame, writes: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """resolve_reads() and (tbn, pk, col, raw_origin) of all writes that have a transaction."""
+    found, rows = found_rows(reads, writes, deletes)
+    found = materialise(found, "found")
+    history, cells = found.filter(F.col("kind") == WRITE), found.filter(F.col("kind") == READ)
+    attempts = snapshot_attempts(cells.filter("col is not null and by_xid").select(*_head(), "rule", "window_start", "window_end", "version"), history)
+    timed = cells.filter("col is not null and not by_xid").select(*CELL, "rid", "seq", "time", "xmin", "xmax", "seen_type", "seen_text", "again")
+    if not timed.isEmpty():
+        _, writes, deletes = of_rows(rows)
+        by_time = materialise(versions(writes, deletes, "time").select(*CELL, *_PICK), "history")
+        at_time = resolve_by_time(timed, by_time)
+        at_time = materialise(at_time.select(*_head(), F.when(F.col("found").isNotNull(), _shape("found")).alias("version"), F.lit(True).alias("certain"), F.lit("time").alias("rule")), "timed-reads")
+        attempts = attempts.unionByName(at_time)
+        discard(by_time)
+    discard(rows)
     told = F.col("seen_type").isNotNull()
     tried = attempts.filter(~told).withColumn("reason", F.lit(None).cast("string")).unionByName(match_read(attempts.filter(told)))
     late = F.when(F.col("xmin").isNotNull() & F.col("xmax").isNotNull(), NOT_BEFORE_SNAPSHOT).otherwise(NOT_BEFORE_READ)
     tried = tried.withColumn("reason", F.coalesce("reason", F.when(F.col("version").isNull(), late)))
     unknown = cells.filter("col is null").select(*_head(), F.lit(None).cast(attempts.schema["version"].dataType).alias("version"), F.lit(None).cast("boolean").alias("certain"), F.lit(None).cast("string").alias("rule"), F.lit(NO_HISTORY).alias("reason"))
-    return tried.unionByName(unknown)
+    return tried.unionByName(unknown), history.select(*CELL, F.struct(F.col("raw_rid").alias("rid")).alias("raw_origin"))
 
 
 def candidates_of(resolved: DataFrame) -> DataFrame:

@@ -129,14 +129,13 @@ def asof_xid_low_high(logs: Logs) -> DataFrame:
 
 @_on_logs
 def snapshot_rules(logs: Logs) -> DataFrame:
-    ruled = resolve.snapshot_rules(resolve.snapshot_bounds(_pairs(logs), _history(logs, "xid")))
+    ruled = resolve.snapshot_reads(logs.reads, logs.writes, logs.deletes)[0]
     return ruled.groupBy("rule").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
 @_on_logs
 def snapshot_window_writers(logs: Logs) -> DataFrame:
-    history = _history(logs, "xid")
-    ruled = resolve.snapshot_rules(resolve.snapshot_bounds(_pairs(logs), history))
+    ruled, history = resolve.snapshot_reads(logs.reads, logs.writes, logs.deletes, written=True)
     return resolve.window_writers(ruled, history).select("rid", *CELL, F.col("seq").alias("read_seq"), F.col("version.xid").alias("writer_xid"), "rule")
 
 
@@ -281,8 +280,8 @@ def child_breadth(logs: Logs) -> DataFrame:
 
 
 def _tasks(logs: Logs) -> tuple[DataFrame, DataFrame]:
-    history = _history(logs, "xid")
-    found = resolve.candidates_of(resolve.resolve_reads(logs.reads, logs.writes, logs.deletes, history))
+    resolved, history = resolve.resolve_with_history(logs.reads, logs.writes, logs.deletes)
+    found = resolve.candidates_of(resolved)
     return found, priority.score_tasks(found, history, logs.reads, logs.writes, logs.contexts)
 
 

@@ -292,3 +292,17 @@ def test_a_pair_with_a_link_that_is_not_gray_is_followed(spark):
     policy, root = spark.createDataFrame([("t", "2", True)], "tbn string, pk string, gray boolean"), spark.createDataFrame([("A",)], "rid string")
     visited, shown = trace(spark.createDataFrame(made, shape), root, policy=policy)
     assert {(r.rid, r.level) for r in visited.collect()} == {("A", 0), ("B", 1), ("C", 2)} and shown.count() == 5
+
+
+def test_rows_side_by_side_find_what_histories_find(spark):
+    """In one shuffle of whole rows; crowded rows are looked up in written histories, with the same result."""
+    writes, deletes = _random_log(7)
+    dice = random.Random(8)
+    bound = lambda: dice.choice([None, *range(-5, 170)])
+    reads = [(f"r{i % 90}", "items", dice.choice(["hot", "0", "1", "none"]), i, START, bound(), bound()) for i in range(200)]
+    logs = spark.createDataFrame(reads, READS), spark.createDataFrame(writes, WRITES), spark.createDataFrame(deletes, DELETES)
+    whole = resolve.found_rows(*logs)[0]
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    shown = lambda df: sorted(map(str, df.drop("window_start", "window_end").collect()))
+    found = {most: shown(resolve.found_rows(*logs, most)[0]) for most in (0, 100)}
+    assert shown(whole) == found[0] == found[100]

@@ -69,14 +69,14 @@ def _split(checked: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     return checked.filter("error is null"), bad
 
 
-def _with_seq(records: DataFrame, events: Column) -> DataFrame:
-    """records with `seq`: their own, or the number of events that the records before them make. Events are added up in
+def _with_seq(records: DataFrame, events: Column, own: str = "j.seq") -> DataFrame:
+    """records with `seq`: their own (column `own`), or the number of events that the records before them make. Events are added up in
     ranges of RANGE lines; what comes before a range is a sum over ranges."""
     marked = records.withColumn("range", F.floor(F.col("line") / RANGE)).withColumn("events", events)
     totals = marked.groupBy("range").agg(F.sum("events").alias("total"))
     before = totals.select("range", _before(totals, ["range"], "total").alias("before"))
     inside = F.coalesce(F.sum("events").over(Window.partitionBy("range").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("inside", inside).join(before, "range").withColumn("seq", F.coalesce("j.seq", F.col("before") + F.col("inside"))).drop("range", "events", "inside", "before")
+    return marked.withColumn("inside", inside).join(before, "range").withColumn("seq", F.coalesce(own, F.col("before") + F.col("inside"))).drop("range", "events", "inside", "before")
 
 
 def read_log(lines: DataFrame, *, case_sensitive: bool = False, mode: str = "strict") -> tuple[DataFrame, DataFrame]:
@@ -87,9 +87,11 @@ def read_log(lines: DataFrame, *, case_sensitive: bool = False, mode: str = "str
         _missing(), F.when(F.col("j.xmin").isNull() != F.col("j.xmax").isNull(), "xmin and xmax go together"),
         F.when(F.col("j.xmin") > F.col("j.xmax"), "xmin above xmax"), F.when(F.col("j.cells").isNotNull() & (F.size("keys") != 1), "observed cells need one key"),
     )
-    good, bad = _split(parsed.withColumn("error", error), mode)
-    seen = F.when(F.col("j.cells").isNotNull(), F.map_from_entries(_cells(case_sensitive)))
-    rows = _with_seq(good, F.size("keys")).select("rid", "tbn", F.explode("keys").alias("pk"), "seq", "time", F.col("j.xmin").alias("xmin"), F.col("j.xmax").alias("xmax"), seen.alias("seen"), "line")
+    # A filter on the error would parse a line again for each field that it looks at, so lines are parsed once and written.
+    seen = F.when(F.col("error").isNull() & F.col("j.cells").isNotNull(), F.map_from_entries(_cells(case_sensitive)))
+    checked = parsed.withColumn("error", error).select("line", F.when(F.col("error").isNotNull(), F.col("value")).alias("value"), "rid", "tbn", "time", "keys", F.col("j.seq").alias("own_seq"), "j.xmin", "j.xmax", seen.alias("seen"), "error")
+    good, bad = _split(materialise(checked, "parsed-reads"), mode)
+    rows = _with_seq(good, F.size("keys"), "own_seq").select("rid", "tbn", F.explode("keys").alias("pk"), "seq", "time", "xmin", "xmax", "seen", "line")
     return rows, bad
 
 

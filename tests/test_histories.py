@@ -10,6 +10,7 @@ from backtide.operators import resolve
 from backtide.operators.resolve import dedupe_candidates, match_observed, request_candidates, unresolved
 from backtide.operators.versions import CELL, as_of, crowded, versions
 from backtide.plans.trace import links, trace
+from backtide.sources import logs as sources
 from backtide.session import materialise
 
 START = datetime(2026, 1, 1)
@@ -306,3 +307,10 @@ def test_rows_side_by_side_find_what_histories_find(spark):
     shown = lambda df: sorted(map(str, df.drop("window_start", "window_end").collect()))
     found = {most: shown(resolve.found_rows(*logs, most)[0]) for most in (0, 100)}
     assert shown(whole) == found[0] == found[100]
+
+
+def test_lines_of_a_read_log_are_parsed_once(spark):
+    lines = spark.createDataFrame([(0, '{"rid":"a","tbn":"t","time":"2024-01-01 00:00:00","pk":1,"cells":{"c":2}}'), (1, '{"rid":"b"}')], "line long, value string")
+    good, bad = sources.read_log(lines, mode="quarantine")
+    assert [(r.rid, r.pk, r.seq, r.seen["c"].vtext) for r in good.collect()] == [("a", "1", 0, "2")] and [(r.line, r.value, r.error) for r in bad.collect()] == [(1, '{"rid":"b"}', "no table name")]
+    assert not any("from_json" in df._jdf.queryExecution().executedPlan().toString() for df in (good, bad))

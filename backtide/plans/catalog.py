@@ -136,7 +136,7 @@ def snapshot_rules(logs: Logs) -> DataFrame:
 @_on_logs
 def snapshot_window_writers(logs: Logs) -> DataFrame:
     ruled, history = resolve.snapshot_reads(logs.reads, logs.writes, logs.deletes, written=True)
-    return resolve.window_writers(ruled, history).select("rid", *CELL, F.col("seq").alias("read_seq"), F.col("version.xid").alias("writer_xid"), "rule")
+    return resolve.window_writers(ruled.drop("version"), history).select("rid", *CELL, F.col("seq").alias("read_seq"), F.col("version.xid").alias("writer_xid"), "rule")
 
 
 @_on_logs

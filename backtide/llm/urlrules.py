@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import drop_stash, stash
 
@@ -18,6 +19,8 @@ from .common import drop_stash, stash
 LISTED = {("org", "/"): "allow", ("example.org", "/es/"): "block", ("example.org", "/en/1"): "block", ("com", "/fr/"): "allow", ("com", "/de/"): "block"}
 #: Labelled URLs with more frequent tokens are counted by length instead of by FP-growth.
 BASKET = 12
+#: Sets of tokens, or rules, up to which rows meet them in a broadcast.
+BROADCAST = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -58,6 +61,12 @@ def url_tokens(url: Column) -> Column:
     ), F.array().cast("array<string>")))
 
 
+def _beside_rows(sets: DataFrame) -> DataFrame:
+    """sets, for a join with rows: broadcast, or sorted if there are many. Rows hold few different tokens, so that their files
+    are small and Spark would broadcast the rows instead, which outgrow the driver."""
+    return F.broadcast(sets) if sets.count() <= BROADCAST else sets.hint("merge")
+
+
 def _counted_sets(rows: DataFrame, least: float) -> DataFrame:
     """(tokens) of the sets of up to three tokens that `least` rows (items, label) of one label hold, counted by length: pairs
     out of frequent tokens, triples out of frequent pairs of one row."""
@@ -66,10 +75,10 @@ def _counted_sets(rows: DataFrame, least: float) -> DataFrame:
     singles = own.select("row", "label", F.explode("items").alias("a"))
     one = often(singles.withColumn("tokens", F.array("a")))
     singles = singles.join(one.select(F.col("tokens")[0].alias("a"), "label"), ["a", "label"], "left_semi")
-    both = singles.join(singles.select("row", F.col("a").alias("b")), "row").filter("a < b").withColumn("tokens", F.array("a", "b"))
+    both = singles.join(singles.select("row", F.col("a").alias("b")).hint("merge"), "row").filter("a < b").withColumn("tokens", F.array("a", "b"))
     two = often(both)
     pairs = stash(both.join(two, ["tokens", "label"], "left_semi").select("row", "label", "a", "b"), "pairs")
-    triples = pairs.join(pairs.select("row", "a", F.col("b").alias("c")), ["row", "a"]).filter("b < c").withColumn("tokens", F.array("a", "b", "c"))
+    triples = pairs.join(pairs.select("row", "a", F.col("b").alias("c")).hint("merge"), ["row", "a"]).filter("b < c").withColumn("tokens", F.array("a", "b", "c"))
     out = stash(one.unionByName(two).unionByName(often(triples)).select("tokens").distinct(), "wide-sets")
     drop_stash(own)
     drop_stash(pairs)
@@ -103,10 +112,9 @@ def mine_rules(labelled: DataFrame, *, support: float = 0.01, confidence: float
         found = found.unionByName(_counted_sets(wide, support * n).filter(F.size("tokens") <= longest)).distinct()
 
     rarest = F.get(F.array_intersect(known, "tokens"), 0)
-    found = found.withColumn("key_token", rarest)
-    looked = kept.withColumn("key_token", F.explode("items")).join(found, "key_token").filter(F.size(F.array_except("tokens", "items")) == 0)
-    held = looked.groupBy("tokens", "key_token").agg(F.count("*").alias("rows"))
-    by_label = looked.groupBy("tokens", "label").agg(F.count("*").alias("hits")).join(held, "tokens")
+    found = stash(found.withColumn("key_token", rarest), "sets")
+    looked = kept.withColumn("key_token", F.explode("items")).join(_beside_rows(found), "key_token").filter(F.size(F.array_except("tokens", "items")) == 0)
+    by_label = looked.groupBy("tokens", "key_token", "label").agg(F.count("*").alias("hits")).withColumn("rows", F.sum("hits").over(Window.partitionBy("tokens")))
     rules = by_label.select("tokens", "key_token", "label", (F.col("hits") / F.col("rows")).alias("confidence"), (F.col("hits") / max(1, total)).alias("support"))
     rules = stash(rules.filter((F.col("confidence") >= confidence) & (F.col("support") >= support)), "all-rules")
 
@@ -116,7 +124,7 @@ def mine_rules(labelled: DataFrame, *, support: float = 0.01, confidence: float
     short = rules.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("part_confidence"))
     said = rules.select("tokens", "label", "confidence", F.explode(parts).alias("part")).join(short, ["part", "label"]).filter("part_confidence >= confidence")
     out = rules.join(said.select("tokens", "label").distinct(), ["tokens", "label"], "left_anti").withColumn("rule_id", F.xxhash64(F.array_join("tokens", "\n"), "label"))
-    for done in (rows, kept):
+    for done in (rows, kept, found):
         drop_stash(done)
     return out
 
@@ -126,9 +134,9 @@ def match_rules(urls: DataFrame, rules: DataFrame, *, tokens: str = "tokens") ->
     none is.
 
     Each token looks up the rules of which it is the rarest; those whose other tokens are there too match. The rules
-    are a table of bounded size (see mine_rules), so they are broadcast, and a row is put together again by a number of
-    its own: no token, URL or host gathers rows."""
-    index = F.broadcast(rules.select("key_token", F.struct("tokens", "label", "confidence", "support", "rule_id").alias("_rule")))
+    are a table of bounded size (see mine_rules), so they are broadcast (beyond BROADCAST sorted), and a row is put together
+    again by a number of its own: no token, URL or host gathers rows."""
+    index = _beside_rows(rules.select("key_token", F.struct("tokens", "label", "confidence", "support", "rule_id").alias("_rule")))
     own = urls.select(F.struct("*").alias("_url"), F.col(tokens).alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
     looked = own.withColumn("key_token", F.explode_outer("_tokens")).join(index, "key_token", "left")
     fits = F.size(F.array_except("_rule.tokens", "_tokens")) == 0

@@ -266,6 +266,20 @@ def test_rules_of_urls_with_many_frequent_tokens(spark):
     assert [(r.rank, r.label, r.key_token, r.best and r.best.label) for r in urlrules.match_rules(clash, rules).orderBy("rank").collect()] == [(1, "mine", "k", "block"), (2, "own", "k", None)]
 
 
+@pytest.mark.parametrize("rows, tokens", [(150_000, 8), (10_000, 14)])
+def test_labelled_urls_of_few_tokens_are_not_broadcast(spark, rows, tokens):
+    """Files of few different tokens are small; in memory rows, and pairs of URLs with many tokens, outgrow what may be broadcast."""
+    name = lambda i: F.concat(F.lit(f"path:one-of-{i + 2}-tokens-that-stand-here-"), F.col("id") % (i + 2))
+    label = F.when(F.col("id") % 3 == 0, "block").otherwise("allow")
+    table = spark.range(rows).select(F.array(*map(name, range(tokens))).alias("tokens"), label.alias("label"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100m")
+    try:
+        got = {(*r.tokens, r.label): r.confidence for r in urlrules.mine_rules(table).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert all(got[f"path:one-of-3-tokens-that-stand-here-{n}", label] == 1 for n, label in enumerate(("block", "allow", "allow")))
+
+
 def test_listed_url_rules(spark):
     urls = ["http://a.Example.ORG/es/1", "https://example.org/en/12", "http://x.org", "http://x.org/", "http://fr.com/fr/9?x#y", "http://www.z.com/de/", "nothing", None, "a://b://c/d", "http://notorg/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))

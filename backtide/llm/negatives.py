@@ -40,22 +40,22 @@ def best_of_label(scores: np.ndarray, ids: np.ndarray, same: np.ndarray, wanted:
 
 def below_limits(scores: np.ndarray, ids: np.ndarray, other: np.ndarray, limits: list[int], percent: int, wanted: int) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the limit, places): for each limit the first `wanted` rows of another label from that score down to
-    `percent` of it."""
-    order = np.lexsort((ids, -scores))
+    `percent` of it. Only rows that some limit reaches are sorted."""
+    ends = [(-percent * limit) // 100 for limit in limits]
+    places = np.flatnonzero(other & (scores <= max(limits)) & (-scores <= max(ends)))
+    order = places[np.lexsort((ids[places], -scores[places]))]
     falling = -scores[order]
-    others = np.flatnonzero(other[order])
     for n, limit in enumerate(limits):
-        start, end = np.searchsorted(falling, -limit, "left"), np.searchsorted(falling, (-percent * limit) // 100, "right")
-        at = np.searchsorted(others, start)
-        chosen = others[at : at + wanted]
-        yield n, order[chosen[chosen < end]]
+        start, end = np.searchsorted(falling, -limit, "left"), np.searchsorted(falling, ends[n], "right")
+        yield n, order[start : min(start + wanted, end)]
 
 
 def _cells(rows: DataFrame, anchors: DataFrame, groups: int, use: Callable[[dict, dict, int, np.ndarray], Iterator[tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """What `use` gives for every block and every anchor of every group."""
+    """What `use` gives for every block and every anchor of every group. Tables of blocks and anchors are small as files and
+    grow as they are dealt out, so their joins are sorted ones: Spark would take them for small and broadcast them."""
     parts = max(1, rows.count())
     left = rows.select(F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.struct("block", "dims", "data", "ids", "labels").alias("rows"))
-    grid = left.join(anchors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))), ["group", "part"]).select("rows", "anchors")
+    grid = left.join(anchors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))).hint("merge"), ["group", "part"]).select("rows", "anchors")
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +121,13 @@ def hard_negatives(
     best = Window.partitionBy("row").orderBy(F.desc("positive_score"), "positive_id")
     chosen = near.withColumn("n", F.row_number().over(best) - 1).filter(F.col("n") < positives)
     found = F.array_sort(F.collect_list(F.struct("n", "positive_id", "positive_score"))).alias("found")
-    ready = stash(flat.join(chosen.groupBy("row").agg(found), "row"), "positives")
+    ready = stash(flat.join(chosen.groupBy("row").agg(found).hint("merge"), "row"), "positives")
     whole = F.collect_list(F.struct("row", "label", "vector", "found")).alias("anchors")
     schema = pa.schema([("row", long_), ("n", pa.int32()), ("negative_id", long_), ("negative_score", long_)])
     far = _cells(rows, ready.groupBy(group).agg(whole), groups, second, "row long, n int, negative_id long, negative_score long", schema)
     best = Window.partitionBy("row", "n").orderBy(F.desc("negative_score"), "negative_id")
     taken = stash(far.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= negatives), "negatives")
-    out = taken.join(ready.select("row", "anchor_id", F.explode("found").alias("p")).select("row", "anchor_id", "p.*"), ["row", "n"])
+    out = taken.join(ready.select("row", "anchor_id", F.explode("found").alias("p")).select("row", "anchor_id", "p.*").hint("merge"), ["row", "n"])
     drop_stash(rows)
     drop_stash(flat)
     return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -102,6 +102,19 @@ def test_hard_negatives_of_nothing_of_one_label_and_of_long_vectors(spark):
         negatives.hard_negatives(spark.createDataFrame([(1, [1e20], 3)], "vec_id long, embedding array<double>, label int"), F.lit(True)).collect()
 
 
+def test_blocks_and_anchors_are_not_broadcast(spark):
+    """Anchors are a small file, but are dealt out to every block: more than may be broadcast here."""
+    vector = F.expr("transform(sequence(0, 2047), i -> cast(pmod(hash(id, i), 5) / 256 as float))")
+    table = spark.range(1000).select(F.col("id").alias("vec_id"), vector.alias("embedding"), (F.col("id") % 3).alias("label"))
+    few = negatives.hard_negatives(table.coalesce(2), F.col("vec_id") % 10 == 0).collect()
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100m")
+    try:
+        many = negatives.hard_negatives(table.repartition(150), F.col("vec_id") % 10 == 0).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(map(tuple, many)) == sorted(map(tuple, few)) and len(few) == 100 * 25
+
+
 def test_scores_are_exact_beyond_doubles():
     x, y = np.array([[2**29 + 1, 2**28 + 3]], "i8"), np.array([[2**29 - 1, 2**28 + 1], [3, 5]], "i8")
     assert negatives.score_matrix(x, y).tolist() == [[sum(int(a) * int(b) for a, b in zip(x[0], r, strict=True)) for r in y]]
